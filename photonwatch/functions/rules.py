@@ -56,12 +56,13 @@ class AlertRule(NamedTuple):
     limit: float
     severity: str
     alert_type: str
+    message: str
 
 
 # Telemetry alert rules.
 ALERT_RULES = [
-    AlertRule("link", "qber", 0.04, "Critical", "QBER"),
-    AlertRule("node", "temperature", 45.0, "Warning", "Temperature"),
+    AlertRule("link", "qber", 0.04, "Critical", "High QBER", "QBER exceeded critical threshold"),
+    AlertRule("node", "temperature", 45.0, "Warning", "High Temperature", "Node temperature above threshold"),
 ]
 
 # Advice per violated metric.

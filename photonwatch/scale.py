@@ -34,6 +34,15 @@ def spread(df: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
     return df.repartition(*keys, bucket)
 
 
+def workers(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by key into the configured number of partitions.
+
+    For groups that are small in bytes but long in computing: AQE would merge
+    them into a few tasks by their size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _bucket_window(keys: Sequence[str], bucket: str, frame: tuple[int, int]):
     return Window.partitionBy(*keys).orderBy(bucket).rowsBetween(*frame)
 
