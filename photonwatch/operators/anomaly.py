@@ -196,13 +196,12 @@ SAMPLE = 256
 EULER = 0.5772156649
 
 
-def average_path(n: float) -> float:
+def average_path(n) -> np.ndarray:
     """Mean depth of an unsuccessful search in a binary tree of n points."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (np.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
+    n = np.asarray(n, dtype=float)
+    large = np.maximum(n, 3.0)
+    grown = 2.0 * (np.log(large - 1.0) + EULER) - 2.0 * (large - 1.0) / large
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, grown))
 
 
 MODEL_SCHEMA = (
@@ -211,31 +210,50 @@ MODEL_SCHEMA = (
 )
 
 
-def _grow(points: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
-    """One isolation tree in flat form; a leaf has feature -1 and its path length in ``depth``."""
-    limit = int(np.ceil(np.log2(max(len(points), 2))))
-    tree: dict[str, list] = {"feature": [], "split": [], "low": [], "high": [], "depth": []}
-
-    def add() -> int:
-        for column, empty in (("feature", -1), ("split", 0.0), ("low", -1), ("high", -1), ("depth", 0.0)):
-            tree[column].append(empty)
-        return len(tree["feature"]) - 1
-
-    todo = [(add(), points, 0)]
-    while todo:
-        at, part, level = todo.pop()
-        low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (0, 0)
-        usable = np.flatnonzero(high > low) if len(part) > 1 else np.array([], dtype=int)
-        if level >= limit or usable.size == 0:
-            tree["depth"][at] = level + average_path(len(part))
-            continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(low[f], high[f]))
-        below = part[:, f] < cut
-        tree["feature"][at], tree["split"][at] = f, cut
-        tree["low"][at], tree["high"][at] = add(), add()
-        todo += [(tree["low"][at], part[below], level + 1), (tree["high"][at], part[~below], level + 1)]
-    return tree
+def _grow(points: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """One isolation tree in flat form, grown a level at a time.
+
+    A leaf has feature -1 and its path length in ``depth``.
+    """
+    n = len(points)
+    limit = int(np.ceil(np.log2(max(n, 2))))
+    feature, low, high = (np.full(2 * n + 1, -1, dtype="int32") for _ in range(3))
+    split, depth = np.zeros(2 * n + 1), np.zeros(2 * n + 1)
+    used = 1
+    nodes = np.array([0])  # the nodes of this level
+    rows, place = np.arange(n), np.zeros(n, dtype=int)  # points still moving, and their node's position in ``nodes``
+    for level in range(limit + 1):
+        sizes = np.bincount(place, minlength=len(nodes))
+        if level == limit:
+            depth[nodes] = level + average_path(sizes)
+            break
+        order = np.argsort(place, kind="stable")
+        rows, place = rows[order], place[order]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        least = np.minimum.reduceat(points[rows], starts, axis=0)
+        most = np.maximum.reduceat(points[rows], starts, axis=0)
+        usable = most > least
+        splits = usable.any(axis=1)
+        depth[nodes[~splits]] = level + average_path(sizes[~splits])
+        if not splits.any():
+            break
+        chosen = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
+        each = np.arange(len(nodes))
+        a, b = least[each, chosen], most[each, chosen]
+        cut = np.maximum(a + rng.random(len(nodes)) * (b - a), np.nextafter(a, np.inf))
+        child = used + 2 * (np.cumsum(splits) - 1)
+        inner = nodes[splits]
+        feature[inner], split[inner] = chosen[splits], cut[splits]
+        low[inner], high[inner] = child[splits], child[splits] + 1
+        moving = splits[place]
+        rows, place = rows[moving], place[moving]
+        below = points[rows, chosen[place]] < cut[place]
+        first = 2 * (np.cumsum(splits) - 1)
+        nodes = used + np.arange(2 * len(inner))
+        used += 2 * len(inner)
+        place = first[place] + np.where(below, 0, 1)
+    flat = {"feature": feature, "split": split, "low": low, "high": high, "depth": depth}
+    return {name: values[:used] for name, values in flat.items()}
 
 
 def fit_forests(
@@ -262,16 +280,16 @@ def fit_forests(
         .withColumn("tree", F.pmod(draw + F.col("_j"), F.lit(trees)).cast("int"))
         .withColumn("_order", F.xxhash64(draw, "tree"))
     )
+    offered = scale.workers(offered, "node_name", "tree")
     chosen = scale.top_k(offered, ["node_name", "tree"], [F.col("_order"), F.col("timestamp")], sample, "_rank")
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
         node, tree = key
         points = pdf.sort_values("_rank")[features].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, int(tree), *node.encode()])
-        grown = _grow(points, rng)
+        grown = _grow(points, np.random.default_rng([seed, int(tree), *node.encode()]))
         return pd.DataFrame([{"node_name": node, "tree": tree, "sample": len(points), **grown}])
 
-    columns = scale.workers(chosen.select("node_name", "tree", "_rank", *features), "node_name", "tree")
+    columns = chosen.select("node_name", "tree", "_rank", *features)
     return columns.groupBy("node_name", "tree").applyInPandas(build, MODEL_SCHEMA)
 
 
@@ -320,7 +338,7 @@ def forest_scores(rows: DataFrame, model: DataFrame, features: Sequence[str] = t
         if part.empty or forest.empty:
             return pd.DataFrame({"node_name": [], "timestamp": [], "raw_score": []})
         points = part[features].to_numpy(dtype=float)
-        norm = average_path(float(forest["sample"].max())) or 1.0
+        norm = float(average_path(forest["sample"].max())) or 1.0
         raw = -np.power(2.0, -_paths(points, forest.sort_values("tree")) / norm)
         return pd.DataFrame({"node_name": part["node_name"], "timestamp": part["timestamp"], "raw_score": raw})
 

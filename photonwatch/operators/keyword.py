@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photonwatch import scale
@@ -36,7 +38,7 @@ class Index(NamedTuple):
     """Keyword index as tables: one row per (term, chunk), per term, and overall."""
 
     postings: DataFrame  # token, id, impact
-    terms: DataFrame  # token, df, idf, top_impact
+    terms: DataFrame  # token, df, idf
     totals: DataFrame  # chunks, avg_length
 
 
@@ -46,29 +48,25 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float
     The impact of a posting is its BM25 term weight without the idf, so that a
     score is a plain weighted sum.
     """
-    docs = chunks.select("id", tokens("content").alias("tokens"))
-    counted = docs.withColumn("length", F.size("tokens"))
-    totals = cut_lineage(counted.agg(F.count(F.lit(1)).alias("chunks"), F.avg("length").alias("avg_length")))
-    average = totals.select("avg_length").scalar()
-    frequency = F.count(F.lit(1))
-    postings = (
-        counted.select("id", "length", F.explode("tokens").alias("token"))
+    words = chunks.select("id", tokens("content").alias("tokens"))
+    counted = (
+        words.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
         .groupBy("token", "id", "length")
-        .agg(frequency.alias("tf"))
-        .select(
-            "token",
-            "id",
-            (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))).alias("impact"),
-        )
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
-    postings = cut_lineage(postings)
-    n = totals.select("chunks").scalar()
-    per_term = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("top_impact"))
+    counted = cut_lineage(counted)
+    # every word is counted in some posting, so the texts need not be read again for the mean length
+    n = chunks.agg(F.count(F.lit(1))).scalar()
+    totals = counted.agg(n.alias("chunks"), (F.coalesce(F.sum("tf"), F.lit(0)) / n).alias("avg_length"))
+    totals = cut_lineage(totals)
+    n, average = totals.select("chunks").scalar(), totals.select("avg_length").scalar()
+    tf, length = F.col("tf"), F.col("length")
+    impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+    postings = counted.select("token", "id", impact.alias("impact"))
+    per_term = counted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     raw = cut_lineage(per_term.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     floor = raw.agg(F.avg("_raw") * epsilon).scalar()
-    terms = raw.select(
-        "token", "df", F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf"), "top_impact"
-    )
+    terms = raw.select("token", "df", F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf"))
     return Index(postings, terms, totals)
 
 
@@ -79,63 +77,88 @@ def query_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
         .groupBy("query_id", "token")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    return asked.join(terms, "token").select(
-        "query_id", "token", "df", (F.col("times") * F.col("idf")).alias("weight"), "top_impact"
-    )
+    return asked.join(terms, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
+
+
+CHUNKS_PER_BLOCK, QUERIES_PER_BLOCK = 2_000, 500
+_CHUNK_SLICE, _QUERY_SLICE = 512, 64
+FOUND = "query_id bigint, id bigint, score double"
 
 
 def bm25_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best chunks per query with a positive score: query_id, id, score, rank.
 
-    Common words would pair every query with every chunk.  They are left out of
-    the candidate join where that cannot change the result: the rarest terms
-    give a score that ``k`` chunks reach at least, and a set of terms whose
-    highest possible contributions stay below it cannot lift a chunk into the
-    result on its own.  Such terms are only added to chunks found otherwise.
-    Queries with a negative weight, or with too few hits, use all their terms.
+    A common word would pair every query with every chunk if terms were joined.
+    Instead postings and query terms meet in a grid of bounded blocks (some
+    chunks, some queries); a block multiplies its two sparse tables and hands
+    on at most ``k`` rows per query, so scores of pairs are never shuffled and
+    no word, chunk or query can crowd a task.
     """
-    asked = cut_lineage(query_terms(queries, index.terms))
-    by_rarity = Window.partitionBy("query_id").orderBy("df", "token")
-    before = F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1))
-    seeds = asked.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < 4 * k)
-    seed_scores = _sums(seeds, index.postings)
-    floor = (
-        scale.top_k(seed_scores, ["query_id"], [F.col("score").desc()], k)
-        .filter(F.col("rank") == k)
-        .select("query_id", F.col("score").alias("_floor"))
-    )
-    signs = asked.groupBy("query_id").agg(F.min("weight").alias("_lowest"))
-    bound = F.col("weight") * F.col("top_impact")
-    by_bound = Window.partitionBy("query_id").orderBy(bound, "token")
-    marked = (
-        asked.join(floor, "query_id", "left")
-        .join(signs, "query_id")
-        .withColumn("_reach", F.sum(bound).over(by_bound))
-        .withColumn(
-            "_spare",
-            (F.col("_lowest") >= 0) & F.col("_floor").isNotNull() & (F.col("_reach") < F.col("_floor") - 1e-6),
-        )
-        .select("query_id", "token", "weight", F.coalesce("_spare", F.lit(False)).alias("_spare"))
+    asked = query_terms(queries, index.terms).select("query_id", "token", "weight")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = index.totals.select(F.greatest(F.ceil(F.col("chunks") / CHUNKS_PER_BLOCK).cast("bigint"), one)).scalar()
+    columns = queries.agg(F.greatest(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("bigint"), one)).scalar()
+    left = index.postings.join(asked.select("token").distinct(), "token", "left_semi").select(
+        "id",
+        "token",
+        "impact",
+        F.pmod(F.xxhash64("id"), rows).alias("_chunks"),
+        F.explode(F.sequence(zero, columns - one)).alias("_queries"),
     )
-    marked = cut_lineage(marked)
-    found = cut_lineage(_sums(marked.filter(~F.col("_spare")), index.postings))
-    spare = marked.filter("_spare").select("query_id", "token", "weight")
-    rest = (
-        found.select("query_id", "id")
-        .join(spare, "query_id")
-        .join(index.postings, ["token", "id"])
-        .groupBy("query_id", "id")
-        .agg(F.sum(F.col("weight") * F.col("impact")).alias("_more"))
+    right = asked.select(
+        "query_id",
+        "token",
+        "weight",
+        F.explode(F.sequence(zero, rows - one)).alias("_chunks"),
+        F.pmod(F.xxhash64("query_id"), columns).alias("_queries"),
     )
-    total = F.round(F.col("score") + F.coalesce("_more", F.lit(0.0)), SCORE_DIGITS)
-    scored = found.join(rest, ["query_id", "id"], "left").select("query_id", "id", total.alias("score"))
-    return scale.top_k(scored.filter(F.col("score") > 0), ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    keys = ["_chunks", "_queries"]
 
+    def best(key, found: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        return _block_scores(found, terms, k)
 
-def _sums(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    return (
-        terms.select("query_id", "token", "weight")
-        .join(postings, "token")
-        .groupBy("query_id", "id")
-        .agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    scored = (
+        scale.workers(left, *keys)
+        .groupBy(*keys)
+        .cogroup(scale.workers(right, *keys).groupBy(*keys))
+        .applyInPandas(best, FOUND)
     )
+    return scale.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+
+
+def _block_scores(postings: pd.DataFrame, terms: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Best ``k`` chunks of a block per query, by dense products over small slices."""
+    parts = []
+    chunk_code, chunk_ids = pd.factorize(postings["id"], sort=True)
+    query_code, query_ids = pd.factorize(terms["query_id"], sort=True)
+    order = np.argsort(chunk_code, kind="stable")
+    chunk_code = chunk_code[order]
+    words, impact = postings["token"].to_numpy()[order], postings["impact"].to_numpy()[order]
+    for q in range(0, len(query_ids), _QUERY_SLICE):
+        asked = terms[(query_code >= q) & (query_code < q + _QUERY_SLICE)]
+        term_code, vocabulary = pd.factorize(asked["token"])
+        weights = np.zeros((len(vocabulary), min(_QUERY_SLICE, len(query_ids) - q)))
+        weights[term_code, query_code[asked.index] - q] = asked["weight"].to_numpy()
+        place = pd.Index(vocabulary).get_indexer(words)
+        for c in range(0, len(chunk_ids), _CHUNK_SLICE):
+            begin, end = np.searchsorted(chunk_code, [c, c + _CHUNK_SLICE])
+            known = np.flatnonzero(place[begin:end] >= 0) + begin
+            ids = chunk_ids[c : c + _CHUNK_SLICE].to_numpy()
+            impacts = np.zeros((len(ids), len(vocabulary)))
+            impacts[chunk_code[known] - c, place[known]] = impact[known]
+            scores = np.round((impacts @ weights).T, SCORE_DIGITS)
+            top = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "query_id": np.repeat(query_ids[q : q + _QUERY_SLICE].to_numpy(), top.shape[1]),
+                        "id": ids[top].ravel(),
+                        "score": np.take_along_axis(scores, top, axis=1).ravel(),
+                    }
+                )
+            )
+    if not parts:
+        return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
+    found = pd.concat(parts)
+    found = found[found["score"] > 0].sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+    return found.groupby("query_id").head(k)

@@ -208,9 +208,7 @@ def filled(df: DataFrame, columns: Sequence[str], key: str = "node_name", ts: st
     """Forward then backward fill by time within each key; ``newest_first`` swaps the two."""
     rows = df.withColumn("_bucket", F.unix_date(F.col(ts).cast("date")))
     rows = scale.spread(rows, [key], "_bucket")
-    for forward in (not newest_first, newest_first):
-        rows = scale.split_fill(rows, [key], "_bucket", [ts], columns, forward=forward)
-    return rows.drop("_bucket")
+    return scale.split_fill_both(rows, [key], "_bucket", [ts], columns, newest_first).drop("_bucket")
 
 
 def filled_with_mean(df: DataFrame, columns: Sequence[str], key: str = "node_name") -> DataFrame:

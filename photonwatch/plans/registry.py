@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from photonwatch.plans.fixture_sql import with_views
 from photonwatch.plans.fixtures import Tables
+from photonwatch.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,8 +19,7 @@ def query(name: str, sql: str | None = None, views: str = ""):
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables(prepare(spark), sf_dir))
 
         run.__name__ = name
         if name in QUERIES:

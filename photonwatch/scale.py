@@ -108,37 +108,61 @@ def split_lag(
 
 
 def split_fill(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], columns: Sequence[str], suffix: str = ""
+) -> DataFrame:
+    """Last known value at or before each row."""
+    return _split_known(df, keys, bucket, order, columns, suffix, ["before"])
+
+
+def split_fill_both(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], columns: Sequence[str], newest_first: bool = False
+) -> DataFrame:
+    """Last known value at or before each row, else the next known one.
+
+    This is a forward fill followed by a backward fill, in one pass;
+    ``newest_first`` asks for the next value before the last one.
+    """
+    sides = ["after", "before"] if newest_first else ["before", "after"]
+    return _split_known(df, keys, bucket, order, columns, "", sides)
+
+
+def _split_known(
     df: DataFrame,
     keys: Sequence[str],
     bucket: str,
     order: Sequence[str],
     columns: Sequence[str],
-    forward: bool = True,
-    suffix: str = "",
+    suffix: str,
+    sides: Sequence[str],
 ) -> DataFrame:
-    """Last known value at or before each row (or next known, backwards)."""
     keys = list(keys)
     position = F.struct(*order)
-    pick = F.max_by if forward else F.min_by
-    edge = df.groupBy(*keys, bucket).agg(
-        *[
-            pick(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_e_{c}")
-            for c in columns
-        ]
-    )
-    known = F.last if forward else F.first
-    over = _bucket_window(keys, bucket, _BEFORE if forward else _AFTER)
-    edge = edge.select(
-        *keys, bucket, *[known(f"_e_{c}", ignorenulls=True).over(over).alias(f"_c_{c}") for c in columns]
-    )
-    frame = (Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(*frame)
-    filled = df.withColumns({f"_i_{c}": known(c, ignorenulls=True).over(inside) for c in columns})
-    return (
-        filled.join(edge, [*keys, bucket])
-        .withColumns({c + suffix: F.coalesce(f"_i_{c}", f"_c_{c}") for c in columns})
-        .drop(*[f"_i_{c}" for c in columns], *[f"_c_{c}" for c in columns])
-    )
+    names = [(side, c) for side in sides for c in columns]
+
+    def edge_value(side: str, c: str) -> Column:
+        pick = F.max_by if side == "before" else F.min_by
+        return pick(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_e_{side}_{c}")
+
+    def carried(side: str, c: str) -> Column:
+        known, frame = (F.last, _BEFORE) if side == "before" else (F.first, _AFTER)
+        over = _bucket_window(keys, bucket, frame)
+        return known(f"_e_{side}_{c}", ignorenulls=True).over(over).alias(f"_c_{side}_{c}")
+
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+
+    def nearby(side: str, c: str) -> Column:
+        if side == "before":
+            return F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        return F.first(c, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
+
+    edges = df.groupBy(*keys, bucket).agg(*[edge_value(*n) for n in names])
+    edges = edges.select(*keys, bucket, *[carried(*n) for n in names])
+    filled = df.withColumns({f"_i_{side}_{c}": nearby(side, c) for side, c in names})
+    known = {
+        c + suffix: F.coalesce(*[x for side in sides for x in (f"_i_{side}_{c}", f"_c_{side}_{c}")]) for c in columns
+    }
+    kept = [c for c in df.columns if c not in known]
+    return filled.join(edges, [*keys, bucket]).select(*kept, *[v.alias(n) for n, v in known.items()])
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

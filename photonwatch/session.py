@@ -6,13 +6,24 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# With the last setting a window or aggregate over (key, bucket) never settles
+# for rows that are merely together by key: a hot key would sit in one task.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
 }
+RUNTIME_SETTINGS = ("spark.sql.session.timeZone", "spark.sql.requireAllClusterKeysForDistribution")
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set what the operators rely on in a session started elsewhere."""
+    for key in RUNTIME_SETTINGS:
+        spark.conf.set(key, SETTINGS[key])
+    return spark
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
