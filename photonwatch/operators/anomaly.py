@@ -283,7 +283,7 @@ def fit_forests(
     offered = scale.workers(offered, "node_name", "tree")
     chosen = scale.top_k(offered, ["node_name", "tree"], [F.col("_order"), F.col("timestamp")], sample, "_rank")
 
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         node, tree = key
         points = pdf.sort_values("_rank")[features].to_numpy(dtype=float)
         grown = _grow(points, np.random.default_rng([seed, int(tree), *node.encode()]))
@@ -334,7 +334,7 @@ def forest_scores(rows: DataFrame, model: DataFrame, features: Sequence[str] = t
     )
     right = model.join(sizes, "node_name").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)))
 
-    def score(key, part: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, part: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         if part.empty or forest.empty:
             return pd.DataFrame({"node_name": [], "timestamp": [], "raw_score": []})
         points = part[features].to_numpy(dtype=float)

@@ -109,7 +109,7 @@ def fit_models(series: DataFrame) -> DataFrame:
         .join(ranges, keys)
     )
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((_SIZE + 1, _SIZE + 1))
         total[upper] = pdf.sort_values("place")["total"].to_numpy()
         total = total + np.triu(total, 1).T

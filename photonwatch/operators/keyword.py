@@ -114,7 +114,7 @@ def bm25_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     )
     keys = ["_chunks", "_queries"]
 
-    def best(key, found: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+    def best(key: tuple, found: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
         return _block_scores(found, terms, k)
 
     scored = (

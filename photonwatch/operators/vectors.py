@@ -108,7 +108,7 @@ def _group_count(df: DataFrame, size: int) -> Column:
 def _meet(vectors: DataFrame, queries: DataFrame, keys: list[str], k: int, metric: str) -> DataFrame:
     """Vectors and queries with equal keys, k rows per query kept per group."""
 
-    def search(key, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         best = _Best(asked["query_id"].to_numpy(), _stack(asked["embedding"]), k, metric)
         best.add(points["id"].to_numpy(), _stack(points["embedding"]))
         return best.rows()
