@@ -13,7 +13,7 @@ START = dt.datetime(2024, 1, 1)
 
 def batches(spark, folder, rows, schema, parts=4):
     """Write rows as time-ordered files and stream them one file per batch."""
-    size = len(rows) // parts + 1
+    size = -(-len(rows) // parts)
     for i in range(parts):
         spark.createDataFrame(rows[i * size : (i + 1) * size], schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
     return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(folder / "in"))
@@ -55,8 +55,8 @@ def test_sustained_breach(spark, tmp_path):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
-    rows = [(START + dt.timedelta(minutes=m), "n", "cpu", 1.0) for m in (1, 20, 120, 240, 2, 400)]
-    stream = batches(spark, tmp_path, rows, "timestamp timestamp, node_name string, metric string, value double", 3)
+    rows = [(START + dt.timedelta(minutes=m), "n", "cpu", 1.0) for m in (1, 20, 120, 240, 260, 280, 2, 400)]
+    stream = batches(spark, tmp_path, rows, "timestamp timestamp, node_name string, metric string, value double", 4)
     got = monitors.run_to_folder(monitors.tumbling_means(stream.withWatermark("timestamp", "30 minutes")), "t").collect()
     assert sum(r.points for r in got if r.start == START) == 1  # minute 2 comes after its window closed
     assert {r.start for r in got} >= {START, START + dt.timedelta(minutes=15), START + dt.timedelta(minutes=120)}
