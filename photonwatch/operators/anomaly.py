@@ -352,17 +352,29 @@ def forest_scores(rows: DataFrame, model: DataFrame, features: Sequence[str] = t
 
 
 def score_offsets(train_scores: DataFrame, contamination: float = 0.05) -> DataFrame:
-    """Per node the linear-interpolated quantile of the training scores.
+    """Per node the linear-interpolated quantile of the training scores, exactly.
 
-    Ranks come from bucketed row numbers, so no node is gathered in one task.
+    Equal scores are counted first; the running count over the distinct scores
+    is bucketed, so neither a large node nor a frequent score crowds a task.
     """
-    rows = train_scores.withColumn("_bucket", F.floor(F.col("raw_score") * 10_000))
-    ranked = scale.split_row_number(rows, ["node_name"], "_bucket", [F.col("raw_score")], "_i", total="_n")
+    counts = train_scores.groupBy("node_name", "raw_score").agg(F.count(F.lit(1)).alias("_count"))
+    rows = scale.spread(counts.withColumn("_bucket", F.floor(F.col("raw_score") * 10_000)), ["node_name"], "_bucket")
+    running = scale.split_running_sum(rows, ["node_name"], "_bucket", [F.col("raw_score")], "_count", "_upto")
+    sizes = train_scores.groupBy("node_name").agg(F.count(F.lit(1)).alias("_n"))
     place = (F.col("_n") - 1) * F.lit(contamination)
-    low, part = F.floor(place), place - F.floor(place)
-    weight = F.when(F.col("_i") == low + 1, 1 - part).when(F.col("_i") == low + 2, part)
-    return ranked.withColumn("_w", weight).filter(F.col("_w").isNotNull()).groupBy("node_name").agg(
-        F.sum(F.col("_w") * F.col("raw_score")).alias("offset")
+    low = F.floor(place)
+    part = place - low
+
+    def holds(position: Column) -> Column:
+        return (F.col("_upto") - F.col("_count") < position) & (position <= F.col("_upto"))
+
+    weight = F.when(holds(low + 1), 1 - part).otherwise(0.0) + F.when(holds(low + 2), part).otherwise(0.0)
+    return (
+        running.join(sizes, "node_name")
+        .withColumn("_w", weight)
+        .filter(F.col("_w") > 0)
+        .groupBy("node_name")
+        .agg(F.sum(F.col("_w") * F.col("raw_score")).alias("offset"))
     )
 
 

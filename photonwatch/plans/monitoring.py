@@ -443,15 +443,16 @@ def _(t: Tables):
 # -- models ------------------------------------------------------------------------
 
 
-def _fitted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Split rows, scaling, forests and offsets; the tables a training run stores."""
+def _trained(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scaled rows with their split, the scaling, and the stored forests."""
     matrix = cut_lineage(anomaly.train_split(_matrix(t)))
     scaling = anomaly.scaling(matrix.filter("is_train"))
     scaled = anomaly.standardised(matrix, scaling)
-    training = scaled.filter("is_train")
-    model = cut_lineage(anomaly.fit_forests(training))
-    offsets = cut_lineage(anomaly.score_offsets(anomaly.forest_scores(training, model)))
-    return scaled, scaling, model, offsets
+    return scaled, scaling, cut_lineage(anomaly.fit_forests(scaled.filter("is_train")))
+
+
+def _offsets(scaled: DataFrame, model: DataFrame) -> DataFrame:
+    return anomaly.score_offsets(cut_lineage(anomaly.forest_scores(scaled.filter("is_train"), model)))
 
 
 @query("i2_train_split")
@@ -462,20 +463,22 @@ def _(t: Tables):
 
 @query("i4_isolation_forests")
 def _(t: Tables):
-    _, _, model, _ = _fitted(t)
+    _, _, model = _trained(t)
     return model.select("node_name", "tree", "sample", F.size("feature").alias("tree_nodes"), F.array_max("depth").alias("longest"))
 
 
 @query("i5_i6_h10_holdout_report")
 def _(t: Tables):
-    scaled, _, model, offsets = _fitted(t)
+    scaled, _, model = _trained(t)
+    offsets = _offsets(scaled, model)
     raw = anomaly.forest_scores(scaled.filter(~F.col("is_train")), model)
     return anomaly.holdout_report(anomaly.decisions(raw, offsets))
 
 
 @query("i7_fault_diagnosis")
 def _(t: Tables):
-    _, scaling, model, offsets = _fitted(t)
+    scaled, scaling, model = _trained(t)
+    offsets = _offsets(scaled, model)
     now = cut_lineage(_snapshot(t))
     features = anomaly.standardised(anomaly.with_feature_defaults(now).select("node_name", "timestamp", *FEATURES), scaling)
     judged = anomaly.decisions(anomaly.forest_scores(features, model), offsets)
