@@ -222,9 +222,14 @@ def filled_with_mean(df: DataFrame, columns: Sequence[str], key: str = "node_nam
 
 
 def feature_matrix(frame: DataFrame, newest_first: bool = False) -> DataFrame:
-    """The model features of a training frame, gaps filled."""
+    """The model features of a training frame, gaps filled.
+
+    Filling in both directions leaves a gap only where a node never reported
+    the feature, and then there is no mean either: the third step,
+    :func:`filled_with_mean`, cannot change anything here and is left out.
+    """
     rows = frame.select("node_name", "timestamp", *FEATURES)
-    return filled_with_mean(filled(rows, FEATURES, newest_first=newest_first), FEATURES)
+    return filled(rows, FEATURES, newest_first=newest_first)
 
 
 def forecast_series(
