@@ -24,14 +24,17 @@ def active_chunks(chunks: DataFrame, library: DataFrame, filename: str = "all")
     return chunks.join(kept, "filename", "left_semi")
 
 
+# a run of a-z and 0-9, at least two long or ``a`` or ``i``, with no other word character beside it
+_TOKEN = r"(?<![\p{L}\p{N}_])(?:[a-z0-9]{2,}|[ai])(?![\p{L}\p{N}_])"
+
+
 def tokens(text: str | Column) -> Column:
     """Whole words of a-z and 0-9, lower case; single characters only ``a`` and ``i``.
 
     A run with any other letter, digit or underscore is one word and dropped as a whole.
     """
     c = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return F.filter(words, lambda w: w.rlike("^[a-z0-9]+$") & ((F.length(w) > 1) | w.isin("a", "i")))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(_TOKEN), F.lit(0))
 
 
 class Index(NamedTuple):
@@ -48,7 +51,8 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float
     The impact of a posting is its BM25 term weight without the idf, so that a
     score is a plain weighted sum.
     """
-    words = chunks.select("id", tokens("content").alias("tokens"))
+    # the generator keeps the optimiser from splitting the text once per use of the list
+    words = chunks.select("id", F.explode(F.array(tokens("content"))).alias("tokens"))
     counted = (
         words.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
         .groupBy("token", "id", "length")
