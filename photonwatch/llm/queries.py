@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.llm import decontaminate, sharding
-from photonwatch.llm.common import text_or_empty
+from photonwatch.llm import bpe, decontaminate, jaccard, line_dedup, quality, sharding, toxicity
+from photonwatch.llm.common import id_crc32, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,56 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """Path of the byte-level vocabulary on this machine; executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_quality_classifier")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    stats = stored(quality.document_statistics(table(spark, folder, "documents")))
+    labels = table(spark, folder, "labels").filter(id_crc32() % 3 != 1)
+    model = quality.fit(stats, labels)
+    return quality.score(stats, model).select("doc_id", (id_crc32() % 3 == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op2_toxicity")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, folder, "labels"), 4, 2))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (id_crc32() % 4 == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op4_ngram_jaccard")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, folder, "documents"), width=3, percent=90)
+
+
+@query(
+    "op7_substring_dedup",
+    sql=r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+u AS (SELECT row, doc_id, i, l[i] AS line FROM (SELECT row, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+n AS (SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm,
+        coalesce(sum(length(line) + 1) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
+k AS (SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 3
+        AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, row, i) > 1 AS gone FROM n)
+SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
+       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (WHERE gone), '') AS removed,
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
+FROM k GROUP BY row, doc_id""",
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    span = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return out.select(
+        "doc_id", F.size("removed").cast("bigint").alias("n_removed"), F.array_join(span, ",").alias("removed"), text_or_empty().alias("text")
+    )
+
+
 @query(
     "op8_decontamination",
     sql=r"""
@@ -63,6 +113,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_bpe")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(table(spark, folder, "documents"), vocabulary(), with_text=False)
+
+
 @query("op10_sharding")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     text = text_or_empty()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photonwatch import scale
-from photonwatch.llm.common import unit_interval
+from photonwatch.llm.common import spread_count, unit_interval
 
 
 def draw_hypergeometric(population: Column, marked: Column, draws: Column, u: Column) -> Column:
@@ -45,7 +45,8 @@ def draw_hypergeometric(population: Column, marked: Column, draws: Column, u: Co
     start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"))
     total = F.aggregate(values, start, add, lambda s: s["sum"])
     begin = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("sum"), F.lit(-1).cast("bigint").alias("x"))
-    found = F.aggregate(values, begin, pick(u * total), lambda s: s["x"])
+    # the target is bound once, not summed again at every step
+    found = F.transform(F.array(u * total), lambda target: F.aggregate(values, begin, pick(target), lambda s: s["x"]))[0]
     return F.when(found < 0, high).otherwise(found)
 
 
@@ -105,7 +106,7 @@ def communication_matrix(block_sizes: DataFrame, blocks: int, rows: int, n_shard
             F.zip_with("counts", "_left", lambda a, b: a - b).alias("counts"),
         )
         # the shuffle shares the draws of deeper levels among tasks
-        nodes = drawn.repartition("node").select(F.inline(F.array(left, right)))
+        nodes = drawn.repartition(min(2**level, spread_count(drawn.sparkSession)), "node").select(F.inline(F.array(left, right)))
     return nodes.select(F.col("node").alias("block"), "counts")
 
 
