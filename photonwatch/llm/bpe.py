@@ -8,12 +8,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.llm.common import text_or_empty
+from photonwatch.llm.common import spread_count, text_or_empty
 
 # fixed values: how the vocabulary's published tokenizer cuts texts into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -21,8 +23,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # characters that both pattern engines put in the same classes; other texts are cut by the library itself
 UNUSUAL = re.compile("[^\x00-\u052f\u2000-\u206f]")
 
-#: Text that meets in one task: documents of about this many bytes and their distinct words.
-BLOCK_BYTES = 4_000_000
+#: Documents of about this many characters share one list of words and meet in one task.
+CHUNK_CHARACTERS = 32_000_000
 
 
 @lru_cache(maxsize=2)
@@ -71,78 +73,106 @@ def _byte_values() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(others)}
 
 
-def pieces(spark, path: str) -> DataFrame:
-    """id and piece (bytes) of every token: as many rows as the vocabulary has, whatever the corpus."""
+@lru_cache(maxsize=2)
+def _piece_list(path: str) -> list[bytes]:
+    """Bytes of every token by id."""
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
     value = _byte_values()
     special = _special_tokens(path)
-    rows = [(i, bytes(value[c] for c in piece)) for piece, i in vocabulary.items() if piece not in special]
-    rows += [(i, token.encode()) for token, i in special.items()]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece"]), "id int, piece binary")
+    found = {i: bytes(value[c] for c in piece) for piece, i in vocabulary.items() if piece not in special}
+    found |= {i: token.encode() for token, i in special.items()}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """id and piece (bytes) of every token: as many rows as the vocabulary has, whatever the corpus."""
+    return spark.createDataFrame(pd.DataFrame(list(enumerate(_piece_list(path))), columns=["id", "piece"]), "id int, piece binary")
 
 
-def _blocked(docs: DataFrame, total_bytes: int) -> DataFrame:
-    blocks = max(1, -(-total_bytes // BLOCK_BYTES))
-    text = text_or_empty()
-    slim = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(blocks)).cast("int").alias("block"))
-    return slim.repartition(blocks, "block")
+def _pack(path: str):
+    """One row per chunk of documents: its distinct words, and each document's words as places in that list."""
 
+    def packed(ids: list, places: list[np.ndarray], words: dict[str, int]) -> pd.DataFrame:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        flat = np.concatenate(places) if places else np.zeros(0, np.int32)
+        lengths = np.array([len(p) for p in places], np.int64)
+        # the name is taken from the contents, so a task that runs twice gives the same one
+        name = hashlib.sha256(flat.tobytes() + repr(ids).encode() + lengths.tobytes()).hexdigest()
+        row = {
+            "chunk": name, "doc_ids": ids, "lengths": lengths, "places": squeeze(flat.tobytes()), "words": squeeze(json.dumps(list(words)).encode()),
+        }
+        return pd.DataFrame([row])
 
-def _distinct_words(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = _cutter(path)
+        ids, places, words, size = [], [], {}, 0
         for frame in batches:
-            for block, texts in frame.groupby("block")["text"]:
-                seen: set[str] = set()
-                for text in texts:
-                    seen.update(cut(text))
-                yield pd.DataFrame({"block": block, "word": sorted(seen)}).astype({"block": "int32"})
+            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+                places.append(np.array([words.setdefault(w, len(words)) for w in cut(text)], np.int32))
+                ids.append(doc_id)
+                size += len(text)
+                if size >= CHUNK_CHARACTERS:
+                    yield packed(ids, places, words)
+                    ids, places, words, size = [], [], {}, 0
+        if ids:
+            yield packed(ids, places, words)
 
     return run
 
 
+def _list_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in batches:
+        for chunk, words in zip(frame["chunk"], frame["words"]):
+            listed = json.loads(zstandard.ZstdDecompressor().decompress(words))
+            for at in range(0, len(listed), 10_000):
+                part = listed[at : at + 10_000]
+                yield pd.DataFrame({"chunk": chunk, "at": np.arange(at, at + len(part), dtype=np.int32), "word": part})
+
+
 def _encode_words(path: str):
+    """``ids`` for rows that come sorted by word: the library sees every word once."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, special = _tokenizer(path), _special_tokens(path)
+        known: dict[str, bytes] = {}
         for frame in batches:
-            words = frame["word"].tolist()
-            coded = tokenizer.encode_batch(words, add_special_tokens=False)
-            ids = [[special[w]] if w in special else c.ids for w, c in zip(words, coded)]
-            yield pd.DataFrame({"word": words, "ids": ids})
+            new = [w for w in frame["word"].unique() if w not in known]
+            coded = tokenizer.encode_batch(new, add_special_tokens=False)
+            last = frame["word"].iloc[-1] if len(frame) else None
+            known |= {w: np.array([special[w]] if w in special else c.ids, np.int32).tobytes() for w, c in zip(new, coded)}
+            yield pd.DataFrame({"chunk": frame["chunk"], "at": frame["at"], "ids": frame["word"].map(known)})
+            known = {last: known[last]} if last in known else {}
 
     return run
 
 
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """word, ids and decoded (the bytes of its ids' pieces) for the distinct words of ``words``."""
-    coded = words.select("word").distinct().mapInPandas(_encode_words(path), "word string, ids array<int>")
-    # the vocabulary's size bounds what is broadcast
-    listed = coded.select("word", "ids", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces(words.sparkSession, path)), "id")
-    joined = F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("piece"))))
-    return listed.groupBy("word").agg(
-        F.first("ids").alias("ids"), F.unhex(F.array_join(joined["piece"], "")).alias("decoded")
-    )
-
-
 def _join_back(path: str, with_text: bool):
-    def run(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        cut = _cutter(path)
-        listed = dict(zip(words["word"], (",".join(map(str, ids)) for ids in words["ids"])))
-        counts = dict(zip(words["word"], map(len, words["ids"])))
-        decoded = dict(zip(words["word"], words["decoded"]))
+    """Each document's words take, by place, their ids and the bytes of the ids' pieces."""
+
+    def run(chunks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        piece = _piece_list(path)
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+        for at, coded in zip(words["at"], words["ids"]):
+            ids[at] = np.frombuffer(coded, np.int32)
+        listed = [",".join(map(str, i.tolist())) for i in ids]
+        decoded = [b"".join([piece[k] for k in i.tolist()]) for i in ids]
+        counts = np.array([len(i) for i in ids], np.int64)
         rows = []
-        for doc_id, text in zip(docs["doc_id"], docs["text"]):
-            own = cut(text)
-            ids = ",".join(map(listed.__getitem__, own))
-            # as the library does, bytes that are no UTF-8 become U+FFFD
-            back = b"".join(map(decoded.__getitem__, own)).decode("utf-8", "replace")
-            row = [doc_id, sum(map(counts.__getitem__, own)), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
-            if with_text:
-                row += [[int(i) for i in ids.split(",")] if ids else [], back]
-            rows.append(row)
+        # chunks of equal contents have equal names: copies of all rows
+        for doc_ids, lengths, packed in zip(chunks["doc_ids"], chunks["lengths"], chunks["places"]):
+            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int32)
+            for doc_id, own in zip(doc_ids, np.split(flat, np.cumsum(lengths)[:-1])):
+                places = own.tolist()
+                text = ",".join([listed[k] for k in places])
+                # as the library does, bytes that are no UTF-8 become U+FFFD
+                back = b"".join([decoded[k] for k in places]).decode("utf-8", "replace")
+                row = [doc_id, int(counts[own].sum()), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
+                if with_text:
+                    row += [[int(i) for i in text.split(",")] if text else [], back]
+                rows.append(row)
         columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_text else 4]
-        return pd.DataFrame(rows, columns=columns).astype({"doc_id": docs["doc_id"].dtype})
+        return pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -150,11 +180,12 @@ def _join_back(path: str, with_text: bool):
 def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded text.
 
-    Documents are dealt to blocks of a few megabytes.  Each block's distinct
-    words are listed, each distinct word of the corpus is encoded once, and the
-    coded words come back to their blocks, where every word of a text takes its
-    ids and the bytes of its pieces by position.  So what moves is the text once
-    and the blocks' distinct words, not one row per word of the corpus.
+    Each task cuts its documents into words and packs them in chunks: the list
+    of a chunk's distinct words, and every document as places in that list.  The
+    lists' words are sorted together, each distinct word of the corpus is encoded
+    once, and its ids go back to the places that asked, where the documents take
+    them by position.  So the texts themselves are never shuffled, only packed
+    places and one row per chunk and distinct word.
 
     Null and empty texts have no tokens; special tokens written in a text are
     read as such, as the library does; null ids and repeated rows are kept as
@@ -162,13 +193,17 @@ def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
     whole, however long.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_or_empty())), F.lit(0)).alias("n")).first()["n"]
     # ids travel as text, so that pandas keeps null and large ones as they are
-    blocked = _blocked(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), total)
-    words = blocked.mapInPandas(_distinct_words(path), "block int, word string").distinct()
-    coded = words.join(word_table(words, path), "word").select("block", "word", "ids", "decoded")
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
+    n = spread_count(docs.sparkSession)
+    packed = slim.mapInPandas(_pack(path), "chunk string, doc_ids array<string>, lengths array<long>, places binary, words binary")
+    packed = packed.repartition(n, "chunk")
+    listed = packed.mapInPandas(_list_words, "chunk string, at int, word string")
+    coded = listed.repartition(n, "word").sortWithinPartitions("word").mapInPandas(_encode_words(path), "chunk string, at int, ids binary")
+    # a chunk that occurs twice lists its words twice
+    coded = coded.repartition(n, "chunk")
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")
-    out = blocked.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(_join_back(path, with_text), schema)
+    out = packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(_join_back(path, with_text), schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 

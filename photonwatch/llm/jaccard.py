@@ -18,6 +18,8 @@ from photonwatch.llm.components import components
 
 #: A segment that more sets than this share is worth skipping.
 CROWDED = 30
+#: Bits of the sketch by which far pairs are told apart before their sets are fetched.
+SKETCH_LONGS = 16
 #: Sizes grow by this factor from band to band.
 BAND = 1.5
 #: Low bits of a bucket: the band, and whether its segment has one-deletion neighbours.
@@ -115,26 +117,38 @@ def buckets(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(found), np.concatenate(deleted)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Whether each of the sketch's bits got an odd number of shingles: two sketches differ in no more bits than the sets in shingles."""
+    bits = np.bincount((shingles & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+_SKETCH = "struct<" + ",".join(f"k{k}:bigint" for k in range(SKETCH_LONGS)) + ">"
+
+
 def _signatures(width: int, percent: int):
-    """Per text: size of its set, two hashes of the set, and its buckets, twice their number plus one where a shingle was deleted."""
+    """Per text: size of its set, two hashes of the set, its sketch, its buckets and which of them had a shingle deleted."""
+    longs = pa.struct([(f"k{k}", pa.int64()) for k in range(SKETCH_LONGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # bounds what a task holds
                 part = batch.slice(at, 500)
-                sizes, first, second, lists, flags = [], [], [], [], []
+                sizes, first, second, sketches, lists, flags = [], [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingle_hashes(word_hashes(text), width)
                     sizes.append(len(s))
                     first.append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(11)), initial=np.uint64(0)).view(np.int64)))
                     second.append(int(mix64(np.add.reduce(mix64(s + np.uint64(29)), keepdims=True) + np.uint64(len(s)))[0].view(np.int64)) if len(s) else 0)
+                    sketches.append(sketch(s))
                     found, deleted = buckets(s, percent)
                     lists.append(found.view(np.int64))
                     flags.append(np.flatnonzero(deleted).astype(np.int32))
+                bits = [pa.array(c, pa.int64()) for c in np.array(sketches).T]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                     pa.array(lists, pa.list_(pa.int64())), pa.array(flags, pa.list_(pa.int32()))],
-                    names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "buckets", "deleted"],
+                     pa.StructArray.from_arrays(bits, fields=list(longs)), pa.array(lists, pa.list_(pa.int64())), pa.array(flags, pa.list_(pa.int32()))],
+                    names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "sketch", "buckets", "deleted"],
                 )
 
     return run
@@ -168,8 +182,11 @@ def _verify(percent: int):
     return run
 
 
-def _close_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(percent: int) -> Column:
+    """What linked pairs (n_x, sketch_x, n_y, sketch_y) always meet: close sizes, and sketches that differ in few bits."""
+    close = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    apart = sum((F.bit_count(F.col(f"sketch_x.k{k}").bitwiseXOR(F.col(f"sketch_y.k{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
+    return close & (apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
 
 
 class _Join:
@@ -177,7 +194,7 @@ class _Join:
         self.docs, self.width, self.percent = docs.select("doc_id", text_or_empty().alias("text")), width, percent
         hashed = self.docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
         kind = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, text_hash long, n_shingles long, s1 long, s2 long, buckets array<long>, deleted array<int>"
+        schema = f"doc_id {kind}, text_hash long, n_shingles long, s1 long, s2 long, sketch {_SKETCH}, buckets array<long>, deleted array<int>"
         rows = hashed.mapInArrow(_signatures(width, percent), schema)
         # the id is written with the row, so it stays the same whatever runs again
         self.rows = stored(rows.withColumn("id", F.monotonically_increasing_id()))
@@ -187,17 +204,17 @@ class _Join:
         self.reps = self.rows.join(reps, ["s1", "s2", "id"], "left_semi")
 
     def shared(self) -> DataFrame:
-        """Buckets with two sets or more: bucket, id, deleted, n, centre (smallest id with the bucket itself) and crowd.
+        """Buckets with two sets or more: bucket, id, deleted, centre (smallest id with the bucket itself) and crowd.
 
         Sets that can afford it skip their crowded segments.
         """
-        exploded = self.reps.select(
-            "id", F.col("n_shingles").cast("int").alias("n"), "deleted", F.posexplode("buckets").alias("at", "bucket")
-        ).select("bucket", "id", "n", ((F.size("deleted") > 0) & F.array_contains("deleted", F.col("at"))).alias("deleted"))
+        exploded = self.reps.select("id", "deleted", F.posexplode("buckets").alias("at", "bucket")).select(
+            "bucket", "id", ((F.size("deleted") > 0) & F.array_contains("deleted", F.col("at"))).alias("deleted")
+        )
         together = Window.partitionBy("bucket")
         whole = F.when(~F.col("deleted"), F.col("id"))
         met = exploded.select(
-            "bucket", "id", "n", "deleted",
+            "bucket", "id", "deleted",
             F.min(whole).over(together).alias("centre"), F.count(whole).over(together).alias("crowd"), F.count("id").over(together).alias("all"),
         ).filter((F.col("all") > 1) & (F.col("crowd") > 0)).drop("all")
         met = stored(met)
@@ -224,25 +241,22 @@ class _Join:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that connect every component, and class id and component of all linked classes."""
         shared = stored(self.shared())
-        to_centre = shared.filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-        first = stored(self.verified(to_centre))
+        known = self.reps.select("id", F.col("n_shingles").alias("n"), "sketch")
+        x, y = (known.select(*[F.col(c).alias(f"{c}_{s}") for c in known.columns]) for s in "xy")
+        to_centre = shared.filter("id != centre").select(F.col("id").alias("id_x"), F.col("centre").alias("id_y")).distinct()
+        may = _may_link(self.percent)
+        pairs = to_centre.join(x, "id_x").join(y, "id_y").filter(may).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+        first = stored(self.verified(stored(pairs)))
         found = components(first)
         # what the centres left apart: pairs in different components that share a bucket
-        label = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        label = shared.join(found, "id", "left").select("bucket", "id", "deleted", F.coalesce("component", "id").alias("component"))
         apart = Window.partitionBy("bucket")
-        mixed = label.withColumns(
-            {"_low": F.min("component").over(apart), "_high": F.max("component").over(apart)}
-        ).filter("_low != _high").select("bucket", "id", "n", "deleted", "component")
-        x, y = (mixed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "deleted", "component")]) for s in "xy")
-        met = x.join(y, "bucket").filter(
-            (F.col("id_x") > F.col("id_y"))
-            & (F.col("component_x") != F.col("component_y"))
-            & ~(F.col("deleted_x") & F.col("deleted_y"))
-            & _close_sizes(F.col("n_x"), F.col("n_y"), self.percent)
-        )
-        pairs = met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-        pairs = pairs.join(to_centre, ["a", "b"], "left_anti")
-        second = stored(self.verified(pairs))
+        mixed = label.withColumns({"_low": F.min("component").over(apart), "_high": F.max("component").over(apart)})
+        mixed = mixed.filter("_low != _high").join(known, "id").select("bucket", "id", "deleted", "component", "n", "sketch")
+        x, y = (mixed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in mixed.columns[1:]]) for s in "xy")
+        both = (F.col("id_x") > F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("deleted_x") & F.col("deleted_y"))
+        met = x.join(y, (x["bucket"] == y["bucket"]) & both & may)
+        second = stored(self.verified(stored(met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())))
         edges = first.union(second)
         if second.isEmpty():
             return edges, found
@@ -262,7 +276,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     linked sets share a whole segment (or, where that is cheaper, one up to a
     deleted shingle).  In each shared bucket all sets are first compared with its
     smallest; components are formed; then pairs that share a bucket but no
-    component are compared.  So no link between components is lost, and a large
+    component are compared.  Pairs whose sketches differ in more bits than linked
+    sets in shingles are left out before any set is fetched.  So no link between components is lost, and a large
     group of near copies costs one comparison per set and bucket, not one per pair.
 
     Null and empty texts count as empty; null doc_ids sort last and are never a

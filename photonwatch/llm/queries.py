@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.llm import bpe, decontaminate, jaccard, line_dedup, quality, sharding, toxicity
+from photonwatch.llm import bpe, decontaminate, jaccard, licences, line_dedup, neighbours, quality, sharding, toxicity, urls
 from photonwatch.llm.common import id_crc32, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,11 +51,50 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (id_crc32() % 4 == 2).alias("held_out"), "score", "predicted")
 
 
+@query("op3_licence_scan")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    # documents as files: source / language / thousand / id; a text of which a tenth of the lines name a licence speaks for its directory
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    files = table(spark, folder, "documents").select(path.alias("path"), "text")
+    found = licences.scan(files, F.col("share") >= 0.1)
+    return found.select(
+        F.element_at(F.split("path", "/"), -1).cast("bigint").alias("doc_id"),
+        "path",
+        "own",
+        F.round("score", 6).alias("score"),
+        "inherited",
+        "from_directory",
+        "licence",
+    )
+
+
 @query("op4_ngram_jaccard")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, folder, "documents"), width=3, percent=90)
 
 
+RULES = [
+    urls.Rule("allow", "org/"),
+    urls.Rule("block", "example.org/es/"),
+    urls.Rule("block", "example.org/en/1"),
+    urls.Rule("allow", "com/fr/"),
+    urls.Rule("block", "com/de/"),
+]
+
+
+@query("op5_url_filter")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    counts = stored(urls.word_counts(pages, "html"))
+    return urls.classify(pages.select("page_id", "url"), counts, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op6_nearest_vectors")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = neighbours.usable(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return neighbours.search(neighbours.build_index(vectors), vectors.filter("id % 50 = 0"))
+
+
 @query(
     "op7_substring_dedup",
     sql=r"""

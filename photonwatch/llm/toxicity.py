@@ -16,10 +16,12 @@ from photonwatch.llm.common import id_crc32, mix64, text_or_empty, unit_interval
 BITS = 20
 #: Labelled rows that are fitted, in expectation; the sample is taken by a hash of doc_id.
 MAX_LABELLED = 24_000
-#: Each shard of the sample is fitted on its own; the weights are averaged.
-SHARDS = 8
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.5, 0.1
+#: The sample is fitted in shards of about this many rows; their weights are averaged.
+SHARD_ROWS = 6_000
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 10.0, 1.0, 5.0, 0.1
+#: Coordinates seen in fewer texts of a shard get no weight.
+LEAST_TEXTS = 4
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
@@ -47,11 +49,15 @@ def _weights(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
     return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def _fit_shard(bias: float, l1: float):
+def _fit_shard(bias: float, l1: float, least_texts: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("order", kind="stable")
         z, n = np.zeros(2**BITS), np.zeros(2**BITS)
         rows = [(np.unique(coordinates(t)), y) for t, y in zip(frame["text"], frame["label"])]
+        seen = np.zeros(2**BITS, np.int32)
+        for at, _ in rows:
+            seen[at] += 1
+        rows = [(at[seen[at] >= least_texts], y) for at, y in rows]
         for _ in range(EPOCHS):
             for at, y in rows:
                 w = _weights(z[at], n[at], l1)
@@ -66,7 +72,7 @@ def _fit_shard(bias: float, l1: float):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED, l1: float = L1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED, l1: float = L1, least_texts: int = LEAST_TEXTS) -> Model:
     """``labels``: doc_id and the 0/1 column ``label``; rows without either are left out.
 
     A doc_id with several labels counts as 1 if one of them is.  Without labelled
@@ -83,10 +89,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     # bounded by max_labelled, so it may go to every task
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sampled), "doc_id")
     order = F.xxhash64(F.lit(4), "doc_id", "text")
-    sharded = texts.select("text", "label", order.alias("order"), F.pmod(order, F.lit(SHARDS)).alias("shard"))
-    fitted = sharded.groupBy("shard").applyInPandas(_fit_shard(bias, l1), "at long, w double")
+    shards = math.ceil(min(max_labelled, max(1, total["n"])) / SHARD_ROWS)
+    sharded = texts.select("text", "label", order.alias("order"), F.pmod(order, F.lit(shards)).alias("shard"))
+    fitted = sharded.groupBy("shard").applyInPandas(_fit_shard(bias, l1, least_texts), "at long, w double")
     # at most 2 ** BITS rows
-    found = fitted.groupBy("at").agg((F.sum("w") / SHARDS).alias("w")).toPandas().sort_values("at")
+    found = fitted.groupBy("at").agg((F.sum("w") / shards).alias("w")).toPandas().sort_values("at")
     return Model(found["at"].to_numpy(np.int64), found["w"].to_numpy(float), bias)
 
 
