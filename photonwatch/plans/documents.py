@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +106,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_i
 def _(t: Tables):
     # the driver texts hold no blank lines: their lines are taken as paragraphs
     docs = t.raw("documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    pieces = text.chunked(docs, partial(text.paragraph_chunks, size=800, overlap=100))
+    pieces = text.chunked(docs, text.paragraph_chunks(size=800, overlap=100))
     return pieces.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
@@ -122,15 +120,32 @@ WITH RECURSIVE cuts AS (SELECT doc_id, text, 0 AS start, CAST(NULL AS BIGINT) AS
 pieces AS (SELECT doc_id, start, {_STRIP.format(c='substr(text, start + 1, stop - start)')} AS piece FROM cuts WHERE stop IS NOT NULL)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, md5(piece) AS digest, length(piece) AS chunk_length FROM pieces WHERE piece <> ''""")
 def _(t: Tables):
-    pieces = text.chunked(t.raw("documents"), partial(text.fixed_chunks, size=512, overlap=64))
+    pieces = text.fixed_chunked(t.raw("documents"), size=512, overlap=64)
     return pieces.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.col("chunk_length").cast("bigint").alias("chunk_length"))
 
 
-@query("k2_heading_chunks")
+@query("k2_heading_chunks", sql=f"""
+WITH RECURSIVE secs AS (SELECT doc_id, list_transform(string_split(replace(text, chr(10) || 'The ', chr(10) || '## The '), chr(10) || '## '),
+   lambda x, i: CASE WHEN i = 1 THEN x ELSE '## ' || x END) AS ss FROM documents WHERE text <> ''),
+fold AS (SELECT doc_id, ss, 0 AS i, '' AS held, CAST(NULL AS VARCHAR) AS out FROM secs
+ UNION ALL SELECT doc_id, ss, i + 1,
+  CASE WHEN length(held) + length(ss[i + 1]) <= 900 THEN held || ss[i + 1] || chr(10) WHEN length(ss[i + 1]) > 900 THEN '' ELSE ss[i + 1] || chr(10) END,
+  CASE WHEN length(held) + length(ss[i + 1]) > 900 AND held <> '' THEN held END FROM fold WHERE i < len(ss)),
+big AS (SELECT doc_id, i + 1 AS sec, string_split(ss[i + 1], chr(10) || chr(10)) AS ps FROM fold
+ WHERE i < len(ss) AND length(held) + length(ss[i + 1]) > 900 AND length(ss[i + 1]) > 900),
+pack AS (SELECT doc_id, sec, ps, 0 AS j, '' AS held, CAST(NULL AS VARCHAR) AS out FROM big
+ UNION ALL SELECT doc_id, sec, ps, j + 1,
+  CASE WHEN length(held) + length(ps[j + 1]) <= 900 THEN held ELSE right(held, 100) END || ps[j + 1] || chr(10) || chr(10),
+  CASE WHEN length(held) + length(ps[j + 1]) > 900 AND held <> '' THEN held END FROM pack WHERE j < len(ps)),
+outs AS (SELECT doc_id, i AS sec, 0 AS j, out FROM fold WHERE out IS NOT NULL
+ UNION ALL SELECT doc_id, i + 1, 0, held FROM fold WHERE i = len(ss) AND held <> ''
+ UNION ALL SELECT doc_id, sec, j, out FROM pack WHERE out IS NOT NULL
+ UNION ALL SELECT doc_id, sec, j + 1, held FROM pack WHERE j = len(ps) AND held <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec, j) - 1 AS chunk_index, md5({_STRIP.format(c='out')}) AS digest FROM outs""")
 def _(t: Tables):
     # lines that open with "The" stand in for second-level headings
     docs = t.raw("documents").select("doc_id", F.regexp_replace("text", "\nThe ", "\n## The ").alias("text"))
-    pieces = text.chunked(docs, partial(text.heading_chunks, size=900, overlap=100))
+    pieces = text.chunked(docs, text.heading_chunks(size=900, overlap=100))
     return pieces.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
@@ -148,7 +163,7 @@ pack AS (SELECT doc_id, ss, 0 AS i, '' AS held, CAST(NULL AS VARCHAR) AS out FRO
 outs AS (SELECT doc_id, i, out FROM pack WHERE out IS NOT NULL UNION ALL SELECT doc_id, i + 1, held FROM pack WHERE i = len(ss) AND length(held) >= 100)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, md5(out) AS digest FROM outs""")
 def _(t: Tables):
-    pieces = text.chunked(t.raw("documents"), text.sentence_chunks)
+    pieces = text.chunked(t.raw("documents"), text.sentence_chunks())
     return pieces.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 

@@ -35,11 +35,10 @@ FROM orders""",
     "session_path": f"""
 SELECT p.session_id, p.step_order,
        (CASE WHEN p.session_id % 2 = 0 THEN (p.base + p.step_order - 1) % {_N}
-             ELSE (p.base - p.step_order + 64 * {_N}) % {_N} END + {_LO}) * 2 AS link_id
+             ELSE ((p.base - p.step_order) % {_N} + {_N}) % {_N} END + {_LO}) * 2 AS link_id
 FROM (SELECT l.l_orderkey AS session_id, o.o_custkey % {_N} AS base,
              CAST(row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS BIGINT) AS step_order
-      FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey) p
-WHERE p.step_order <= 6""",
+      FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey) p""",
     "faults": f"""
 SELECT o_orderkey AS id,
        concat('FLT_', CASE WHEN o_orderkey < 1000 THEN lpad(CAST(o_orderkey AS VARCHAR), 3, '0')

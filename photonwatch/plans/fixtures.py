@@ -111,11 +111,13 @@ class Tables:
     @cached_property
     def session_path(self) -> DataFrame:
         n, lo = self._ring
-        lines = scale.top_k(
-            self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        lines = scale.split_row_number(
+            self.raw("lineitem")
+            .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+            .withColumn("_bucket", F.floor(F.col("l_linenumber") / 1024)),
             ["l_orderkey"],
+            "_bucket",
             [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")],
-            6,
             "step",
         )
         orders = self.raw("orders").select("o_orderkey", (F.col("o_custkey") % n).alias("base"))
@@ -126,7 +128,7 @@ class Tables:
             (
                 (
                     F.when(F.col("l_orderkey") % 2 == 0, (base + step - 1) % n).otherwise(
-                        (base - step + 64 * n) % n
+                        F.pmod(base - step, n)
                     )
                     + lo
                 )

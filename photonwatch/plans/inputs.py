@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def _(t: Tables):
     rows = t.raw("documents").select(
         F.col("doc_id").alias("id"), F.col("source").alias("filename"), "text", F.md5("text").alias("content_hash")
     )
-    sinks.store_documents(rows, text.sentence_chunks, folder)
+    sinks.store_documents(rows, partial(text.chunked, chunker=text.sentence_chunks()), folder)
     return t.spark.read.parquet(f"{folder}/documents").select("id", "filename", "content_hash")
 
 

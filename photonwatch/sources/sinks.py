@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.operators.text import chunked
 from photonwatch.session import shared_folder
 
 
@@ -31,9 +30,12 @@ def export_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def store_documents(documents: DataFrame, cut: Callable[[str], Iterator[str]], path: str) -> None:
-    """Documents and their chunks as two tables; ``documents``: id, filename, text, content_hash."""
-    chunks = chunked(documents.withColumnRenamed("id", "document_id"), cut, key="document_id")
+def store_documents(documents: DataFrame, cut: Callable[..., DataFrame], path: str) -> None:
+    """Documents and their chunks as two tables; ``documents``: id, filename, text, content_hash.
+
+    ``cut`` takes a frame and the name of its ``key``, and gives its chunks.
+    """
+    chunks = cut(documents.withColumnRenamed("id", "document_id"), key="document_id")
     chunks.write.mode("append").parquet(f"{path}/document_chunks")
     counts = (
         documents.sparkSession.read.parquet(f"{path}/document_chunks").groupBy(F.col("document_id").alias("id"))

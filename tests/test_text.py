@@ -1,5 +1,4 @@
 import re
-from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,43 +6,56 @@ from pyspark.sql import functions as F
 from photonwatch.operators import mining, text
 
 
+def windows(body, size, overlap):
+    return [body[a:b].strip() for a, b in text.window_bounds(body, size, overlap)]
+
+
 def test_fixed_chunks_always_move_on():
     # a sentence end inside the overlap must not send the window back
     body = "Ab. " + "x" * 300
-    pieces = list(text.fixed_chunks(body, 100, 64))
+    pieces = windows(body, 100, 64)
     assert pieces[0] == "Ab." and len(pieces) < len(body) + 1
     covered = "".join(pieces)
     assert covered.count("x") >= 300
 
 
 def test_fixed_chunks_cut_at_the_first_kind_of_sentence_end():
-    assert list(text.fixed_chunks("One. Two! Three four five six", 20, 0)) == ["One.", "Two!", "Three four five six"]
+    assert windows("One. Two! Three four five six", 20, 0) == ["One.", "Two!", "Three four five six"]
+
+
+@pytest.fixture
+def pieces_of(spark):
+    def run(chunker, body):
+        docs = spark.createDataFrame([(1, body)], "doc_id long, text string")
+        return [r.content for r in text.chunked(docs, chunker).orderBy("chunk_index").collect()]
+
+    return run
 
 
-def test_paragraph_and_heading_chunks():
+def test_paragraph_and_heading_chunks(pieces_of):
     body = "aa\n\nbb\n\ncc"
-    assert list(text.paragraph_chunks(body, 6, 0)) == ["aa\n\nbb", "cc"]
-    assert list(text.paragraph_chunks(body, 6, 2)) == ["aa\n\nbb", "cc"]
-    assert list(text.paragraph_chunks("x" * 50, 10, 3)) == ["x" * 50]
+    assert pieces_of(text.paragraph_chunks(6, 0), body) == ["aa\n\nbb", "cc"]
+    assert pieces_of(text.paragraph_chunks(6, 2), body) == ["aa\n\nbb", "cc"]
+    assert pieces_of(text.paragraph_chunks(10, 3), "x" * 50) == ["x" * 50]
     doc = "intro\n## One\nshort\n## Two\n" + "\n\n".join(["p" * 30] * 3)
-    pieces = list(text.heading_chunks(doc, 60, 0))
+    pieces = pieces_of(text.heading_chunks(60, 0), doc)
     assert pieces[0].startswith("intro") and "## One" in pieces[0]
     assert pieces[1].startswith("## Two") and len(pieces) == 4
 
 
-def test_sentence_chunks_repeat_the_last_words():
+def test_sentence_chunks_repeat_the_last_words(pieces_of):
     sentences = [" ".join(f"w{i}{j}" for j in range(20)) + "." for i in range(10, 16)]
-    pieces = list(text.sentence_chunks(" ".join(sentences), size=220, overlap=64))
+    pieces = pieces_of(text.sentence_chunks(size=220, overlap=64), " ".join(sentences))
     first, second = pieces[0].split(), pieces[1].split()
     assert second[:16] == first[-16:]
-    assert list(text.sentence_chunks("Too short.")) == []
+    assert pieces_of(text.sentence_chunks(), "Too short.") == []
 
 
 def test_chunks_of_whole_documents(spark):
     docs = spark.createDataFrame([(1, "Alpha beta. " * 200), (2, ""), (3, None)], "doc_id long, text string")
-    got = text.chunked(docs, partial(text.fixed_chunks, size=500, overlap=50)).collect()
-    assert {r.doc_id for r in got} == {1} and [r.chunk_index for r in got] == list(range(len(got)))
-    assert got[-1].content.endswith("beta.")
+    for got in (text.fixed_chunked(docs, size=500, overlap=50).collect(), text.chunked(docs, text.sentence_chunks(size=500)).collect()):
+        assert {r.doc_id for r in got} == {1} and [r.chunk_index for r in got] == list(range(len(got)))
+        assert got[-1].content.endswith("beta.") and all(r.chunk_length == len(r.content) for r in got)
 
 
 def plain_heading(body, page):
