@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from photonwatch import scale
 
 DIGITS = 9
-MAX_SHIPPED_QUERIES = 2_000  # queries copied to every task; more are shuffled
 VECTORS_PER_GROUP = 20_000
 QUERIES_PER_GROUP = 1_000
 FOUND = "query_id bigint, id bigint, distance double"
@@ -76,31 +75,14 @@ class _Best:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The ``k`` nearest vectors of every query, exactly: query_id, id, distance, rank.
 
-    ``vectors``: id, embedding.  ``queries``: query_id, embedding.  Each task
-    keeps k rows per query, so pairs are computed but never shuffled.  Up to
-    ``MAX_SHIPPED_QUERIES`` queries are copied to the tasks; beyond that,
-    vectors and queries meet in a grid of bounded groups.
+    ``vectors``: id, embedding.  ``queries``: query_id, embedding.  Both are dealt
+    to a grid of bounded groups, each of which keeps k rows per query, so pairs
+    are computed but never shuffled.
     """
-    few = queries.select("query_id", "embedding").limit(MAX_SHIPPED_QUERIES + 1).toPandas()
-    if len(few) <= MAX_SHIPPED_QUERIES:
-        near = _nearest_shipped(vectors, few, k, metric)
-    else:
-        near = _nearest_grid(vectors, queries, k, metric)
+    near = _nearest_grid(vectors, queries, k, metric)
     return scale.top_k(near, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
-def _nearest_shipped(vectors: DataFrame, queries: pd.DataFrame, k: int, metric: str) -> DataFrame:
-    query_ids, matrix = queries["query_id"].to_numpy(), _stack(queries["embedding"])
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Best(query_ids, matrix, k, metric)
-        for part in parts:
-            best.add(part["id"].to_numpy(), _stack(part["embedding"]))
-        yield best.rows()
-
-    return vectors.select("id", "embedding").mapInPandas(search, FOUND)
-
-
 def _group_count(df: DataFrame, size: int) -> Column:
     return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("bigint")).scalar()
 
@@ -140,20 +122,14 @@ def similarity(distance: str = "distance", metric: str = "l2") -> Column:
     return F.round(1 - F.col(distance) if metric == "cosine" else 1 / (1 + F.col(distance)), DIGITS)
 
 
-def cell_count(n: int) -> int:
-    return max(1, min(int(np.floor(np.sqrt(n))), 1000))
-
+def fit_cells(vectors: DataFrame, cells: int | None = None, seed: int = 42) -> np.ndarray:
+    """Centres by k-means over all vectors; as many ``cells`` as the root of their number unless given.
 
-def fit_cells(vectors: DataFrame, train: int = 50_000, seed: int = 42) -> np.ndarray:
-    """Cell centres by k-means over at most about ``train`` vectors (at most 1000 centres)."""
-    n = vectors.count()
-    share = min(1.0, train / max(n, 1))
-    chosen = vectors
-    if share < 1.0:
-        chosen = vectors.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    points = chosen.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=cell_count(n), seed=seed, maxIter=10).fit(points)
-    return np.array(model.clusterCenters())
+    Only the centres reach the driver.
+    """
+    points = vectors.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    wanted = cells or max(1, int(np.floor(np.sqrt(vectors.count()))))
+    return np.array(KMeans(k=wanted, seed=seed, maxIter=10).fit(points).clusterCenters())
 
 
 def in_cells(vectors: DataFrame, centres: np.ndarray, key: str, probe: int = 1) -> DataFrame:
@@ -176,14 +152,16 @@ def nearest_in_cells(
 ) -> DataFrame:
     """As :func:`nearest`, but looking only into each query's nearest cells.
 
-    A crowded cell is split into groups of about ``VECTORS_PER_GROUP``; the
+    Cells that no query probes are left behind before anything is shuffled.  A
+    crowded cell is split into groups of about ``VECTORS_PER_GROUP``; the
     queries that probe the cell visit each of its groups.
     """
+    asked = in_cells(queries, centres, "query_id", probe)
+    celled = celled.join(asked.select("cell").distinct(), "cell", "left_semi")
     sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VECTORS_PER_GROUP).cast("bigint").alias("_parts"))
     left = celled.join(sizes, "cell").withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts"))).drop("_parts")
     right = (
-        in_cells(queries, centres, "query_id", probe)
-        .join(sizes, "cell")
+        asked.join(sizes, "cell")
         .withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
         .withColumn("_slice", F.pmod(F.xxhash64("query_id"), _group_count(queries, QUERIES_PER_GROUP)))
         .drop("_parts")

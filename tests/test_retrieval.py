@@ -86,7 +86,6 @@ def test_nearest_equals_brute_force_either_way(cloud, monkeypatch, metric):
     far = far.round(9)
     want = [(i, n + 1, int(j)) for i in range(len(asked)) for n, j in enumerate(np.lexsort((np.arange(len(points)), far[i]))[:5])]
     assert ranked(vectors.nearest(v, q, 5, metric)) == want
-    monkeypatch.setattr(vectors, "MAX_SHIPPED_QUERIES", 3)
     monkeypatch.setattr(vectors, "VECTORS_PER_GROUP", 40)
     monkeypatch.setattr(vectors, "QUERIES_PER_GROUP", 5)
     assert ranked(vectors.nearest(v, q, 5, metric)) == want
@@ -105,6 +104,20 @@ def test_cells_equal_exact_when_all_are_probed(cloud, monkeypatch):
     assert len(set(few) & set(exact)) > len(exact) / 2
 
 
+def test_cells_beyond_the_probes_keep_most_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(60, 8)) * 3
+    points = np.concatenate([c + rng.normal(size=(40, 8)) for c in centre])
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<float>")
+    q = v.filter("id % 97 = 0").select(F.col("id").alias("query_id"), "embedding")
+    centres = vectors.fit_cells(v)
+    assert len(centres) == 48  # more than are probed by default
+    found = ranked(vectors.nearest_in_cells(vectors.in_cells(v, centres, "id"), centres, q, 10))
+    exact = ranked(vectors.nearest(v, q, 10))
+    assert len(set(found) & set(exact)) >= 0.9 * len(exact)
+    assert len(vectors.fit_cells(v, cells=7)) == 7
+
+
 def test_bad_vectors_are_skipped(spark):
     df = spark.createDataFrame([(1, "[1.0, 2.0]"), (2, "[1.0, "), (3, None)], "id long, embedding string")
     assert [r.id for r in vectors.decoded(df, "embedding").collect()] == [1]
