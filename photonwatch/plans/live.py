@@ -74,10 +74,12 @@ def _(t: Tables):
 
 @query("m4_state_monitor", sql="""
 WITH s AS (SELECT event_id, user_id AS service_id, ts, CASE event_type WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'failed' ELSE event_type END AS state FROM events),
-w AS (SELECT *, lag(state) OVER (PARTITION BY service_id ORDER BY ts, event_id) AS before, min(ts) OVER (PARTITION BY service_id) AS begin FROM s)
-SELECT service_id, event_id, state, round((epoch_us(ts) - epoch_us(begin)) / 1000000.0, 3) AS elapsed, 'change' AS kind FROM w WHERE before IS DISTINCT FROM state
-UNION ALL SELECT service_id, -1, arg_max(state, struct_pack(a := ts, b := event_id)), 3600.0, 'timeout' FROM w GROUP BY service_id
-HAVING count(*) FILTER (WHERE state IN ('active', 'failed') AND epoch_us(ts) - epoch_us(begin) < 3600000000) = 0""")
+p AS (SELECT epoch_us(date_trunc('millisecond', max(ts))) - 3600000000 AS passed FROM events),
+w AS (SELECT service_id, event_id, state, epoch_us(ts) AS us, lag(state) OVER (PARTITION BY service_id ORDER BY ts, event_id) AS before,
+  min(epoch_us(ts)) OVER (PARTITION BY service_id) AS begin FROM s)
+SELECT service_id, event_id, state, round((us - begin) / 1000000.0, 3) AS elapsed, 'change' AS kind FROM w, p WHERE before IS DISTINCT FROM state AND us <= passed
+UNION ALL SELECT service_id, -1, arg_max(state, struct_pack(a := us, b := event_id)) FILTER (WHERE us <= begin + 3600000000), 3600.0, 'timeout' FROM w, p
+GROUP BY service_id, begin, passed HAVING begin + 3600000000 <= passed AND count(*) FILTER (WHERE state IN ('active', 'failed') AND us - begin < 3600000000) = 0""")
 def _(t: Tables):
     kind = F.col("event_type")
     state = F.when(kind == "purchase", "active").when(kind == "error", "failed").otherwise(kind)
@@ -89,7 +91,8 @@ def _(t: Tables):
 @query("m5_lockouts", views="login_log", sql="""
 WITH runs AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM login_log),
 n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS attempt FROM runs WHERE NOT success)
-SELECT user_id, date_trunc('millisecond', ts) AS locked_at, CAST(5 AS BIGINT) AS failures FROM n WHERE attempt = 5""")
+SELECT user_id, date_trunc('millisecond', ts) AS locked_at, CAST(5 AS BIGINT) AS failures FROM n
+WHERE attempt = 5 AND ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10' MINUTE FROM login_log)""")
 def _(t: Tables):
     logins = _events(t).filter(F.col("event_type").isin("error", "purchase")).select(
         "event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("success")
@@ -98,7 +101,20 @@ def _(t: Tables):
     return rows.select("user_id", F.date_trunc("millisecond", "locked_at").cast("timestamp_ntz").alias("locked_at"), "failures")
 
 
-@query("m6_sustained_breaches")
+@query("m6_sustained_breaches", sql="""
+WITH r AS (SELECT event_id, concat('N', CAST(user_id % 12 AS VARCHAR)) AS node_name, event_type AS metric, epoch_us(ts) AS us, value FROM events),
+p AS (SELECT epoch_us(date_trunc('millisecond', max(ts))) - 1800000000 AS passed FROM events),
+k AS (SELECT *, value > 30 AS breach, value < 20 AS quiet, coalesce(lead(us) OVER o, 9000000000000000000) AS next_us,
+  sum(CASE WHEN value > 30 THEN 0 ELSE 1 END) OVER o AS breach_run, sum(CASE WHEN value < 20 THEN 0 ELSE 1 END) OVER o AS quiet_run
+  FROM r WINDOW o AS (PARTITION BY node_name, metric ORDER BY us, event_id)),
+runs AS (SELECT node_name, metric, 'raised' AS event, breach_run AS run, min(us) + 4200000000 AS due, arg_max(next_us, struct_pack(a := us, b := event_id)) AS until
+  FROM k WHERE breach GROUP BY node_name, metric, breach_run
+  UNION ALL SELECT node_name, metric, 'cleared', quiet_run, min(us) + 30000000, arg_max(next_us, struct_pack(a := us, b := event_id)) FROM k WHERE quiet GROUP BY node_name, metric, quiet_run),
+reached AS (SELECT runs.* FROM runs, p WHERE due <= passed AND until > due),
+turns AS (SELECT *, lag(event) OVER (PARTITION BY node_name, metric ORDER BY due) AS before FROM reached)
+SELECT t.node_name, t.metric, make_timestamp(t.due) AS ts, t.event, round(arg_max(k.value, struct_pack(a := k.us, b := k.event_id)), 4) AS value
+FROM turns t JOIN k ON k.node_name = t.node_name AND k.metric = t.metric AND k.us <= t.due
+WHERE t.event <> coalesce(t.before, 'cleared') GROUP BY t.node_name, t.metric, t.due, t.event""")
 def _(t: Tables):
     readings = _readings(t).withColumnRenamed("timestamp", "ts")
     found = monitors.sustained_breach_monitor(readings, limit=30.0, clear=20.0, duration_window=3600.0, raise_delay=600.0)

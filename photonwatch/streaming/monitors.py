@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -75,10 +76,36 @@ def near_in_time(node_rows: DataFrame, link_rows: DataFrame) -> DataFrame:
     return left.join(right, same & close).drop("_n", "_m", "_k")
 
 
-def _ordered(parts: Iterator[pd.DataFrame], ts: str, tie: str) -> pd.DataFrame:
-    """The rows of one key in this micro-batch by time; the trigger bounds their number."""
-    rows = list(parts)
-    return pd.concat(rows).sort_values([ts, tie]) if rows else pd.DataFrame()
+# -- keyed monitors in event time ------------------------------------------------
+#
+# Rows are held until the watermark has passed them, so the order in which files
+# or batches bring them does not matter, and a timer wakes the key when its next
+# held row or deadline is due.  A key's state holds the rows of one watermark
+# delay at most, besides those of the batch that brings them.
+
+
+def _release(parts: Iterator[pd.DataFrame], held: Sequence, columns: Sequence[str], upto: int) -> tuple[list[tuple], list[tuple]]:
+    """Rows (microseconds, event_id, columns) up to a moment, in order, and the later ones."""
+    rows = list(zip(*held))
+    for part in parts:
+        micros = part["ts"].astype("datetime64[us]").astype("int64")
+        rows += zip(micros.tolist(), part["event_id"].tolist(), *(part[c].tolist() for c in columns))
+    rows.sort(key=lambda row: row[:2])
+    cut = bisect_right(rows, upto, key=lambda row: row[0])
+    return rows[:cut], rows[cut:]
+
+
+def _columns(rows: list[tuple], width: int) -> list[list]:
+    return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(width)]
+
+
+def _wake(state: GroupState, moments: list[int]) -> None:
+    if moments:
+        state.setTimeoutTimestamp(max(min(moments) // 1000, state.getCurrentWatermarkMs() + 1))
+
+
+def _moment(micros: int) -> pd.Timestamp:
+    return pd.Timestamp(micros, unit="us")
 
 
 CHANGES = "service_id bigint, event_id bigint, ts timestamp, state string, elapsed double, kind string"
@@ -87,46 +114,44 @@ CHANGES = "service_id bigint, event_id bigint, ts timestamp, state string, elaps
 def state_change_monitor(log: DataFrame, max_wait: float = 60.0) -> DataFrame:
     """Changes of a service's state, and a timeout row if no terminal state came in time.
 
-    ``log``: service_id, event_id, ts (watermarked), state.
+    ``log``: service_id, event_id, ts (watermarked), state.  The timeout row has
+    the state at the deadline.
     """
+    wait = int(max_wait * 1e6)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        service = int(key[0])
-        begin, last, done = state.get if state.exists else (None, None, False)
-        if state.hasTimedOut:
-            if not done:
-                end = pd.Timestamp(begin, unit="us") + pd.Timedelta(seconds=max_wait)
-                yield pd.DataFrame(
-                    [{"service_id": service, "event_id": -1, "ts": end, "state": last, "elapsed": max_wait, "kind": "timeout"}]
-                )
-            state.update((begin, last, True))
-            return
+        begin, last, done, *held = state.get if state.exists else (None, None, False, [], [], [])
+        passed = state.getCurrentWatermarkMs() * 1000
+        due, later = _release(parts, held, ["state"], passed)
         out = []
-        for row in _ordered(parts, "ts", "event_id").itertuples():
-            at = int(row.ts.value // 1000)
+
+        def add(event_id: int, at: int, what: str, kind: str) -> None:
+            out.append((int(key[0]), event_id, _moment(at), what, (at - begin) / 1e6, kind))
+
+        def expire(before: int) -> bool:
+            late = not done and begin is not None and begin + wait < before
+            if late:
+                add(-1, begin + wait, last, "timeout")
+            return done or late
+
+        for at, event_id, new in due:
+            done = expire(at)
             begin = at if begin is None else begin
-            if row.state != last:
-                out.append(
-                    {
-                        "service_id": service,
-                        "event_id": row.event_id,
-                        "ts": row.ts,
-                        "state": row.state,
-                        "elapsed": (at - begin) / 1e6,
-                        "kind": "change",
-                    }
-                )
-            last = row.state
-            done = done or (row.state in ("active", "failed") and (at - begin) / 1e6 < max_wait)
-        state.update((begin, last, done))
-        if not done:
-            due = begin // 1000 + int(max_wait * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out)
+            if new != last:
+                add(event_id, at, new, "change")
+            last = new
+            done = done or (new in ("active", "failed") and at - begin < wait)
+        done = expire(passed)
+        state.update((begin, last, done, *_columns(later, 3)))
+        _wake(state, [row[0] for row in later[:1]] + ([] if begin is None or done else [begin + wait]))
+        yield pd.DataFrame(out, columns=["service_id", "event_id", "ts", "state", "elapsed", "kind"])
 
     return log.groupBy("service_id").applyInPandasWithState(
-        step, CHANGES, "begin long, last string, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+        step,
+        CHANGES,
+        "begin long, last string, done boolean, at array<long>, event array<long>, state array<string>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -136,22 +161,31 @@ LOCKS = "user_id bigint, locked_at timestamp, failures bigint"
 def lockout_monitor(logins: DataFrame, limit: int = 5) -> DataFrame:
     """A row when a user's failures since the last success reach ``limit``.
 
-    ``logins``: event_id, user_id, ts, success.
+    ``logins``: event_id, user_id, ts (watermarked), success.  A user without
+    open failures and held rows leaves no state.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
+        failures, *held = state.get if state.exists else (0, [], [], [])
+        due, later = _release(parts, held, ["success"], state.getCurrentWatermarkMs() * 1000)
         out = []
-        for row in _ordered(parts, "ts", "event_id").itertuples():
-            failures = 0 if row.success else failures + 1
+        for at, _, success in due:
+            failures = 0 if success else failures + 1
             if failures == limit:
-                out.append({"user_id": int(key[0]), "locked_at": row.ts, "failures": failures})
-        state.update((failures,))
-        if out:
-            yield pd.DataFrame(out)
+                out.append((int(key[0]), _moment(at), failures))
+        if failures or later:
+            state.update((failures, *_columns(later, 3)))
+            _wake(state, [row[0] for row in later[:1]])
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["user_id", "locked_at", "failures"])
 
     return logins.groupBy("user_id").applyInPandasWithState(
-        step, LOCKS, "failures long", "append", GroupStateTimeout.NoTimeout
+        step,
+        LOCKS,
+        "failures long, at array<long>, event array<long>, success array<boolean>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -161,35 +195,45 @@ BREACHES = "node_name string, metric string, ts timestamp, event string, value d
 def sustained_breach_monitor(
     readings: DataFrame, limit: float, clear: float, duration_window: float, raise_delay: float = 0.0, rising: bool = True, clear_hold: float = 30.0
 ) -> DataFrame:
-    """``raised`` once a breach has lasted for the window plus the delay, ``cleared`` once values
+    """``raised`` when a breach has lasted for the window plus the delay, ``cleared`` when values
     have kept to the clear condition for ``clear_hold`` seconds.
 
-    ``readings``: event_id, node_name, metric, ts, value; times in seconds.
+    ``readings``: event_id, node_name, metric, ts (watermarked), value; times in
+    seconds.  Both events come at the very moment, by a timer where no reading
+    follows, with the last value up to then.
     """
-    hold = duration_window + raise_delay
+    hold, quiet_hold = int((duration_window + raise_delay) * 1e6), int(clear_hold * 1e6)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, calm, raised = state.get if state.exists else (None, None, False)
+        since, calm, raised, value, *held = state.get if state.exists else (None, None, False, None, [], [], [])
+        passed = state.getCurrentWatermarkMs() * 1000
+        due, later = _release(parts, held, ["value"], passed)
         out = []
-        for row in _ordered(parts, "ts", "event_id").itertuples():
-            at = int(row.ts.value // 1000)
-            breach = row.value > limit if rising else row.value < limit
-            quiet = row.value < clear if rising else row.value > clear
-            since = (since if since is not None else at) if breach else None
-            calm = (calm if calm is not None else at) if quiet else None
-            event = None
-            if not raised and since is not None and at - since >= hold * 1e6:
-                raised, event = True, "raised"
-            elif raised and calm is not None and at - calm >= clear_hold * 1e6:
-                raised, event = False, "cleared"
-            if event:
-                out.append({"node_name": key[0], "metric": key[1], "ts": row.ts, "event": event, "value": row.value})
-        state.update((since, calm, raised))
-        if out:
-            yield pd.DataFrame(out)
+
+        def deadline() -> int | None:
+            start, length = (calm, quiet_hold) if raised else (since, hold)
+            return None if start is None else start + length
+
+        for at, _, new in [*due, (None, None, None)]:
+            # what falls due before this reading, or up to the watermark after the last one
+            while (moment := deadline()) is not None and (moment < at if at is not None else moment <= passed):
+                out.append((*key, _moment(moment), "cleared" if raised else "raised", value))
+                raised = not raised
+            if at is None:
+                break
+            value = new
+            since = (at if since is None else since) if (new > limit if rising else new < limit) else None
+            calm = (at if calm is None else calm) if (new < clear if rising else new > clear) else None
+        state.update((since, calm, raised, value, *_columns(later, 3)))
+        _wake(state, [row[0] for row in later[:1]] + [m for m in [deadline()] if m is not None])
+        yield pd.DataFrame(out, columns=["node_name", "metric", "ts", "event", "value"])
 
     return readings.groupBy("node_name", "metric").applyInPandasWithState(
-        step, BREACHES, "since long, calm long, raised boolean", "append", GroupStateTimeout.NoTimeout
+        step,
+        BREACHES,
+        "since long, calm long, raised boolean, last double, at array<long>, event array<long>, value array<double>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -25,9 +25,17 @@ def logins():
     return [(i, 1 if rng.random() < 0.5 else rng.randint(2, 4), START + dt.timedelta(minutes=i), rng.random() < 0.12) for i in range(200)]
 
 
-def test_lockouts_over_batches(spark, tmp_path, logins):
-    stream = batches(spark, tmp_path, logins, "event_id long, user_id long, ts timestamp, success boolean")
-    got = monitors.run_to_folder(monitors.lockout_monitor(stream.withWatermark("ts", "10 minutes")), "t").collect()
+def shuffled(rows, span, seed=1):
+    """Rows out of order by at most ``span`` places, so files overlap in time."""
+    rng = random.Random(seed)
+    return [r for _, r in sorted((i + rng.uniform(0, span), r) for i, r in enumerate(rows))]
+
+
+@pytest.mark.parametrize("span", [0, 12])
+def test_lockouts_over_batches(spark, tmp_path, logins, span):
+    end = [(900 + i, 9, START + dt.timedelta(days=1 + i), True) for i in range(2)]  # moves the watermark on
+    stream = batches(spark, tmp_path, shuffled(logins, span) + end, "event_id long, user_id long, ts timestamp, success boolean", 5)
+    got = monitors.run_to_folder(monitors.lockout_monitor(stream.withWatermark("ts", "60 minutes")), "t").collect()
     failures, want = {}, []
     for _, user, ts, success in logins:
         failures[user] = 0 if success else failures.get(user, 0) + 1
@@ -36,22 +44,46 @@ def test_lockouts_over_batches(spark, tmp_path, logins):
     assert sorted((r.user_id, r.locked_at) for r in got) == sorted(want)
 
 
-def test_state_changes_and_timeout(spark, tmp_path):
+def test_a_late_success_prevents_a_lockout(spark, tmp_path):
+    rows = [(i, 1, START + dt.timedelta(seconds=s), False) for i, s in enumerate((0, 10, 20, 40, 50))]
+    rows += [(9, 1, START + dt.timedelta(seconds=30), True)] * 1 + [(20 + i, 2, START + dt.timedelta(hours=1 + i), True) for i in range(4)]
+    stream = batches(spark, tmp_path, rows, "event_id long, user_id long, ts timestamp, success boolean", 2)
+    assert monitors.run_to_folder(monitors.lockout_monitor(stream.withWatermark("ts", "10 minutes")), "t").count() == 0
+
+
+@pytest.mark.parametrize("span", [0, 6])
+def test_state_changes_and_timeout(spark, tmp_path, span):
     rows = [(i, i % 3, START + dt.timedelta(seconds=10 * i), "requested" if i < 12 or i % 3 else "active") for i in range(60)]
-    stream = batches(spark, tmp_path, rows, "event_id long, service_id long, ts timestamp, state string")
-    got = monitors.run_to_folder(monitors.state_change_monitor(stream.withWatermark("ts", "1 second"), 200.0), "t").collect()
-    kinds = sorted((r.service_id, r.state, r.kind) for r in got)
-    assert kinds == sorted([(0, "requested", "change"), (0, "active", "change"), (1, "requested", "change"), (2, "requested", "change"), (1, "requested", "timeout"), (2, "requested", "timeout")])
+    stream = batches(spark, tmp_path, shuffled(rows, span) + [(99, 9, START + dt.timedelta(days=1), "x")] * 2, "event_id long, service_id long, ts timestamp, state string")
+    got = monitors.run_to_folder(monitors.state_change_monitor(stream.withWatermark("ts", "2 minutes"), 200.0), "t").collect()
+    kinds = sorted((r.service_id, r.state, r.kind, r.elapsed) for r in got)
+    assert kinds == sorted(
+        [(0, "requested", "change", 0.0), (0, "active", "change", 120.0), (1, "requested", "change", 0.0), (2, "requested", "change", 0.0)]
+        + [(k, "requested", "timeout", 200.0) for k in (1, 2)]
+    )
+
+
+BREACH = "event_id long, node_name string, metric string, ts timestamp, value double"
 
 
-def test_sustained_breach(spark, tmp_path):
+@pytest.mark.parametrize("span", [0, 4])
+def test_sustained_breach(spark, tmp_path, span):
     values = [10, 40, 10, 40, 45, 50, 42, 25, 15, 15, 15, 15, 40, 10]
     rows = [(i, "n", "qber", START + dt.timedelta(seconds=20 * i), float(v)) for i, v in enumerate(values)]
-    stream = batches(spark, tmp_path, rows, "event_id long, node_name string, metric string, ts timestamp, value double", 3)
-    found = monitors.sustained_breach_monitor(stream.withWatermark("ts", "1 second"), 30.0, 20.0, 40.0, 20.0)
-    got = [(r.event, r.value) for r in monitors.run_to_folder(found, "t").orderBy("ts").collect()]
-    # breach from the 4th reading on, held 60 s at the 7th; calm from the 9th on, held 30 s at the 11th
-    assert got == [("raised", 42.0), ("cleared", 15.0)]
+    rows = shuffled(rows, span) + [(99 + i, "z", "qber", START + dt.timedelta(hours=1 + i), 0.0) for i in range(2)]
+    stream = batches(spark, tmp_path, rows, BREACH, 4)
+    found = monitors.sustained_breach_monitor(stream.withWatermark("ts", "2 minutes"), 30.0, 20.0, 40.0, 20.0)
+    got = [(r.event, r.value, (r.ts - START).total_seconds()) for r in monitors.run_to_folder(found, "t").orderBy("ts").collect()]
+    # breach from the 4th reading on, held 60 s at the 7th; calm from the 9th on, held 30 s after the 10th
+    assert got == [("raised", 42.0, 120.0), ("cleared", 15.0, 190.0)]
+
+
+def test_a_breach_followed_by_silence_is_raised(spark, tmp_path):
+    rows = [(1, "n", "qber", START, 50.0)] + [(9 + i, "z", "qber", START + dt.timedelta(hours=1 + i), 0.0) for i in range(3)]
+    stream = batches(spark, tmp_path, rows, BREACH, 2)
+    found = monitors.sustained_breach_monitor(stream.withWatermark("ts", "1 minute"), 30.0, 20.0, 40.0, 20.0)
+    got = monitors.run_to_folder(found, "t").collect()
+    assert [(r.node_name, r.event, r.value, r.ts) for r in got] == [("n", "raised", 50.0, START + dt.timedelta(seconds=60))]
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
