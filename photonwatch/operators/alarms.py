@@ -174,8 +174,7 @@ def state_changes(log: DataFrame, terminal: Sequence[str] = ("active", "failed")
         (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_begin").cast("timestamp"))) / 1_000_000
     )
     return (
-        lagged.filter(~F.col("state").eqNullSafe(F.col("_before")))
-        .join(begin, "service_id")
+        scale.beside(lagged.filter(~F.col("state").eqNullSafe(F.col("_before"))), begin, ["service_id"])
         .select("service_id", "event_id", "state", seconds.alias("elapsed"), F.col("state").isin(*terminal).alias("terminal"))
     )
 
@@ -187,7 +186,7 @@ def provisioning_outcome(log: DataFrame, max_wait: int = 60) -> DataFrame:
     ended = F.col("state").isin("active", "failed")
     place = F.struct("ts", "event_id")
     return (
-        log.join(begin, "service_id")
+        scale.beside(log, begin, ["service_id"])
         .filter(seconds < max_wait)
         .groupBy("service_id")
         .agg(

@@ -161,7 +161,7 @@ def train_split(matrix: DataFrame, minimum: int = 100) -> DataFrame:
     """Mark about 80 % of the rows of each node for training, all if there are few."""
     sizes = matrix.groupBy("node_name").agg(F.count(F.lit(1)).alias("_n"))
     chosen = F.pmod(F.xxhash64("node_name", "timestamp"), F.lit(10)) < 8
-    return matrix.join(sizes, "node_name").withColumn("is_train", (F.col("_n") < minimum) | chosen).drop("_n")
+    return scale.beside(matrix, sizes, ["node_name"]).withColumn("is_train", (F.col("_n") < minimum) | chosen).drop("_n")
 
 
 def scaling(matrix: DataFrame, features: Sequence[str] = tuple(FEATURES)) -> DataFrame:
@@ -175,7 +175,7 @@ def scaling(matrix: DataFrame, features: Sequence[str] = tuple(FEATURES)) -> Dat
 
 def standardised(matrix: DataFrame, scale_table: DataFrame, features: Sequence[str] = tuple(FEATURES)) -> DataFrame:
     kept = [c for c in matrix.columns if c not in features]
-    return matrix.join(scale_table, "node_name").select(
+    return scale.beside(matrix, scale_table, ["node_name"]).select(
         *kept, *[((F.col(f) - F.col(f"mean_{f}")) / F.col(f"std_{f}")).alias(f) for f in features]
     )
 
@@ -272,8 +272,7 @@ def fit_forests(
     copies = F.least(F.lit(trees), F.ceil(wanted / F.col("_n"))).cast("int")
     keep = wanted / (F.col("_n") * copies)
     offered = (
-        rows.select("node_name", "timestamp", *features)
-        .join(sizes, "node_name")
+        scale.beside(rows.select("node_name", "timestamp", *features), sizes, ["node_name"])
         .withColumn("_copies", copies)
         .filter((keep >= 1) | (F.pmod(F.xxhash64(draw, F.lit("keep")), F.lit(1_000_000)) < keep * 1_000_000))
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
@@ -327,8 +326,7 @@ def forest_scores(rows: DataFrame, model: DataFrame, features: Sequence[str] = t
         F.ceil(F.count(F.lit(1)) / ROWS_PER_GROUP).cast("bigint").alias("_groups")
     )
     left = (
-        rows.select("node_name", "timestamp", *features)
-        .join(sizes, "node_name")
+        scale.beside(rows.select("node_name", "timestamp", *features), sizes, ["node_name"])
         .withColumn("_group", F.pmod(F.xxhash64("timestamp", *features), F.col("_groups")))
         .drop("_groups")
     )

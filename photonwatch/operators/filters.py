@@ -18,12 +18,12 @@ def since(df: DataFrame, ts: str, as_of: Column, hours: int) -> DataFrame:
 def since_latest(df: DataFrame, key: str, ts: str, hours: int) -> DataFrame:
     """Rows no older than ``hours`` before the newest row of the same key.
 
-    The newest time per key is a partial aggregate; the join back is on
-    (key) with AQE free to broadcast it or to split a hot key.
+    The newest time per key is a partial aggregate; the join back keeps a hot
+    key's rows spread.
     """
     newest = df.groupBy(key).agg(F.max(ts).alias("_newest"))
     return (
-        df.join(newest, key)
+        scale.beside(df, newest, [key])
         .filter(F.col(ts) >= F.col("_newest") - F.make_dt_interval(hours=F.lit(hours)))
         .drop("_newest")
     )

@@ -75,7 +75,7 @@ def fit_models(series: DataFrame) -> DataFrame:
     ranges = ranges.filter((F.col("points") >= enough) & (F.col("end_s") > F.col("begin_s"))).withColumn(
         "y_scale", F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)
     ).drop("_top")
-    ready = rows.join(ranges, keys).select(
+    ready = scale.beside(rows, ranges, keys).select(
         *keys,
         "_s",
         ((F.col("_s") - F.col("begin_s")) / (F.col("end_s") - F.col("begin_s"))).alias("_x"),

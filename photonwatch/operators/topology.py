@@ -116,13 +116,13 @@ def path_hops(steps: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     running sum, which need no per-session loop and no array.
     """
     key, order = ["session_id"], ["step_order"]
+    if starts is not None:  # before the paths are spread, so that this is their only other shuffle
+        steps = scale.beside(steps, starts.withColumnRenamed("start_node", "_start"), key)
     rows = scale.spread(steps.withColumn("_bucket", F.floor(F.col("step_order") / _STEP_BUCKET)), key, "_bucket")
     rows = scale.split_lag(rows, key, "_bucket", order, {"source_node": "_ps", "destination_node": "_pd"})
     s, d = F.col("source_node"), F.col("destination_node")
     if starts is None:
         rows = rows.withColumn("_start", s)
-    else:
-        rows = rows.join(starts.withColumnRenamed("start_node", "_start"), key)
     first = F.col("_ps").isNull()
     at_start = s == F.col("_start")
     rows = rows.withColumns(

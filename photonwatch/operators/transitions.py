@@ -171,7 +171,8 @@ def escalate_alerts(requests: DataFrame, alerts: DataFrame, faults: DataFrame) -
         .select(*alerts.columns)
     )
     numbered = scale.split_row_number(
-        done.withColumns({"_all": F.lit(1), "_bucket": scale.hour_bucket("_at")}),
+        # buckets of a second: a batch of requests usually lies within one hour
+        done.withColumns({"_all": F.lit(1), "_bucket": F.floor(F.unix_micros(F.col("_at").cast("timestamp")) / 1_000_000)}),
         ["_all"],
         "_bucket",
         [F.col("_at"), F.col("request_id")],

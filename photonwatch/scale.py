@@ -43,6 +43,20 @@ def workers(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def beside(df: DataFrame, summary: DataFrame, keys: Sequence[str], salts: int | None = None) -> DataFrame:
+    """Each row with its key's row of ``summary``, one per key; rows of other keys are left out.
+
+    A join on the bare keys would gather all rows of a key in one task.  Here
+    rows are dealt by key and a hash of the row, and the short summary is copied
+    to every such part: a quarter of the shuffle partitions unless ``salts`` says otherwise.
+    """
+    parts = salts or max(4, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(parts)).cast("int"))
+    copies = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return rows.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def _bucket_window(keys: Sequence[str], bucket: str, frame: tuple[int, int]):
     return Window.partitionBy(*keys).orderBy(bucket).rowsBetween(*frame)
 

@@ -1,5 +1,7 @@
 """Bucketed windows must equal plain ones, also for a key that holds most rows."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -66,3 +68,20 @@ def test_buckets_are_not_gathered_by_key(spark, rows):
     plan = scale.split_row_number(by_key, ["k"], "b", [F.col("t")], "i")._jdf.queryExecution().executedPlan().toString()
     # expression ids vary: look for the two-column clustering below the row number
     assert "hashpartitioning(k#" in plan and ", b#" in plan.split("row_number")[1].split("Exchange", 1)[1][:60]
+
+
+def test_a_summary_beside_every_row_keeps_hot_keys_spread(spark):
+    rows = spark.range(2000).select(F.col("id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"))
+    sums = rows.groupBy("k").agg(F.sum("id").alias("total"))
+    got = {(r.id, r.k, r.total) for r in scale.beside(rows, sums.filter("k <> 'k0'"), ["k"], 8).collect()}
+    hot = sum(i for i in range(2000) if i % 3)
+    assert got == {(i, "hot", hot) if i % 3 else (i, f"k{i}", i) for i in range(1, 2000)}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = scale.beside(rows, sums, ["k"], 8)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    shuffles = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    # by key alone only sums per task, for the summary itself
+    assert [s for s in shuffles if "_salt" in s] and len([s for s in shuffles if "_salt" not in s]) <= 1
