@@ -160,7 +160,10 @@ def first_anomalies(scored: DataFrame, n: int = 10, score: str = "anomaly_score"
 def train_split(matrix: DataFrame, minimum: int = 100) -> DataFrame:
     """Mark about 80 % of the rows of each node for training, all if there are few."""
     sizes = matrix.groupBy("node_name").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = F.pmod(F.xxhash64("node_name", "timestamp"), F.lit(10)) < 8
+    # the first digits of a digest, so that any engine can draw the same rows
+    moment = F.unix_micros(F.col("timestamp").cast("timestamp")).cast("string")
+    digits = F.substring(F.md5(F.concat_ws("|", "node_name", moment)), 1, 8)
+    chosen = F.conv(digits, 16, 10).cast("bigint") % 10 < 8
     return scale.beside(matrix, sizes, ["node_name"]).withColumn("is_train", (F.col("_n") < minimum) | chosen).drop("_n")
 
 

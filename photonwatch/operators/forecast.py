@@ -30,7 +30,7 @@ DAY, WEEK = 86_400.0, 604_800.0
 
 _BREAKS = [CHANGE_RANGE * (i + 1) / CHANGE_POINTS for i in range(CHANGE_POINTS)]
 _WAVES = [(DAY, k) for k in range(1, DAILY_ORDER + 1)] + [(WEEK, k) for k in range(1, WEEKLY_ORDER + 1)]
-_SIZE = 2 + CHANGE_POINTS + 2 * len(_WAVES)
+TERMS = _SIZE = 2 + CHANGE_POINTS + 2 * len(_WAVES)
 
 MODEL_SCHEMA = (
     "node_name string, metric string, points bigint, begin_s double, end_s double, y_scale double, "

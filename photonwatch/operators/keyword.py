@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonwatch import scale
@@ -74,6 +74,27 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float
     return Index(postings, terms, totals)
 
 
+#: Postings are stored in so many folders, by a hash of the token.
+TOKEN_FOLDERS = 64
+
+
+def write_index(index: Index, path: str) -> None:
+    """The index as three tables under ``path``; writing again replaces them.
+
+    Postings lie in folders by a hash of their token, each rebalanced to files of
+    even size, so a search reads only the folders of its words.
+    """
+    folder = F.pmod(F.xxhash64("token"), F.lit(TOKEN_FOLDERS)).cast("int")
+    placed = index.postings.withColumn("folder", folder).hint("rebalance", "folder")
+    placed.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    index.terms.withColumn("folder", folder).write.mode("overwrite").parquet(f"{path}/terms")
+    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")])
+
+
 def query_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """Known terms per query with their weight; a repeated term counts each time."""
     asked = (
@@ -81,7 +102,8 @@ def query_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
         .groupBy("query_id", "token")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    return asked.join(terms, "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("weight"))
+    folder = [c for c in terms.columns if c == "folder"]
+    return asked.join(terms, "token").select("query_id", "token", *folder, (F.col("times") * F.col("idf")).alias("weight"))
 
 
 CHUNKS_PER_BLOCK, QUERIES_PER_BLOCK = 2_000, 500
@@ -98,11 +120,13 @@ def bm25_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     on at most ``k`` rows per query, so scores of pairs are never shuffled and
     no word, chunk or query can crowd a task.
     """
-    asked = query_terms(queries, index.terms).select("query_id", "token", "weight")
+    asked = query_terms(queries, index.terms)
+    # of a stored index only the folders of the asked words are read
+    words = [c for c in ("folder", "token") if c in index.postings.columns]
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     rows = index.totals.select(F.greatest(F.ceil(F.col("chunks") / CHUNKS_PER_BLOCK).cast("bigint"), one)).scalar()
     columns = queries.agg(F.greatest(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("bigint"), one)).scalar()
-    left = index.postings.join(asked.select("token").distinct(), "token", "left_semi").select(
+    left = index.postings.join(asked.select(*words).distinct(), words, "left_semi").select(
         "id",
         "token",
         "impact",

@@ -151,24 +151,28 @@ def escalate_alerts(requests: DataFrame, alerts: DataFrame, faults: DataFrame) -
     """Alerts become Escalated, each with a new Open fault.
 
     ``requests``: request_id, alert_id, actor, requested_at.  Returns the alert
-    outcome and the new fault rows, numbered on from the highest fault id.
+    outcome, whose table tells who escalated (``performed_by``) and when
+    (``escalated_at``), and the new fault rows, numbered on from the highest fault id.
     """
-    known = alerts.select("alert_id", F.col("status").alias("_status"))
+    known = alerts.select("alert_id", F.col("status").alias("_status"), F.col("severity").alias("_severity"))
     escalated = "Attempt to escalate an alert that has been escalated already."
     reason, rank = _reasons(
         (F.col("_status").isNull(), "Attempt to escalate a non-existent alert."),
         (F.col("_status") == "Escalated", escalated),
         (F.col("_status") == "Resolved", "Attempt to escalate a resolved alert."),
-        (F.col("_status") == "Info", "Attempt to escalate an info alert."),
+        (F.col("_severity") == "Info", "Attempt to escalate an info alert."),
         state_from=1,
     )
     rows = requests.join(known, "alert_id", "left").withColumn("_rank_of_reason", rank)
     judged = _judged(rows, "alert_id", reason, escalated)
-    done = judged.filter(F.col("reason").isNull()).select("alert_id", "request_id", F.col("requested_at").alias("_at"))
+    done = judged.filter(F.col("reason").isNull()).select("alert_id", "request_id", F.col("requested_at").alias("_at"), F.col("actor").alias("_by"))
+    new = {"performed_by": F.col("_by"), "escalated_at": F.col("_at")}
+    before = {c: F.col(c) if c in alerts.columns else F.lit(None) for c in new}
     table = (
         alerts.join(done.drop("request_id"), "alert_id", "left")
         .withColumn("status", F.when(F.col("_at").isNotNull(), "Escalated").otherwise(F.col("status")))
-        .select(*alerts.columns)
+        .withColumns({c: F.coalesce(v, before[c]) for c, v in new.items()})
+        .select(*dict.fromkeys([*alerts.columns, *new]))
     )
     numbered = scale.split_row_number(
         # buckets of a second: a batch of requests usually lies within one hour

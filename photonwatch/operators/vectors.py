@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonwatch import scale
@@ -147,6 +147,19 @@ def in_cells(vectors: DataFrame, centres: np.ndarray, key: str, probe: int = 1)
     return vectors.select(F.col(key).cast("bigint"), F.col("embedding").cast("array<float>")).mapInPandas(assign, schema)
 
 
+def write_cells(celled: DataFrame, centres: np.ndarray, path: str) -> None:
+    """Vectors in one folder per cell, rebalanced to files of even size, and the centres beside them."""
+    celled.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    celled.sparkSession.createDataFrame(rows, "cell int, centre array<double>").write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def read_cells(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """What :func:`write_cells` wrote; a search by cells reads only the folders of probed cells."""
+    centres = spark.read.parquet(f"{path}/centres").orderBy("cell").toPandas()["centre"]
+    return spark.read.parquet(f"{path}/vectors"), np.array(centres.tolist())
+
+
 def nearest_in_cells(
     celled: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probe: int = 32
 ) -> DataFrame:

@@ -123,6 +123,26 @@ def _(t: Tables):
     return _models(t).select("node_name", "metric", "points", F.round("sigma", 6).alias("sigma"), F.size("coefficients").alias("terms"))
 
 
+SERIES_VIEWS = _TELE
+SERIES_SQL = f"{_SERIES}, long AS (UNPIVOT series ON {_METRICS} INTO NAME metric VALUE value)"
+
+
+@query("i8_i9_model_and_forecast_shape", views=SERIES_VIEWS, sql=f"""
+WITH {SERIES_SQL} SELECT node_name, metric, count(*) AS points, CAST({forecast.TERMS} AS BIGINT) AS terms, CAST(168 AS BIGINT) AS steps,
+ max(timestamp) + INTERVAL '1' HOUR AS first_hour, max(timestamp) + INTERVAL '168' HOUR AS last_hour, true AS in_range
+FROM long GROUP BY 1, 2 HAVING count(*) >= CASE WHEN metric = 'qkdKeyRate' THEN {forecast.MIN_POINTS_KEY_RATE} ELSE {forecast.MIN_POINTS} END AND max(timestamp) > min(timestamp)""")
+def _(t: Tables):
+    models = _models(t)
+    ahead = forecast.predict(models).groupBy("node_name", "metric").agg(
+        F.count(F.lit(1)).alias("steps"),
+        F.min("ds").alias("first_hour"),
+        F.max("ds").alias("last_hour"),
+        F.bool_and((F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))).alias("in_range"),
+    )
+    sizes = models.select("node_name", "metric", "points", F.size("coefficients").cast("bigint").alias("terms"))
+    return sizes.join(ahead, ["node_name", "metric"])
+
+
 @query("i9_hourly_forecast")
 def _(t: Tables):
     return rounded(forecast.predict(_models(t)), 4)

@@ -126,8 +126,8 @@ def _(t: Tables):
 def _(t: Tables):
     folder = sinks.scratch_folder(t.spark, "ingest")
 
-    def store(rows: DataFrame, path: str) -> None:
-        sinks.store_documents(rows, partial(text.fixed_chunked, size=2000, overlap=200), path)
+    def store(rows: DataFrame, path: str, batch: int) -> None:
+        sinks.store_documents(rows, partial(text.fixed_chunked, size=2000, overlap=200), path, batch=batch)
 
     for _ in range(2):  # the second run finds nothing new
         stream = monitors.file_stream(t.spark, f"{t.folder}/documents.parquet", t.raw("documents").schema)

@@ -455,7 +455,13 @@ def _offsets(scaled: DataFrame, model: DataFrame) -> DataFrame:
     return anomaly.score_offsets(cut_lineage(anomaly.forest_scores(scaled.filter("is_train"), model)))
 
 
-@query("i2_train_split")
+_SPLIT = f"""{_MATRIX},
+split AS (SELECT node_name, count(*) OVER (PARTITION BY node_name) < 100
+  OR CAST(concat('0x', substr(md5(concat(node_name, '|', CAST(epoch_us(timestamp) AS VARCHAR))), 1, 8)) AS BIGINT) % 10 < 8 AS is_train FROM matrix)"""
+
+
+@query("i2_train_split", views=_TELE, sql=f"""
+WITH {_SPLIT} SELECT node_name, count(*) AS rows, count(*) FILTER (WHERE is_train) AS train_rows FROM split GROUP BY 1""")
 def _(t: Tables):
     split = anomaly.train_split(_matrix(t))
     return split.groupBy("node_name").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_train").alias("train_rows"))
@@ -467,6 +473,20 @@ def _(t: Tables):
     return model.select("node_name", "tree", "sample", F.size("feature").alias("tree_nodes"), F.array_max("depth").alias("longest"))
 
 
+@query("i4_forest_shape", views=_TELE, sql=f"""
+WITH {_SPLIT} SELECT node_name, CAST(100 AS BIGINT) AS trees, least(256, count(*) FILTER (WHERE is_train)) AS smallest_sample,
+ least(256, count(*) FILTER (WHERE is_train)) AS largest_sample, true AS binary_trees FROM split GROUP BY 1""")
+def _(t: Tables):
+    _, _, model = _trained(t)
+    return model.groupBy("node_name").agg(
+        F.count_distinct("tree").alias("trees"),
+        F.min("sample").cast("bigint").alias("smallest_sample"),
+        F.max("sample").cast("bigint").alias("largest_sample"),
+        # one leaf more than splits, and no more leaves than points
+        F.bool_and((F.size("feature") % 2 == 1) & (F.size("feature") < 2 * F.col("sample"))).alias("binary_trees"),
+    )
+
+
 @query("i5_i6_h10_holdout_report")
 def _(t: Tables):
     scaled, _, model = _trained(t)

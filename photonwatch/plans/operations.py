@@ -381,7 +381,7 @@ def _escalations(t: Tables):
 _ESCALATE = """
 req AS (SELECT event_id AS request_id, concat('ALR_', CAST(event_id // 2 AS VARCHAR)) AS alert_id, user_id AS actor, ts AS requested_at FROM events),
 first_look AS (SELECT q.*, CASE WHEN a.status IS NULL THEN 'Attempt to escalate a non-existent alert.' WHEN a.status = 'Escalated' THEN 'Attempt to escalate an alert that has been escalated already.'
- WHEN a.status = 'Resolved' THEN 'Attempt to escalate a resolved alert.' END AS why FROM req q LEFT JOIN alerts a ON a.alert_id = q.alert_id),
+ WHEN a.status = 'Resolved' THEN 'Attempt to escalate a resolved alert.' WHEN a.severity = 'Info' THEN 'Attempt to escalate an info alert.' END AS why FROM req q LEFT JOIN alerts a ON a.alert_id = q.alert_id),
 judged AS (SELECT *, CASE WHEN coalesce(sum(CASE WHEN why IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY alert_id ORDER BY requested_at, request_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'Attempt to escalate an alert that has been escalated already.' ELSE why END AS reason FROM first_look)"""
 
@@ -394,10 +394,11 @@ def _(t: Tables):
 
 
 @query("l3_escalated_alerts", views="alerts", sql=f"""
-WITH {_ESCALATE} SELECT a.id, CASE WHEN j.alert_id IS NOT NULL THEN 'Escalated' ELSE a.status END AS status FROM alerts a
+WITH {_ESCALATE} SELECT a.id, CASE WHEN j.alert_id IS NOT NULL THEN 'Escalated' ELSE a.status END AS status,
+ j.actor AS performed_by, j.requested_at AS escalated_at FROM alerts a
 LEFT JOIN judged j ON j.alert_id = a.alert_id AND j.reason IS NULL""")
 def _(t: Tables):
-    return _escalations(t)[0].table.select("id", "status")
+    return _escalations(t)[0].table.select("id", "status", "performed_by", "escalated_at")
 
 
 @query("l3_new_faults", views="alerts faults", sql=f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from photonwatch.operators import hybrid, keyword, vectors
 from photonwatch.plans.fixtures import Tables
 from photonwatch.plans.registry import query
-from photonwatch.session import cut_lineage
+from photonwatch.sources.sinks import scratch_folder
 
 _VIEWS = "chunks library questions"
 
@@ -64,7 +64,18 @@ def _active(t: Tables) -> DataFrame:
 
 
 def _index(t: Tables) -> keyword.Index:
-    return keyword.build_index(_active(t))
+    """The keyword index, stored and read back."""
+    folder = scratch_folder(t.spark, "keyword-index")
+    keyword.write_index(keyword.build_index(_active(t)), folder)
+    return keyword.read_index(t.spark, folder)
+
+
+def _cells(t: Tables, stored: DataFrame):
+    """The vector index, stored and read back."""
+    folder = scratch_folder(t.spark, "vector-index")
+    centres = vectors.fit_cells(stored)
+    vectors.write_cells(vectors.in_cells(stored, centres, "id"), centres, folder)
+    return vectors.read_cells(t.spark, folder)
 
 
 def _asked(t: Tables) -> DataFrame:
@@ -136,9 +147,7 @@ def _(t: Tables):
 WITH {_with(_VEC, source='SELECT vec_id AS id, embedding FROM embeddings', k=10)}
 SELECT query_id, id, round(1 / (1 + distance), 6) AS similarity, rank FROM near""")
 def _(t: Tables):
-    stored = _vectors(t)
-    centres = vectors.fit_cells(stored)
-    celled = vectors.in_cells(stored, centres, "id")
+    celled, centres = _cells(t, _vectors(t))
     asked = _asked(t).filter(F.col("embedding").isNotNull())
     near = vectors.nearest_in_cells(celled, centres, asked, 10)
     return near.select("query_id", "id", F.round(vectors.similarity(), 6).alias("similarity"), "rank")
@@ -234,5 +243,5 @@ WITH {_with(_BM25, k=1)} SELECT (SELECT n FROM tot) AS indexed_chunks, (SELECT c
  (SELECT count(*) FROM active WHERE embedding IS NOT NULL) AS indexed_vectors""")
 def _(t: Tables):
     stored = _active(t).filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    celled = cut_lineage(vectors.in_cells(stored, vectors.fit_cells(stored), "id"))
+    celled, _ = _cells(t, stored)
     return hybrid.index_report(_index(t), celled).drop("cells")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,33 +19,46 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
 def write_telemetry(df: DataFrame, path: str, ts: str = "timestamp", mode: str = "append") -> None:
     """Telemetry partitioned by date, so that look-back windows prune folders.
 
-    Rows are spread by date and a hash, so that one busy day is several files.
+    Rows are rebalanced by date: a busy day becomes as many files as its size
+    asks for, quiet days share a task.
     """
     dated = df.withColumn("date", F.col(ts).cast("date"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dated.repartition(parts, "date", F.pmod(F.xxhash64(*df.columns), F.lit(4))).write.mode(mode).partitionBy("date").parquet(path)
+    dated.hint("rebalance", "date").write.mode(mode).partitionBy("date").parquet(path)
 
 
 def export_rows(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def store_documents(documents: DataFrame, cut: Callable[..., DataFrame], path: str) -> None:
-    """Documents and their chunks as two tables; ``documents``: id, filename, text, content_hash.
+def store_documents(
+    documents: DataFrame,
+    cut: Callable[..., DataFrame],
+    path: str,
+    embed: Callable[[DataFrame], DataFrame] | None = None,
+    batch: int = 0,
+) -> None:
+    """Documents and their chunks as two tables under ``path``: documents and document_chunks.
 
-    ``cut`` takes a frame and the name of its ``key``, and gives its chunks.
+    ``documents``: id, filename, text, content_hash, and display_name and
+    metadata (a map) if there are any.  ``cut`` takes a frame and the name of its
+    ``key``, and gives its chunks; ``embed`` adds their ``embedding``.  Rows are
+    written under the number of the batch, so storing a batch again replaces it.
     """
     chunks = cut(documents.withColumnRenamed("id", "document_id"), key="document_id")
-    chunks.write.mode("append").parquet(f"{path}/document_chunks")
-    counts = (
-        documents.sparkSession.read.parquet(f"{path}/document_chunks").groupBy(F.col("document_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("chunk_count"))
-    )
+    if embed is not None:
+        chunks = embed(chunks)
+    place = f"{path}/document_chunks/batch={batch}"
+    chunks.write.mode("overwrite").parquet(place)
+    own = documents.sparkSession.read.schema(chunks.schema).parquet(place)
+    counts = own.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count"))
+    given = [c for c in ("display_name", "metadata") if c in documents.columns]
     (
         documents.join(counts, "id", "left")
-        .select("id", "filename", "content_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit("active").alias("status"))
-        .write.mode("append")
-        .parquet(f"{path}/documents")
+        .select(
+            "id", "filename", *given, "content_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit("active").alias("status")
+        )
+        .write.mode("overwrite")
+        .parquet(f"{path}/documents/batch={batch}")
     )
 
 
@@ -54,9 +67,10 @@ def unchanged_skipped(incoming: DataFrame, manifest: DataFrame) -> DataFrame:
     return incoming.join(manifest.select("filename", "content_hash"), ["filename", "content_hash"], "left_anti")
 
 
-def save_models(models: DataFrame, path: str, trained_at) -> None:
-    """Model table with its training time; a node's rows are replaced by rewriting the table elsewhere."""
-    models.withColumn("trained_at", trained_at).write.mode("overwrite").parquet(path)
+def save_models(models: DataFrame, path: str, trained_at, keys: Sequence[str] = ("node_name", "metric")) -> None:
+    """Model table with its training time, one folder per key: models of the given keys are replaced, others stay."""
+    dated = models.withColumn("trained_at", trained_at)
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def load_models(spark: SparkSession, path: str) -> DataFrame:

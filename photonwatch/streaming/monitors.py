@@ -6,6 +6,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -237,27 +238,31 @@ def sustained_breach_monitor(
     )
 
 
-def ingest_stream(incoming: DataFrame, path: str, store: Callable[[DataFrame, str], None]) -> None:
+def ingest_stream(incoming: DataFrame, path: str, store: Callable[[DataFrame, str, int], None]) -> None:
     """Store new documents of a stream; known (name, content) pairs are skipped.
 
-    ``incoming``: filename, text.  ``store`` writes a batch and must append
-    ``filename`` and ``content_hash`` to the table ``documents`` under ``path``.
+    ``incoming``: filename, text.  ``store`` gets a batch, ``path`` and the batch's
+    number, and writes ``filename`` and ``content_hash`` to the table ``documents``
+    under ``path``, in a folder ``batch=<number>``.  Progress is kept under
+    ``path``: a restart goes on where it stopped, and a batch that is tried again
+    is compared with the other batches only and replaces itself.
     """
     spark = incoming.sparkSession
 
     def batch(rows: DataFrame, number: int) -> None:
         hashed = rows.withColumn("content_hash", F.md5("text")).dropDuplicates(["filename", "content_hash"])
         try:
-            manifest = spark.read.parquet(f"{path}/documents")
-            hashed = unchanged_skipped(hashed, manifest)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
+            manifest = spark.read.parquet(f"{path}/documents").filter(F.col("batch") != number)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-        store(hashed, path)
+        else:
+            hashed = unchanged_skipped(hashed, manifest)
+        store(hashed, path, number)
 
     query = (
         incoming.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", f"{path}/progress-{scratch_folder(spark, 'ingest').rsplit('-', 1)[-1]}")
+        .option("checkpointLocation", f"{path}/progress")
         .trigger(availableNow=True)
         .start()
     )

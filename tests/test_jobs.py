@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +79,43 @@ def test_history_sources(spark, tmp_path):
         tables.csv_history(spark, str(bad))
     frame = spark.range(1).withColumn("Node", F.lit("n"))
     assert tables.history(spark, "snmp", database=frame) is frame
+
+
+def test_a_batch_stored_again_replaces_itself(spark, tmp_path):
+    from photonwatch.operators import text
+    from photonwatch.sources import sinks
+
+    docs = spark.createDataFrame([(1, "a", "One two. " * 80, "h1"), (2, "b", "", "h2")], "id long, filename string, text string, content_hash string")
+    for _ in range(2):
+        sinks.store_documents(docs, partial(text.fixed_chunked, size=200, overlap=20), str(tmp_path), batch=3)
+    rows = {r.id: r.chunk_count for r in spark.read.parquet(f"{tmp_path}/documents").collect()}
+    assert rows[2] == 0 and rows[1] == spark.read.parquet(f"{tmp_path}/document_chunks").count() > 3
+
+
+def test_models_of_one_key_are_replaced(spark, tmp_path):
+    from photonwatch.sources import sinks
+
+    first = spark.createDataFrame([("N1", "m", 1), ("N2", "m", 1)], "node_name string, metric string, points int")
+    sinks.save_models(first, str(tmp_path / "m"), F.lit("monday"))
+    sinks.save_models(first.filter("node_name = 'N1'").withColumn("points", F.lit(2)), str(tmp_path / "m"), F.lit("tuesday"))
+    rows = {(r.node_name, r.points, r.trained_at) for r in sinks.load_models(spark, str(tmp_path / "m")).collect()}
+    assert rows == {("N1", 2, "tuesday"), ("N2", 1, "monday")}
+
+
+def test_ingest_goes_on_after_a_restart(spark, tmp_path):
+    from photonwatch.operators import text
+    from photonwatch.sources import sinks
+    from photonwatch.streaming import monitors
+
+    def store(rows, path, batch):
+        sinks.store_documents(rows, partial(text.fixed_chunked, size=200, overlap=20), path, batch=batch)
+
+    schema = "id long, filename string, text string"
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(3):
+        spark.createDataFrame([(i, f"f{i}", "some text here"), (9, "same", "text")], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = monitors.file_stream(spark, source, spark.createDataFrame([], schema).schema)
+        monitors.ingest_stream(stream, target, store)
+    stored = spark.read.parquet(f"{target}/documents")
+    assert sorted(r.filename for r in stored.collect()) == ["f0", "f1", "f2", "same"]
+    assert stored.select("batch").distinct().count() == 3

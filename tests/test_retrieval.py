@@ -147,3 +147,18 @@ def test_citations_and_confidence(spark):
     assert got == {"user guide": "Chunks #0, #1, #2 (+2 more)", "b": "Chunk #9"}
     asked = spark.createDataFrame([(1,), (2,)], "query_id long")
     assert {r.query_id: r.confidence for r in hybrid.confidence(df, asked).collect()} == {1: 0.3, 2: 0.1}
+
+
+def test_a_stored_index_answers_alike(spark, tmp_path):
+    chunks = spark.createDataFrame(list(enumerate(TEXTS)), "id long, content string")
+    queries = spark.createDataFrame([(1, TEXTS[0]), (2, "nothing of the kind")], "query_id long, query string")
+    built = keyword.build_index(chunks)
+    for _ in range(2):  # writing again replaces
+        keyword.write_index(built, str(tmp_path))
+    stored = keyword.read_index(spark, str(tmp_path))
+
+    def rows(index):
+        return sorted((r.query_id, r["rank"], r.id, r.score) for r in keyword.bm25_search(index, queries, 3).collect())
+
+    assert rows(stored) == rows(built)
+    assert "folder" in stored.postings.columns
