@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,8 @@ UNUSUAL = re.compile("[^\x00-\u052f\u2000-\u206f]")
 
 #: Documents of about this many characters share one list of words and meet in one task.
 CHUNK_CHARACTERS = 32_000_000
+#: Words are dealt to so many buckets; the distinct words of one bucket meet in one task.
+WORD_BUCKETS = 256
 
 
 @lru_cache(maxsize=2)
@@ -90,17 +94,33 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(list(enumerate(_piece_list(path))), columns=["id", "piece"]), "id int, piece binary")
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Compressed 32-bit numbers, all first bytes first, as the high ones are mostly equal."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=6).compress(planes.tobytes())
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _pack(path: str):
-    """One row per chunk of documents: its distinct words, and each document's words as places in that list."""
+    """One row per chunk of documents: each document's words as places in the chunk's list of distinct words, and that list by buckets."""
 
     def packed(ids: list, places: list[np.ndarray], words: dict[str, int]) -> pd.DataFrame:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        flat = np.concatenate(places) if places else np.zeros(0, np.int32)
-        lengths = np.array([len(p) for p in places], np.int64)
+        bucket = {w: zlib.crc32(w.encode()) % WORD_BUCKETS for w in words}
+        ordered = sorted(words, key=lambda w: (bucket[w], w))
+        place = np.empty(len(words), np.int32)
+        place[[words[w] for w in ordered]] = np.arange(len(words), dtype=np.int32)
+        flat = place[np.concatenate(places)]
+        groups = [(k, json.dumps(list(g), ensure_ascii=False).encode()) for k, g in groupby(ordered, bucket.__getitem__)]
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         # the name is taken from the contents, so a task that runs twice gives the same one
-        name = hashlib.sha256(flat.tobytes() + repr(ids).encode() + lengths.tobytes()).hexdigest()
+        name = hashlib.sha256(flat.tobytes() + repr(ids).encode()).digest()
         row = {
-            "chunk": name, "doc_ids": ids, "lengths": lengths, "places": squeeze(flat.tobytes()), "words": squeeze(json.dumps(list(words)).encode()),
+            "chunk": int.from_bytes(name[:8], "little", signed=True), "doc_ids": ids, "lengths": [len(p) for p in places], "places": _squeezed(flat),
+            "words": [{"bucket": k, "list": squeeze(g)} for k, g in groups],
         }
         return pd.DataFrame([row])
 
@@ -121,28 +141,24 @@ def _pack(path: str):
     return run
 
 
-def _list_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        for chunk, words in zip(frame["chunk"], frame["words"]):
-            listed = json.loads(zstandard.ZstdDecompressor().decompress(words))
-            for at in range(0, len(listed), 10_000):
-                part = listed[at : at + 10_000]
-                yield pd.DataFrame({"chunk": chunk, "at": np.arange(at, at + len(part), dtype=np.int32), "word": part})
-
-
-def _encode_words(path: str):
-    """``ids`` for rows that come sorted by word: the library sees every word once."""
+def _encode_lists(path: str):
+    """Ids of the words of each list, for lists sorted by bucket: the library sees every word of a bucket once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, special = _tokenizer(path), _special_tokens(path)
-        known: dict[str, bytes] = {}
+        known: dict[str, np.ndarray] = {}
+        current = None
         for frame in batches:
-            new = [w for w in frame["word"].unique() if w not in known]
-            coded = tokenizer.encode_batch(new, add_special_tokens=False)
-            last = frame["word"].iloc[-1] if len(frame) else None
-            known |= {w: np.array([special[w]] if w in special else c.ids, np.int32).tobytes() for w, c in zip(new, coded)}
-            yield pd.DataFrame({"chunk": frame["chunk"], "at": frame["at"], "ids": frame["word"].map(known)})
-            known = {last: known[last]} if last in known else {}
+            for chunk, bucket, packed in zip(frame["chunk"], frame["bucket"], frame["list"]):
+                if bucket != current:
+                    known, current = {}, bucket
+                words = json.loads(zstandard.ZstdDecompressor().decompress(packed))
+                new = [w for w in words if w not in known]
+                for w, coded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
+                    known[w] = np.array([special[w]] if w in special else coded.ids, np.int32)
+                found = [known[w] for w in words]
+                row = {"chunk": chunk, "bucket": bucket, "counts": _squeezed(np.array([len(i) for i in found], np.int32)), "ids": _squeezed(np.concatenate(found))}
+                yield pd.DataFrame([row])
 
     return run
 
@@ -152,17 +168,17 @@ def _join_back(path: str, with_text: bool):
 
     def run(chunks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         piece = _piece_list(path)
-        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        for at, coded in zip(words["at"], words["ids"]):
-            ids[at] = np.frombuffer(coded, np.int32)
-        listed = [",".join(map(str, i.tolist())) for i in ids]
-        decoded = [b"".join([piece[k] for k in i.tolist()]) for i in ids]
-        counts = np.array([len(i) for i in ids], np.int64)
+        # chunks of equal contents have equal names and lists
+        words = words.drop_duplicates("bucket").sort_values("bucket")
+        counts = np.concatenate([_unsqueezed(c) for c in words["counts"]]) if len(words) else np.zeros(0, np.int32)
+        listed, decoded = [], []
+        for own_counts, own_ids in zip(words["counts"], words["ids"]):
+            for ids in np.split(_unsqueezed(own_ids), np.cumsum(_unsqueezed(own_counts))[:-1]):
+                listed.append(",".join(map(str, ids.tolist())))
+                decoded.append(b"".join([piece[k] for k in ids.tolist()]))
         rows = []
-        # chunks of equal contents have equal names: copies of all rows
         for doc_ids, lengths, packed in zip(chunks["doc_ids"], chunks["lengths"], chunks["places"]):
-            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int32)
-            for doc_id, own in zip(doc_ids, np.split(flat, np.cumsum(lengths)[:-1])):
+            for doc_id, own in zip(doc_ids, np.split(_unsqueezed(packed), np.cumsum(lengths)[:-1])):
                 places = own.tolist()
                 text = ",".join([listed[k] for k in places])
                 # as the library does, bytes that are no UTF-8 become U+FFFD
@@ -182,10 +198,10 @@ def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
 
     Each task cuts its documents into words and packs them in chunks: the list
     of a chunk's distinct words, and every document as places in that list.  The
-    lists' words are sorted together, each distinct word of the corpus is encoded
-    once, and its ids go back to the places that asked, where the documents take
+    lists meet by buckets of words, each distinct word of the corpus is encoded
+    once, and its ids go back to the chunks that asked, where the documents take
     them by position.  So the texts themselves are never shuffled, only packed
-    places and one row per chunk and distinct word.
+    places and lists.
 
     Null and empty texts have no tokens; special tokens written in a text are
     read as such, as the library does; null ids and repeated rows are kept as
@@ -196,12 +212,11 @@ def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
     # ids travel as text, so that pandas keeps null and large ones as they are
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
     n = spread_count(docs.sparkSession)
-    packed = slim.mapInPandas(_pack(path), "chunk string, doc_ids array<string>, lengths array<long>, places binary, words binary")
-    packed = packed.repartition(n, "chunk")
-    listed = packed.mapInPandas(_list_words, "chunk string, at int, word string")
-    coded = listed.repartition(n, "word").sortWithinPartitions("word").mapInPandas(_encode_words(path), "chunk string, at int, ids binary")
-    # a chunk that occurs twice lists its words twice
-    coded = coded.repartition(n, "chunk")
+    kinds = "chunk long, doc_ids array<string>, lengths array<long>, places binary, words array<struct<bucket:int,list:binary>>"
+    packed = slim.mapInPandas(_pack(path), kinds).repartition(n, "chunk")
+    lists = packed.select("chunk", F.explode("words").alias("w")).select("chunk", "w.bucket", "w.list")
+    sorted_lists = lists.repartition(n, "bucket").sortWithinPartitions("bucket")
+    coded = sorted_lists.mapInPandas(_encode_lists(path), "chunk long, bucket int, counts binary, ids binary")
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")
     out = packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(_join_back(path, with_text), schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
