@@ -33,6 +33,8 @@ NEWEST_WORDS = ["latest", "recent", "newest"]
 
 # Circuit requests.
 NODE = r"C\d{2}-\d{4}-\d{2}"
+DIRECT = r"(C\d{2}-\d{4}-\d{2})\s*(?:PORT\s*)?(\d+)?\s*(?:TO|AND)\s*(C\d{2}-\d{4}-\d{2})\s*(?:PORT\s*)?(\d+)?"
+COLON = r"(C\d{2}-\d{4}-\d{2}):(\d+)\s*(?:TO|AND)\s*(C\d{2}-\d{4}-\d{2}):(\d+)"
 DEFAULT_PORT, PORTS = 3, (1, 48)
 
 
@@ -109,16 +111,14 @@ def circuit_requests(messages: DataFrame, text: str = "message") -> DataFrame:
     else the first two nodes with a port near them.
     """
     up = F.upper(text)
-    direct = rf"({NODE})\s*(?:PORT\s*)?(\d+)?\s*(?:TO|AND)\s*({NODE})\s*(?:PORT\s*)?(\d+)?"
-    colon = rf"({NODE}):(\d+)\s*(?:TO|AND)\s*({NODE}):(\d+)"
     nodes = F.regexp_extract_all(up, F.lit(f"({NODE})"), F.lit(1))
     a, z = F.try_element_at(nodes, F.lit(1)), F.try_element_at(nodes, F.lit(2))
     two = F.size(nodes) >= 2
 
     def pick(group: int, other: Column) -> Column:
         return (
-            F.when(up.rlike(direct), F.nullif(F.regexp_extract(up, direct, group), F.lit("")))
-            .when(up.rlike(colon), F.regexp_extract(up, colon, group))
+            F.when(up.rlike(DIRECT), F.nullif(F.regexp_extract(up, DIRECT, group), F.lit("")))
+            .when(up.rlike(COLON), F.regexp_extract(up, COLON, group))
             .when(two, other)
         )
 

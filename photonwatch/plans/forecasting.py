@@ -10,6 +10,7 @@ from photonwatch.plans.fixtures import AS_OF_TELE, Tables, at
 from photonwatch.plans.monitoring import _SERIES, _TELE, _series, rounded
 from photonwatch.plans.registry import query
 from photonwatch.session import cut_lineage
+from photonwatch.sources import sinks
 
 _METRICS = ", ".join(f'"{m}"' for m in forecast.METRICS)
 
@@ -115,7 +116,10 @@ def _(t: Tables):
 
 
 def _models(t: Tables) -> DataFrame:
-    return cut_lineage(forecast.fit_models(_long(t)))
+    """Fitted models, saved and loaded as a service would."""
+    folder = sinks.scratch_folder(t.spark, "models")
+    sinks.save_models(forecast.fit_models(_long(t)), folder, at(AS_OF_TELE))
+    return sinks.load_models(t.spark, folder)
 
 
 @query("i8_fitted_models")
@@ -151,7 +155,7 @@ def _(t: Tables):
 @query("i11_h8_all_metric_forecast")
 def _(t: Tables):
     long = cut_lineage(_long(t))
-    ahead = forecast.predict(cut_lineage(forecast.fit_models(long)))
+    ahead = forecast.predict(_models(t))
     return forecast.insights(forecast.outlook(ahead, telemetry.mean_of_last(long)))
 
 

@@ -10,6 +10,7 @@ from photonwatch.operators import anomaly, telemetry
 from photonwatch.plans.fixtures import AS_OF_TELE, Tables, at
 from photonwatch.plans.registry import query
 from photonwatch.session import cut_lineage
+from photonwatch.sources import sinks
 
 
 def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
@@ -444,11 +445,14 @@ def _(t: Tables):
 
 
 def _trained(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scaled rows with their split, the scaling, and the stored forests."""
+    """Scaled rows with their split, and the scaling and forests, saved per node and loaded."""
+    folder = sinks.scratch_folder(t.spark, "forests")
     matrix = cut_lineage(anomaly.train_split(_matrix(t)))
-    scaling = anomaly.scaling(matrix.filter("is_train"))
+    sinks.save_models(anomaly.scaling(matrix.filter("is_train")), f"{folder}/scaling", at(AS_OF_TELE), ["node_name"])
+    scaling = sinks.load_models(t.spark, f"{folder}/scaling").drop("trained_at")
     scaled = anomaly.standardised(matrix, scaling)
-    return scaled, scaling, cut_lineage(anomaly.fit_forests(scaled.filter("is_train")))
+    sinks.save_models(anomaly.fit_forests(scaled.filter("is_train")), f"{folder}/forests", at(AS_OF_TELE), ["node_name"])
+    return scaled, scaling, sinks.load_models(t.spark, f"{folder}/forests").drop("trained_at")
 
 
 def _offsets(scaled: DataFrame, model: DataFrame) -> DataFrame:
