@@ -51,7 +51,42 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", (id_crc32() % 4 == 2).alias("held_out"), "score", "predicted")
 
 
-@query("op3_licence_scan")
+_TEMPLATES = ", ".join(
+    f"({k}, '{licence}', '{text}')" for k, (licence, text) in enumerate((n, x) for n, texts in licences.TEMPLATES.items() for x in texts)
+)
+
+
+@query(
+    "op3_licence_scan",
+    sql=rf"""
+WITH tmpl(template, licence, text) AS (VALUES {_TEMPLATES}),
+terms AS (SELECT template, licence, term, count(*) AS tf FROM (SELECT template, licence,
+  unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM tmpl) GROUP BY ALL),
+files AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 1000 AS VARCHAR), CAST(doc_id AS VARCHAR)) AS path,
+  string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT path, i, list_filter(regexp_split_to_array(lower(l[i]), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM files)),
+listed AS (SELECT * FROM lines WHERE len(w) > 0),
+tot AS (SELECT greatest(1, count(*)) AS n FROM listed),
+tf AS (SELECT path, i, term, count(*) AS tf FROM (SELECT path, i, unnest(w) AS term FROM listed) GROUP BY ALL),
+weight AS (SELECT v.term, ln(1 + n / (1 + count(tf.term))) AS weight FROM (SELECT DISTINCT term FROM terms) v LEFT JOIN tf ON tf.term = v.term, tot GROUP BY v.term, n),
+words AS (SELECT path, i, tf.term, tf * coalesce(weight, ln(1 + n / 2)) AS w FROM tf LEFT JOIN weight USING (term), tot),
+norms AS (SELECT path, i, sqrt(sum(w * w)) AS norm FROM words GROUP BY ALL),
+sides AS (SELECT template, sqrt(sum((tf * weight) * (tf * weight))) AS norm FROM terms JOIN weight USING (term) GROUP BY ALL),
+liked AS (SELECT path, i, licence, round(sum(words.w * terms.tf * weight.weight / sides.norm) / norms.norm, 9) AS score
+  FROM words JOIN terms USING (term) JOIN weight USING (term) JOIN sides USING (template) JOIN norms USING (path, i) GROUP BY path, i, template, licence, norms.norm),
+best AS (SELECT path, i, score, min(licence) AS licence FROM (SELECT *, max(score) OVER (PARTITION BY path, i) AS top FROM liked WHERE score >= 0.75) WHERE score = top GROUP BY ALL),
+own AS (SELECT path, arg_max(licence, struct_pack(a := score, b := -i)) AS own, max(score) AS score, count(*) AS n_like FROM best GROUP BY path),
+judged AS (SELECT f.doc_id, f.path, own, score, coalesce(n_like / n_lines, 0) AS share, regexp_extract(f.path, '^(.*)/[^/]*$', 1) AS directory
+  FROM files f LEFT JOIN own USING (path) LEFT JOIN (SELECT path, count(*) AS n_lines FROM listed GROUP BY path) USING (path)),
+holders AS (SELECT directory AS from_directory, arg_min(own, path) AS inherited FROM
+  (SELECT *, max(score) OVER (PARTITION BY directory) AS top FROM judged WHERE own IS NOT NULL AND share >= 0.1) WHERE score = top GROUP BY directory),
+above AS (SELECT directory, array_to_string(list_slice(string_split(directory, '/'), 1, k), '/') AS from_directory FROM
+  (SELECT directory, unnest(range(0, len(string_split(directory, '/')) + 1)) AS k FROM (SELECT DISTINCT directory FROM judged))),
+near AS (SELECT directory, arg_max(from_directory, length(from_directory)) AS from_directory, arg_max(inherited, length(from_directory)) AS inherited
+  FROM above JOIN holders USING (from_directory) GROUP BY directory)
+SELECT doc_id, path, own, round(score, 6) AS score, inherited, from_directory, coalesce(own, inherited) AS licence FROM judged LEFT JOIN near USING (directory)""",
+)
 def _(spark: SparkSession, folder: str) -> DataFrame:
     # documents as files: source / language / thousand / id; a text of which a tenth of the lines name a licence speaks for its directory
     path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
