@@ -120,7 +120,7 @@ def _pack(path: str):
         name = hashlib.sha256(flat.tobytes() + repr(ids).encode()).digest()
         row = {
             "chunk": int.from_bytes(name[:8], "little", signed=True), "doc_ids": ids, "lengths": [len(p) for p in places], "places": _squeezed(flat),
-            "words": [{"bucket": k, "list": squeeze(g)} for k, g in groups],
+            "buckets": [k for k, _ in groups], "lists": [squeeze(g) for _, g in groups],
         }
         return pd.DataFrame([row])
 
@@ -141,6 +141,13 @@ def _pack(path: str):
     return run
 
 
+def _open_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lists of each chunk; takes whole rows, so that their one shuffle serves the documents as well."""
+    for frame in batches:
+        for chunk, buckets, lists in zip(frame["chunk"], frame["buckets"], frame["lists"]):
+            yield pd.DataFrame({"chunk": chunk, "bucket": buckets, "list": lists})
+
+
 def _encode_lists(path: str):
     """Ids of the words of each list, for lists sorted by bucket: the library sees every word of a bucket once."""
 
@@ -212,9 +219,9 @@ def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
     # ids travel as text, so that pandas keeps null and large ones as they are
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))
     n = spread_count(docs.sparkSession)
-    kinds = "chunk long, doc_ids array<string>, lengths array<long>, places binary, words array<struct<bucket:int,list:binary>>"
+    kinds = "chunk long, doc_ids array<string>, lengths array<long>, places binary, buckets array<int>, lists array<binary>"
     packed = slim.mapInPandas(_pack(path), kinds).repartition(n, "chunk")
-    lists = packed.select("chunk", F.explode("words").alias("w")).select("chunk", "w.bucket", "w.list")
+    lists = packed.mapInPandas(_open_chunks, "chunk long, bucket int, list binary")
     sorted_lists = lists.repartition(n, "bucket").sortWithinPartitions("bucket")
     coded = sorted_lists.mapInPandas(_encode_lists(path), "chunk long, bucket int, counts binary, ids binary")
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")

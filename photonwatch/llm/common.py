@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import uuid
 
@@ -43,6 +44,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done.
+
+    Spark deletes them when the driver collects the frames that made them, which
+    may be long after; what the next steps read is stored by then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # -- hashes of words, whole texts at a time ------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

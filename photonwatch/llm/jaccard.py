@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photonwatch.llm.common import mix64, shingle_hashes, stored, text_or_empty, word_hashes
+from photonwatch.llm.common import mix64, released, shingle_hashes, stored, text_or_empty, word_hashes
 from photonwatch.llm.components import components
 
 #: A segment that more sets than this share is worth skipping.
 CROWDED = 30
 #: Bits of the sketch by which far pairs are told apart before their sets are fetched.
 SKETCH_LONGS = 16
+#: The same where many rows carry it.
+FOLDED_LONGS = 4
 #: Sizes grow by this factor from band to band.
 BAND = 1.5
 #: Low bits of a bucket: the band, and whether its segment has one-deletion neighbours.
@@ -54,7 +56,8 @@ def _allocate(number: int, low: int, high: int, percent: int) -> Band:
     """Cheapest split of the allowance: more exact segments, or fewer with one-deletion neighbours.
 
     The cost of a set is the rows it emits plus what thin segments find by chance,
-    which falls by half for every further shingle in a segment.
+    which falls by half for every further shingle in a segment; sketches make
+    such finds cheap.
     """
     largest = high * 100 // percent
     need = _most_differences(percent, high, largest) + 1
@@ -68,7 +71,7 @@ def _allocate(number: int, low: int, high: int, percent: int) -> Band:
             slack = (math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0) + need // 12
             segments = max(1, need + slack - deletions, deletions)
         load = size / segments
-        chance = 20 * 0.5**load
+        chance = 4 * 0.5**load
         cost = (segments - deletions) * (1 + chance) + deletions * (1 + load + 4 * chance)
         if best is None or cost < best[0]:
             best = (cost, segments, deletions, segments + deletions - need)
@@ -126,30 +129,46 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 _SKETCH = "struct<" + ",".join(f"k{k}:bigint" for k in range(SKETCH_LONGS)) + ">"
 
 
-def _signatures(width: int, percent: int):
-    """Per text: size of its set, two hashes of the set, its sketch, its buckets and which of them had a shingle deleted."""
+def _fingerprint(shingles: np.ndarray) -> int:
+    """64 bits that depend on all shingles of the set; 0 for the empty one."""
+    if not len(shingles):
+        return 0
+    first, second = np.bitwise_xor.reduce(mix64(shingles + np.uint64(11))), np.add.reduce(mix64(shingles + np.uint64(29)))
+    return int(mix64(np.array([first * np.uint64(3) + second + np.uint64(len(shingles))]))[0].view(np.int64))
+
+
+def _describe(width: int):
+    """Per text: size, fingerprint and sketch of its set."""
     longs = pa.struct([(f"k{k}", pa.int64()) for k in range(SKETCH_LONGS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # bounds what a task holds
-                part = batch.slice(at, 500)
-                sizes, first, second, sketches, lists, flags = [], [], [], [], [], []
-                for text in part.column(2).to_pylist():
-                    s = shingle_hashes(word_hashes(text), width)
-                    sizes.append(len(s))
-                    first.append(int(np.bitwise_xor.reduce(mix64(s + np.uint64(11)), initial=np.uint64(0)).view(np.int64)))
-                    second.append(int(mix64(np.add.reduce(mix64(s + np.uint64(29)), keepdims=True) + np.uint64(len(s)))[0].view(np.int64)) if len(s) else 0)
-                    sketches.append(sketch(s))
-                    found, deleted = buckets(s, percent)
-                    lists.append(found.view(np.int64))
-                    flags.append(np.flatnonzero(deleted).astype(np.int32))
-                bits = [pa.array(c, pa.int64()) for c in np.array(sketches).T]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                     pa.StructArray.from_arrays(bits, fields=list(longs)), pa.array(lists, pa.list_(pa.int64())), pa.array(flags, pa.list_(pa.int32()))],
-                    names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "sketch", "buckets", "deleted"],
-                )
+            if not batch.num_rows:
+                continue
+            sets = (shingle_hashes(word_hashes(t.as_py()), width) for t in batch.column(2))
+            sizes, ids, sketches = zip(*((len(s), _fingerprint(s), sketch(s)) for s in sets))
+            bits = [pa.array(c, pa.int64()) for c in np.array(sketches).T]
+            columns = [pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.StructArray.from_arrays(bits, fields=list(longs))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_hash", "n_shingles", "id", "sketch"])
+
+    return run
+
+
+def _signatures(width: int, percent: int):
+    """One row per text and bucket of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):  # bounds what a task holds
+                ids, found, deleted = [], [], []
+                for text in batch.column(0).slice(at, 200):
+                    s = shingle_hashes(word_hashes(text.as_py()), width)
+                    own, less = buckets(s, percent)
+                    ids.append(np.full(len(own), _fingerprint(s), np.int64))
+                    found.append(own.view(np.int64))
+                    deleted.append(less)
+                columns = [pa.array(np.concatenate(c)) for c in (found, ids, deleted)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "deleted"])
 
     return run
 
@@ -182,11 +201,34 @@ def _verify(percent: int):
     return run
 
 
-def _may_link(percent: int) -> Column:
-    """What linked pairs (n_x, sketch_x, n_y, sketch_y) always meet: close sizes, and sketches that differ in few bits."""
-    close = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    apart = sum((F.bit_count(F.col(f"sketch_x.k{k}").bitwiseXOR(F.col(f"sketch_y.k{k}"))) for k in range(SKETCH_LONGS)), F.lit(0))
-    return close & (apart * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent))
+def _may_link(percent: int, longs: int) -> Column:
+    """What linked pairs (x.n, x.sketch, y.n, y.sketch) always meet: close sizes, and sketches that differ in few bits."""
+    x, y = F.col("x.n"), F.col("y.n")
+    close = F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    apart = sum((F.bit_count(F.col(f"x.sketch.k{k}").bitwiseXOR(F.col(f"y.sketch.k{k}"))) for k in range(longs)), F.lit(0))
+    return close & (apart * (100 + percent) <= (x + y) * (100 - percent))
+
+
+def _folded(longs: int) -> Column:
+    """The sketch in fewer bits: places that fall together add up, odd or even."""
+    parts = []
+    for k in range(longs):
+        part = F.col(f"sketch.k{k}")
+        for j in range(k + longs, SKETCH_LONGS, longs):
+            part = part.bitwiseXOR(F.col(f"sketch.k{j}"))
+        parts.append(part.alias(f"k{k}"))
+    return F.struct(*parts)
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components differ."""
+    a, b = (found.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
+    known = pairs.join(a, "a", "left").join(b, "b", "left")
+    return stored(known.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
+
+
+#: Up to so many sets their keys are broadcast, some 50 bytes each, to fetch texts without a shuffle.
+BROADCAST_SETS = 200_000
 
 
 class _Join:
@@ -194,30 +236,27 @@ class _Join:
         self.docs, self.width, self.percent = docs.select("doc_id", text_or_empty().alias("text")), width, percent
         hashed = self.docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
         kind = docs.schema["doc_id"].dataType.simpleString()
-        schema = f"doc_id {kind}, text_hash long, n_shingles long, s1 long, s2 long, sketch {_SKETCH}, buckets array<long>, deleted array<int>"
-        rows = hashed.mapInArrow(_signatures(width, percent), schema)
-        # the id is written with the row, so it stays the same whatever runs again
-        self.rows = stored(rows.withColumn("id", F.monotonically_increasing_id()))
-        classes = self.rows.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("id").alias("class"))
-        self.members = self.rows.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-        reps = classes.select("s1", "s2", F.col("class").alias("id"))
-        self.reps = self.rows.join(reps, ["s1", "s2", "id"], "left_semi")
+        self.rows = stored(hashed.mapInArrow(_describe(width), f"doc_id {kind}, text_hash long, n_shingles long, id long, sketch {_SKETCH}"))
+        # of rows with equal sets any one will do; null doc_ids sort first
+        place = F.struct("doc_id", "text_hash")
+        shown = F.struct("doc_id", "text_hash", "n_shingles", "sketch")
+        classes = self.rows.filter("n_shingles > 0").groupBy("id").agg(F.min_by(shown, place).alias("c"))
+        self.classes = stored(classes.select("id", "c.*"))
 
     def shared(self) -> DataFrame:
         """Buckets with two sets or more: bucket, id, deleted, centre (smallest id with the bucket itself) and crowd.
 
         Sets that can afford it skip their crowded segments.
         """
-        exploded = self.reps.select("id", "deleted", F.posexplode("buckets").alias("at", "bucket")).select(
-            "bucket", "id", ((F.size("deleted") > 0) & F.array_contains("deleted", F.col("at"))).alias("deleted")
-        )
+        emitted = self.docs.select("text").mapInArrow(_signatures(self.width, self.percent), "bucket long, id long, deleted boolean")
         together = Window.partitionBy("bucket")
         whole = F.when(~F.col("deleted"), F.col("id"))
-        met = exploded.select(
-            "bucket", "id", "deleted",
-            F.min(whole).over(together).alias("centre"), F.count(whole).over(together).alias("crowd"), F.count("id").over(together).alias("all"),
-        ).filter((F.col("all") > 1) & (F.col("crowd") > 0)).drop("all")
-        met = stored(met)
+        met = emitted.select(
+            "bucket", "id", "deleted", F.min(whole).over(together).alias("centre"), F.count(whole).over(together).alias("crowd"),
+            F.min("id").over(together).alias("_low"), F.max("id").over(together).alias("_high"),
+        ).filter("crowd > 0 and _low != _high").drop("_low", "_high")
+        # rows with equal sets give equal rows here
+        met = stored(met.distinct())
         band = F.col("bucket").bitwiseAND(F.lit(2 ** (_BAND_BITS + 1) - 1))
         skippable = (F.col("crowd") > CROWDED) & (band % 2 == 0)
         slack = F.element_at(F.array(*[F.lit(b.slack) for b in bands(self.percent)]), (F.floor(band / 2) + 1).cast("int"))
@@ -228,7 +267,9 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of class ids that are linked."""
         wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("id"))
-        place = self.rows.select("id", "doc_id", "text_hash").join(wanted, "id", "left_semi")
+        place = stored(self.classes.select("id", "doc_id", "text_hash").join(wanted, "id", "left_semi"))
+        if place.count() <= BROADCAST_SETS:
+            place = F.broadcast(place)
         hashed = self.docs.withColumn("text_hash", F.xxhash64("text"))
         same = hashed["doc_id"].eqNullSafe(place["doc_id"]) & (hashed["text_hash"] == place["text_hash"])
         texts = hashed.join(place, same).select("id", "text")
@@ -238,25 +279,32 @@ class _Join:
         both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
         return both.mapInArrow(_verify(self.percent), "a long, b long")
 
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of class ids whose sketches allow a link."""
+        known = self.classes.select("id", F.col("n_shingles").alias("n"), "sketch")
+        met = pairs.distinct().join(known.alias("x"), F.col("a") == F.col("x.id")).join(known.alias("y"), F.col("b") == F.col("y.id"))
+        return stored(met.filter(_may_link(self.percent, SKETCH_LONGS)).select("a", "b"))
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that connect every component, and class id and component of all linked classes."""
         shared = stored(self.shared())
-        known = self.reps.select("id", F.col("n_shingles").alias("n"), "sketch")
-        x, y = (known.select(*[F.col(c).alias(f"{c}_{s}") for c in known.columns]) for s in "xy")
-        to_centre = shared.filter("id != centre").select(F.col("id").alias("id_x"), F.col("centre").alias("id_y")).distinct()
-        may = _may_link(self.percent)
-        pairs = to_centre.join(x, "id_x").join(y, "id_y").filter(may).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
-        first = stored(self.verified(stored(pairs)))
+        released(shared.sparkSession)
+        star = self.likely(shared.filter("id != centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
+        # one centre for each set first: that joins most of a group; then the centres of other components
+        first = stored(self.verified(stored(star.groupBy("a").agg(F.min("b").alias("b")))))
+        found = components(first)
+        first = first.union(stored(self.verified(_apart(star, found))))
         found = components(first)
+        released(shared.sparkSession)
         # what the centres left apart: pairs in different components that share a bucket
-        label = shared.join(found, "id", "left").select("bucket", "id", "deleted", F.coalesce("component", "id").alias("component"))
+        known = self.classes.select("id", F.col("n_shingles").alias("n"), _folded(FOLDED_LONGS).alias("sketch"))
+        label = shared.join(found, "id", "left").join(known, "id")
+        label = label.select("bucket", "id", "deleted", "n", "sketch", F.coalesce("component", "id").alias("component"))
         apart = Window.partitionBy("bucket")
-        mixed = label.withColumns({"_low": F.min("component").over(apart), "_high": F.max("component").over(apart)})
-        mixed = mixed.filter("_low != _high").join(known, "id").select("bucket", "id", "deleted", "component", "n", "sketch")
-        x, y = (mixed.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in mixed.columns[1:]]) for s in "xy")
-        both = (F.col("id_x") > F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & ~(F.col("deleted_x") & F.col("deleted_y"))
-        met = x.join(y, (x["bucket"] == y["bucket"]) & both & may)
-        second = stored(self.verified(stored(met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct())))
+        mixed = label.withColumns({"_low": F.min("component").over(apart), "_high": F.max("component").over(apart)}).filter("_low != _high")
+        both = F.expr("x.bucket = y.bucket and x.id > y.id and x.component != y.component and not (x.deleted and y.deleted)")
+        met = mixed.alias("x").join(mixed.alias("y"), both & _may_link(self.percent, FOLDED_LONGS))
+        second = stored(self.verified(self.likely(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))))
         edges = first.union(second)
         if second.isEmpty():
             return edges, found
@@ -282,14 +330,15 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     Null and empty texts count as empty; null doc_ids sort last and are never a
     component's smallest unless it has no other; repeated rows are kept.
-    Shingles are compared as 64-bit hashes.
+    Shingles are compared as 64-bit hashes, and a class is known by 64 bits of its set.
     """
     work = _Join(docs, width, percent)
     _, found = work.links()
-    named = work.members.join(found.select(F.col("id").alias("class"), "component"), "class", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component"))
+    named = work.rows.select("doc_id", "n_shingles", "id").join(found, "id", "left")
+    named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).alias("component"))
     smallest = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "component", "left")
+    # stored, so that the join is one of which Spark can split a large component
+    out = named.join(stored(smallest), "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -299,5 +348,7 @@ def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     Texts without words and rows without doc_id all stay; rows that repeat a doc_id are one document.
     """
     judged = similar_documents(docs, width, percent).filter("n_shingles > 0 and doc_id != component_id")
-    gone = judged.select(F.col("doc_id").alias("_pw_id")).distinct()
+    gone = stored(judged.select(F.col("doc_id").alias("_pw_id")).distinct())
+    if gone.count() <= BROADCAST_SETS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["_pw_id"], "left_anti")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonwatch.llm.common import text_or_empty
+from photonwatch.llm.common import stored, text_or_empty
 
 #: Shorter units are left alone: headings and single words repeat without being copies.
 MIN_WORDS = 3
@@ -40,13 +40,13 @@ def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_
 
     Earlier: a smaller doc_id (null first), then the text's hash, then the place in the text.
     Digests are counted with sums per task before they travel, so a unit that a
-    third of the documents holds is one row per task; the rows themselves meet
-    the repeated digests in a join that Spark can split.
+    third of the documents holds is one row per task; the repeated digests are
+    stored, so that the rows meet them in a join of which Spark can split a hot digest.
     """
     rows = units(docs, separator).filter(F.col("n_words") >= min_words).drop("n_words")
     place = F.struct("doc_id", "_h1", "_h2", "unit")
     found = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    same = rows.join(found, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first")))
+    same = rows.join(stored(found), ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first")))
     return same.groupBy("doc_id", "_h1", "_h2").agg(F.array_sort(F.collect_set("unit")).alias("drop"))
 
 

@@ -147,7 +147,8 @@ def classify(pages: DataFrame, counts: DataFrame, rules: list[Rule], seeds: tupl
     seen = times.join(listed, ["host", "path"]).select("times", "tokens", marked.cast("int").alias("marked"))
     pages_by = seen.agg(F.sum(F.col("times") * F.col("marked")).alias("block"), F.sum("times").alias("all")).first()
     prior = math.log(((pages_by["block"] or 0) + 1) / ((pages_by["all"] or 0) - (pages_by["block"] or 0) + 2))
-    table = (
+    # stored, so that Spark can split a common token where the pages meet it
+    table = stored(
         seen.select("times", "marked", F.explode("tokens").alias("token"))
         .groupBy("token")
         .agg(F.sum(F.col("times") * F.col("marked")).alias("block"), F.sum(F.col("times") * (1 - F.col("marked"))).alias("allow"))
