@@ -19,7 +19,7 @@ from photonwatch.llm.components import components
 #: A segment that more sets than this share is worth skipping.
 CROWDED = 30
 #: Bits of the sketch by which far pairs are told apart before their sets are fetched.
-SKETCH_LONGS = 16
+SKETCH_LONGS = 64
 #: The same where many rows carry it.
 FOLDED_LONGS = 4
 #: Sizes grow by this factor from band to band.
