@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonwatch.llm.common import text_or_empty
+from photonwatch.llm.common import stored, text_or_empty
 
 # fixed values: phrases by which files name their licence
 TEMPLATES = {
@@ -63,9 +63,9 @@ def _rare_enough(terms: list, weight: dict[str, float], like: float) -> set[str]
 def line_licences(files: DataFrame, templates: dict[str, list[str]] | None = None, like: float = LIKE) -> DataFrame:
     """path, line (from 0), licence and score of every line that is like a template.
 
-    Lines and templates are sparse TF-IDF vectors: a template term weighs
-    log(1 + lines / (1 + lines with it)) over all lines of all files, any other
-    word of a line as much as one that occurs once.  Only lines with one of a
+    Lines and templates are sparse TF-IDF vectors: a term weighs
+    log(1 + lines / (1 + lines with it)) over all lines of all files, whether it
+    stands in a template or not.  Only lines with one of a
     template's rare terms are weighed, as no other can reach ``like``.
     The best template of a line counts, ties to the name that sorts first.
     """
@@ -76,9 +76,9 @@ def line_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
     lines = files.select("path", F.posexplode(F.split(text_or_empty(), "\n")).alias("line", "text"))
     listed = lines.select("path", "line", _words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     n = max(1, listed.count())
-    asked = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-    holding = listed.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(asked), "term")
-    counts = {r["term"]: r["n"] for r in holding.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    holding = stored(listed.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    asked = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string"))
+    counts = {r["term"]: r["n"] for r in holding.join(asked, "term").collect()}
     weight = {t: math.log(1 + n / (1 + counts.get(t, 0))) for t in vocabulary}
     rare = F.array(*[F.lit(t) for t in sorted(_rare_enough(terms, weight, like))])
     by: dict[tuple[int, str], list] = {}
@@ -92,12 +92,12 @@ def line_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
     of_template = F.broadcast(spark.createDataFrame(parts, "template int, licence string, term string, part double"))
     of_term = F.broadcast(spark.createDataFrame(list(weight.items()), "term string, weight double"))
     near = listed.filter(F.arrays_overlap("w", rare)).select("path", "line", F.explode("w").alias("term"))
-    words = (
-        near.groupBy("path", "line", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .join(of_term, "term", "left")
-        .select("path", "line", "term", (F.col("tf") * F.coalesce("weight", F.lit(math.log(1 + n / 2)))).alias("w"))
-    )
+    counted = near.groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # only words outside the templates go by term to their counts: the templates' own, which most of these lines share, are broadcast
+    known = counted.join(of_term, "term").select("path", "line", "term", (F.col("tf") * F.col("weight")).alias("w"))
+    others = counted.join(of_term, "term", "left_anti").join(holding, "term")
+    rest = others.select("path", "line", "term", (F.col("tf") * F.log(1 + F.lit(n) / (1 + F.col("n")))).alias("w"))
+    words = known.unionByName(rest)
     norms = words.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = words.join(of_template, "term").groupBy("path", "line", "template", "licence").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
     liked = dots.join(norms, ["path", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= like)

@@ -1,6 +1,9 @@
 """Trained operators: held-out accuracy, odd rows; URL rules, licences and nearest vectors against brute force."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,6 +129,26 @@ def test_licences(spark):
     assert licences.scan(files.limit(0), F.lit(True)).count() == 0
 
 
+def _header_files(times):
+    """So many times one hundred lines, one of them a licence line with common words before the licence's name."""
+    fill = [f"it is the case that line {k % 10} of this text is plain" for k in range(99)]
+    return [(f"f{t}", "\n".join([*fill, "It is released under the MIT License."])) for t in range(times)]
+
+
+@pytest.mark.parametrize("times", [1, 40])
+def test_licence_line_weights_are_document_frequencies(spark, times):
+    files = _header_files(times)
+    got = licences.line_licences(spark.createDataFrame(files, "path string, text string"), {"MIT": ["Released under the MIT License."]}).collect()
+    lines = [re.findall(r"\w+", line.lower()) for _, text in files for line in text.split("\n")]
+    seen = Counter(w for line in lines for w in set(line))
+    weight = {w: math.log(1 + len(lines) / (1 + n)) for w, n in seen.items()}
+    line, template = "it is released under the mit license".split(), "released under the mit license".split()
+    dot = sum(weight[w] ** 2 for w in template)
+    want = dot / math.sqrt(dot * sum(weight[w] ** 2 for w in line))
+    assert {(r.path, r.line, r.licence, round(r.score, 6)) for r in got} == {(path, 99, "MIT", round(want, 6)) for path, _ in files}
+    assert want > 0.95  # whatever the size of the table
+
+
 def test_nearest(spark):
     rng = random.Random(8)
     centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(6)]
