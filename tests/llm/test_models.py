@@ -3,7 +3,9 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -149,6 +151,33 @@ def test_licence_line_weights_are_document_frequencies(spark, times):
     assert want > 0.95  # whatever the size of the table
 
 
+def test_whole_licence_files_and_headers(spark):
+    texts = {p.stem: p.read_text() for p in sorted((Path(licences.__file__).parent / "licence_texts").glob("*.txt"))}
+    mit = texts["MIT"].replace("<year>", "2020").replace("<copyright holders>", "Ann Other")
+    notice = textwrap.wrap(licences.NOTICES["Apache-2.0"][0], 70)
+    prose = "\n".join(f"the text of this page is about the sea and what it is for, part {k}" for k in range(60))
+    rows = [(f"full/{k}/LICENSE", text) for k, text in texts.items()] + [
+        ("mit/LICENSE", "\n".join(x for para in mit.split("\n") for x in textwrap.wrap(para, 40) or [""])), ("mit/src/code", "x = 1\ny = 2"),
+        ("head/hash", "\n".join(["#!/bin/sh", "# Copyright 2020 Ann Other", "#", *[f"# {x}" for x in notice], "", "run the code", prose])),
+        ("head/star", "\n".join(["/*", *[f"   {x}" for x in notice], "*/", "int main;", prose])),
+        ("head/wrapped", "# a tool for maps and much else that has nothing to do with it\n# This work is licensed under the GNU\n# General Public License, version 3.\ncode\n" + prose),
+        ("head/late", "code\n# This work is licensed under the GNU\n# General Public License, version 3.\n" + prose), ("prose", prose),
+    ]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r.path: r for r in licences.scan(files, F.col("path").endswith("LICENSE") & (F.col("share") >= 0.9)).collect()}
+    assert {k: got[f"full/{k}/LICENSE"].own for k in texts} == {k: k for k in texts}
+    assert (got["mit/LICENSE"].own, got["mit/src/code"].own, got["mit/src/code"].licence) == ("MIT", None, "MIT")
+    assert [got[f"head/{k}"].own for k in ("hash", "star", "wrapped", "late")] == ["Apache-2.0", "Apache-2.0", "GPL-3.0", None]
+    assert got["prose"].licence is None
+
+
+def test_header_lines(spark):
+    texts = ["# a\n\n// b\ncode\n# c", "/* a\n b\n c */\ncode", "<!-- a -->\n\"\"\"b\nc\"\"\"\nx", "code", "", "/* never\nclosed"]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = frame.orderBy("k").select(F.size(licences.header_lines(F.split("text", "\n"))).alias("n")).collect()
+    assert [r.n for r in got] == [3, 3, 3, 0, 1, 2]
+
+
 def test_nearest(spark):
     rng = random.Random(8)
     centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(6)]
