@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -19,13 +20,22 @@ def _events(t: Tables) -> DataFrame:
     return monitors.file_stream(t.spark, f"{t.folder}/events.parquet", t.raw("events").schema)
 
 
+def _finished_events(t: Tables, seconds: int) -> tuple[DataFrame, Callable[[], None]]:
+    """The event stream, and what ends it: one event ``seconds``, the delay and the longest wait, and one more after the last."""
+    events = t.raw("events")
+    given = {"event_id": F.lit(-1), "user_id": F.lit(-1), "event_type": F.lit("purchase"), "value": F.lit(0)}
+    given["ts"] = F.col("_last") + F.expr(f"INTERVAL {seconds + 1} SECONDS")
+    last = events.agg(F.max("ts").alias("_last")).filter("_last is not null")
+    end = last.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+    return monitors.closable(_events(t), end)
+
+
 def _node(divisor: int) -> Column:
     return F.concat(F.lit("N"), (F.col("user_id") % divisor).cast("string"))
 
 
-def _readings(t: Tables) -> DataFrame:
-    value = F.col("value")
-    rows = _events(t).select("event_id", _node(12).alias("node_name"), F.col("ts").alias("timestamp"), F.col("event_type").alias("metric"), "value")
+def _readings(events: DataFrame) -> DataFrame:
+    rows = events.select("event_id", _node(12).alias("node_name"), F.col("ts").alias("timestamp"), F.col("event_type").alias("metric"), "value")
     return monitors.with_event_time(rows, "timestamp", "30 minutes")
 
 
@@ -51,7 +61,7 @@ WITH w AS (SELECT CAST(time_bucket(INTERVAL '15' MINUTE, ts) AS TIMESTAMP) AS st
 SELECT start, start + INTERVAL '15' MINUTE AS "end", node_name, metric, round(avg(value), 6) AS mean, count(*) AS points FROM w
 WHERE start + INTERVAL '15' MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '30' MINUTE FROM events) GROUP BY 1, 2, 3, 4""")
 def _(t: Tables):
-    means = monitors.run_to_folder(monitors.tumbling_means(_readings(t)), "means")
+    means = monitors.run_to_folder(monitors.tumbling_means(_readings(_events(t))), "means")
     return means.select(
         F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"),
         "node_name", "metric", F.round("mean", 6).alias("mean"), "points",
@@ -83,8 +93,9 @@ GROUP BY service_id, begin, passed HAVING begin + 3600000000 <= passed AND count
 def _(t: Tables):
     kind = F.col("event_type")
     state = F.when(kind == "purchase", "active").when(kind == "error", "failed").otherwise(kind)
-    log = _events(t).select("event_id", F.col("user_id").alias("service_id"), "ts", state.alias("state"))
-    rows = monitors.run_to_folder(monitors.state_change_monitor(monitors.with_event_time(log, "ts", "1 hour"), 3600.0), "states")
+    events, close = _finished_events(t, 3600 + 3600)
+    log = events.select("event_id", F.col("user_id").alias("service_id"), "ts", state.alias("state"))
+    rows = monitors.run_to_folder(monitors.state_change_monitor(monitors.with_event_time(log, "ts", "1 hour"), 3600.0), "states", close=close)
     return rows.select("service_id", "event_id", "state", F.round("elapsed", 3).alias("elapsed"), "kind")
 
 
@@ -94,10 +105,11 @@ n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, run ORDER BY
 SELECT user_id, date_trunc('millisecond', ts) AS locked_at, CAST(5 AS BIGINT) AS failures FROM n
 WHERE attempt = 5 AND ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10' MINUTE FROM login_log)""")
 def _(t: Tables):
-    logins = _events(t).filter(F.col("event_type").isin("error", "purchase")).select(
+    events, close = _finished_events(t, 600)
+    logins = events.filter(F.col("event_type").isin("error", "purchase")).select(
         "event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("success")
     )
-    rows = monitors.run_to_folder(monitors.lockout_monitor(monitors.with_event_time(logins, "ts", "10 minutes")), "lockouts")
+    rows = monitors.run_to_folder(monitors.lockout_monitor(monitors.with_event_time(logins, "ts", "10 minutes")), "lockouts", close=close)
     return rows.select("user_id", F.date_trunc("millisecond", "locked_at").cast("timestamp_ntz").alias("locked_at"), "failures")
 
 
@@ -116,9 +128,10 @@ SELECT t.node_name, t.metric, make_timestamp(t.due) AS ts, t.event, round(arg_ma
 FROM turns t JOIN k ON k.node_name = t.node_name AND k.metric = t.metric AND k.us <= t.due
 WHERE t.event <> coalesce(t.before, 'cleared') GROUP BY t.node_name, t.metric, t.due, t.event""")
 def _(t: Tables):
-    readings = _readings(t).withColumnRenamed("timestamp", "ts")
+    events, close = _finished_events(t, 1800 + 4200)
+    readings = _readings(events).withColumnRenamed("timestamp", "ts")
     found = monitors.sustained_breach_monitor(readings, limit=30.0, clear=20.0, duration_window=3600.0, raise_delay=600.0)
-    rows = monitors.run_to_folder(found, "breaches")
+    rows = monitors.run_to_folder(found, "breaches", close=close)
     return rows.select("node_name", "metric", F.col("ts").cast("timestamp_ntz").alias("ts"), "event", F.round("value", 4).alias("value"))
 
 

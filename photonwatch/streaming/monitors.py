@@ -26,23 +26,44 @@ def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def run_to_folder(stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
-    """Process everything available, write it to a new shared folder, and read that."""
+def run_to_folder(stream: DataFrame, purpose: str, mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
+    """Process everything available, write it to a new shared folder, and read that.
+
+    ``close``, if given, is called when all is processed; the run then goes on
+    from its progress with what that has added to the source.
+    """
     spark = stream.sparkSession
     folder = scratch_folder(spark, purpose)
     schema = stream.schema
-    query = (
-        stream.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    for before in [None] if close is None else [None, close]:
+        if before is not None:
+            before()
+        query = (
+            stream.writeStream.outputMode(mode)
+            .format("parquet")
+            .option("path", f"{folder}/rows")
+            .option("checkpointLocation", f"{folder}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
+def closable(stream: DataFrame, closing: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``stream`` of a finished source, and a function that adds the batch ``closing`` behind all its rows.
+
+    The row of a closing batch moves the watermark past the last row and the
+    longest wait.  It lies later than the watermark that it brings about, so a
+    keyed monitor holds it for ever and no result shows it, whatever its key.
+    """
+    spark = stream.sparkSession
+    folder = f"{scratch_folder(spark, 'closing')}/rows"
+    spark.createDataFrame([], stream.schema).write.parquet(folder)
+    both = stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+    return both, lambda: closing.select(*stream.columns).write.mode("append").parquet(folder)
+
+
 def live_violations(readings: DataFrame, keys: Sequence[str], limits: Sequence[Limit]) -> DataFrame:
     """Broken limits of a stream of readings; stateless."""
     return violations(readings, keys, limits)
