@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -122,7 +121,7 @@ def _weights(terms: list, counts: tuple[int, DataFrame]) -> dict[str, float]:
 def _best_templates(counted: DataFrame, keys: list[str], terms: list, weight: dict[str, float], counts: tuple[int, DataFrame], like: float) -> DataFrame:
     """Keys, score and licence of the best template of each vector of ``counted`` (keys, term, tf), if like it."""
     n, holding = counts
-    spark = counted.sparkSession
+    spark, counted = counted.sparkSession, stored(counted)  # both tables hold candidates only
     by: dict[tuple[int, str], list] = {}
     for row in terms:
         by.setdefault((row["template"], row["licence"]), []).append((row["term"], row["tf"] * weight[row["term"]]))
@@ -137,12 +136,11 @@ def _best_templates(counted: DataFrame, keys: list[str], terms: list, weight: di
     known = counted.join(of_term, "term").select(*keys, "term", (F.col("tf") * F.col("weight")).alias("w"))
     others = counted.join(of_term, "term", "left_anti").join(holding, "term")
     rest = others.select(*keys, "term", (F.col("tf") * F.log(1 + F.lit(n) / (1 + F.col("n")))).alias("w"))
-    words = known.unionByName(rest)
+    words = stored(known.unionByName(rest))
     norms = words.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = words.join(of_template, "term").groupBy(*keys, "template", "licence").agg(F.sum(F.col("w") * F.col("part")).alias("dot"))
     liked = dots.join(norms, keys).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= like)
-    best = liked.groupBy(*keys).agg(F.max("score").alias("score"))
-    return liked.join(best, [*keys, "score"]).groupBy(*keys, "score").agg(F.min("licence").alias("licence"))
+    return liked.groupBy(*keys).agg(F.max("score").alias("score"), F.min_by("licence", F.struct(-F.col("score"), "licence")).alias("licence"))
 
 
 def line_licences(
@@ -191,17 +189,19 @@ def _blocks(files: DataFrame) -> DataFrame:
     header = F.when(F.regexp_like(text, F.lit(rf"^\s*(?:{begins})")), header_lines(F.split(text, "\n"))).otherwise(F.array().cast("array<string>"))
     rows = files.select("path", F.xxhash64(text).alias("_h"), text.alias("text"), header.alias("header"))
     wordy = lambda x: F.regexp_like(x, F.lit(r"[\p{L}\p{N}]"))
-    headed = rows.filter(F.size("header") > 0).withColumn("said", F.filter("header", wordy))
+    block = lambda kind, line, said: F.struct(F.lit(kind).alias("kind"), line.cast("int").alias("line"), said.alias("text"))
+    said = F.filter("header", wordy)
     spaced = F.array_join(F.transform("header", lambda x: F.when(wordy(x), x).otherwise("")), "\n")
-    pairs = F.transform(F.sequence(F.lit(1), F.size("said") - 1), lambda k: F.array_join(F.slice("said", k, 2), "\n"))
-    kinds = [
-        rows.select("path", "_h", F.lit(0).alias("kind"), F.lit(0).alias("line"), "text"),
-        headed.select("path", "_h", F.lit(1).alias("kind"), F.lit(0).alias("line"), F.array_join("said", "\n").alias("text")),
-        headed.select("path", "_h", F.lit(2).alias("kind"), F.posexplode(F.split(spaced, "\n{2,}")).alias("line", "text")),
-        headed.filter(F.size("said") > 1).select("path", "_h", F.lit(3).alias("kind"), F.posexplode(pairs).alias("line", "text")),
-    ]
-    lines = F.size(F.filter(F.split("text", "\n"), wordy))
-    return reduce(DataFrame.unionByName, kinds).select("path", "_h", "kind", "line", lines.alias("lines"), _words(F.col("text")).alias("w"))
+    pairs = F.when(F.size(said) > 1, F.transform(F.sequence(F.lit(1), F.size(said) - 1), lambda k: block(3, k, F.array_join(F.slice(said, k, 2), "\n"))))
+    headed = F.concat(
+        F.array(block(1, F.lit(0), F.array_join("header", "\n"))),
+        F.transform(F.split(spaced, "\n{2,}"), lambda x, k: block(2, k, x)),
+        F.coalesce(pairs, F.array().cast("array<struct<kind:int,line:int,text:string>>")),
+    )
+    whole = F.array(block(0, F.lit(0), F.col("text")))
+    told = rows.select("path", "_h", F.explode(F.when(F.size("header") > 0, F.concat(whole, headed)).otherwise(whole)).alias("b"))
+    lines = F.size(F.filter(F.split("b.text", "\n"), wordy))
+    return told.select("path", "_h", "b.kind", "b.line", lines.alias("lines"), _words(F.col("b.text")).alias("w"))
 
 
 def _enough(terms: list, weight: dict[str, float], like: float) -> tuple[Column, list[str]]:
@@ -268,7 +268,7 @@ def scan(files: DataFrame, licence_file: Column, templates: dict[str, list[str]]
     counts = term_counts(named)
     lines = line_licences(named, templates, like, counts).withColumns({"kind": F.lit(-1), "lines": F.lit(1)})
     blocks = block_licences(named, templates, like, counts)
-    found = lines.unionByName(blocks)
+    found = stored(lines.unionByName(blocks))
     own = found.groupBy("path").agg(
         F.min_by("licence", F.struct(-F.col("score"), "line", "licence")).alias("own"),
         F.max("score").alias("score"),
