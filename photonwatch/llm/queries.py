@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.llm import bpe, decontaminate, jaccard, licences, line_dedup, neighbours, quality, sharding, toxicity, urls
+from photonwatch.llm import bpe, decontaminate, jaccard, language, licences, line_dedup, neighbours, quality, sharding, toxicity, urls
 from photonwatch.llm.common import id_crc32, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,11 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op13_language_id")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = id_crc32() % 4 == 2
+    profiles = language.fit(docs.filter(~held_out).select("text", "lang"))
+    return language.identify(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).drop("text")
