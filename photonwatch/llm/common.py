@@ -44,6 +44,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def in_order(df: DataFrame, *order: str | Column) -> DataFrame:
+    """``df`` sorted over all tasks and stored, with ``pos``, a number that rises with the order.
+
+    Rows are dealt by ranges of the whole order, so a key that holds a third of
+    them is spread like any other.  ``pos`` has no gaps within a task; its bits
+    from 33 on name the task.
+    """
+    dealt = df.repartitionByRange(spread_count(df.sparkSession), *order).sortWithinPartitions(*order)
+    return stored(dealt.withColumn("pos", F.monotonically_increasing_id()))
+
+
 def released(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are done.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.llm import bpe, decontaminate, jaccard, language, licences, line_dedup, neighbours, quality, sharding, toxicity, urls
+from photonwatch.llm import bpe, decontaminate, jaccard, language, licences, line_dedup, neighbours, quality, sharding, toxicity, trie, urls
 from photonwatch.llm.common import id_crc32, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +211,45 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# CRC-32 of the digits of a number: the table of its 256 remainders, then one step per character
+_CRC = """
+tab AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(CAST(k AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) x(k)))"""
+
+
+def _crc_sql(text: str) -> str:
+    return (
+        f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT))), "
+        "lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+    )
+
+
+@query(
+    "op12_prefix_trie",
+    sql=rf"""
+WITH {_CRC},
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, {_crc_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM r), tab),
+u AS (SELECT i.conv_id, 0 AS own, place, role, text FROM ids i JOIN r ON r.conv_id = i.conv_id - i.conv_id % 20 AND place <= h
+  UNION ALL SELECT i.conv_id, 1, place, role, text FROM ids i JOIN r USING (conv_id) WHERE place > h),
+seq AS (SELECT i.conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY own, place) FILTER (WHERE own IS NOT NULL), []) AS s
+  FROM ids i LEFT JOIN u USING (conv_id) GROUP BY i.conv_id),
+member AS (SELECT conv_id, len(s) AS n, d, list_slice(s, 1, d) AS p FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)),
+node AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256,
+  (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-]+')) END AS own FROM member GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, p)),
+up AS (SELECT d, own, n_children, p, unnest(range(0, d + 1)) AS a FROM full_node),
+below AS (SELECT a AS d, list_slice(p, 1, a) AS p, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own) AS saved FROM up GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN below b USING (d, p) LEFT JOIN node q ON q.d = f.d - 1 AND q.p = list_slice(f.p, 1, f.d - 1)""",
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    ids, listed = trie.rebuilt(trie.turns(table(spark, folder, "conversations")))
+    return trie.prefix_trie(ids, listed)
+
+
 @query("op13_language_id")
 def _(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
