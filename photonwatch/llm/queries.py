@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.llm import bpe, decontaminate, jaccard, language, licences, line_dedup, neighbours, quality, sharding, toxicity, trie, urls
+from photonwatch.llm import bpe, decontaminate, jaccard, language, licences, line_dedup, neighbours, quality, repair, sharding, toxicity, trie, urls
 from photonwatch.llm.common import id_crc32, stored, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,6 +211,12 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_conversation_repair")
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return repair.repair(repair.damaged(conversations), conversations)[0]
+
+
 # CRC-32 of the digits of a number: the table of its 256 remainders, then one step per character
 _CRC = """
 tab AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(CAST(k AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]),
@@ -237,7 +243,8 @@ seq AS (SELECT i.conv_id, coalesce(list(struct_pack(role := role, text := text)
   FROM ids i LEFT JOIN u USING (conv_id) GROUP BY i.conv_id),
 member AS (SELECT conv_id, len(s) AS n, d, list_slice(s, 1, d) AS p FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM seq)),
 node AS (SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256,
-  (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-]+')) END AS own FROM member GROUP BY d, p),
+  (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].text, '[^ 	-
+]+')) END AS own FROM member GROUP BY d, p),
 kids AS (SELECT d - 1 AS d, list_slice(p, 1, d - 1) AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
 full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, p)),
 up AS (SELECT d, own, n_children, p, unnest(range(0, d + 1)) AS a FROM full_node),
