@@ -1,4 +1,4 @@
-"""Lines and paragraphs that repeat across the corpus."""
+"""Passages that repeat across the corpus, found by digests of lines and sentences."""
 
 from __future__ import annotations
 
@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 from photonwatch.llm.common import stored, text_or_empty
 
-#: Shorter units are left alone: headings and single words repeat without being copies.
+#: A unit ends after line ends and sentence ends; units side by side make up the whole text.
+UNITS = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
+#: Shorter units are no evidence: headings and single words repeat without being copies.
 MIN_WORDS = 3
+#: Units that repeat side by side go if together they hold more words than this.
+RUN_WORDS = 40
+#: Where a script has no spaces, so many letters count as a word.
+WORD_LETTERS = 8
 
 
 def _normal(unit: Column) -> Column:
@@ -19,78 +25,85 @@ def _normal(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " "))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select("doc_id", text.alias("text"), *[F.xxhash64(F.lit(k), text).alias(f"_h{k}") for k in (1, 2)])
+def _size(normal: Column) -> Column:
+    """Words of a normalised unit."""
+    words = F.when(normal == "", 0).otherwise(F.size(F.split(normal, " ", -1)))
+    return F.greatest(words, F.floor(F.char_length(normal) / WORD_LETTERS).cast("int"))
 
 
-def units(docs: DataFrame, separator: str = "\n") -> DataFrame:
-    """doc_id, _h1, _h2 (hashes of the text), unit (from 0), n_words and the digest of every unit of each text."""
-    listed = _keyed(docs).select(
-        "doc_id", "_h1", "_h2", F.posexplode(F.transform(F.split("text", re.escape(separator), -1), _normal)).alias("unit", "normal")
-    )
-    n_words = F.when(F.col("normal") == "", 0).otherwise(F.size(F.split("normal", " ", -1)))
-    return listed.select(
-        "doc_id", "_h1", "_h2", "unit", n_words.alias("n_words"), *[F.xxhash64(F.lit(k), "normal").alias(f"d{k}") for k in (1, 2)]
-    )
+def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, _h (hash of the text) and every unit of ``min_words`` or more: ord (its place among these), unit (among all), n_words, digest d1, d2."""
+    text = text_or_empty()
+    cut = F.transform(F.regexp_extract_all(text, F.lit(UNITS), F.lit(0)), lambda u, k: F.struct(k.alias("unit"), _normal(u).alias("normal")))
+    sized = F.transform(cut, lambda u: F.struct(u["unit"].alias("unit"), u["normal"].alias("normal"), _size(u["normal"]).alias("n_words")))
+    listed = docs.select("doc_id", F.xxhash64(text).alias("_h"), F.posexplode(F.filter(sized, lambda u: u["n_words"] >= min_words)).alias("ord", "u"))
+    return listed.select("doc_id", "_h", "ord", "u.unit", "u.n_words", *[F.xxhash64(F.lit(k), "u.normal").alias(f"d{k}") for k in (1, 2)])
 
 
-def repeated_units(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, _h1, _h2 and the sorted array ``drop`` of units that stand earlier elsewhere.
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, _h and the sorted array ``drop`` (ord, unit, n_words) of units that stand earlier elsewhere.
 
     Earlier: a smaller doc_id (null first), then the text's hash, then the place in the text.
     Digests are counted with sums per task before they travel, so a unit that a
     third of the documents holds is one row per task; the repeated digests are
     stored, so that the rows meet them in a join of which Spark can split a hot digest.
     """
-    rows = units(docs, separator).filter(F.col("n_words") >= min_words).drop("n_words")
-    place = F.struct("doc_id", "_h1", "_h2", "unit")
+    rows = units(docs, min_words)
+    place = F.struct("doc_id", "_h", "ord")
     found = rows.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     same = rows.join(stored(found), ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first")))
-    return same.groupBy("doc_id", "_h1", "_h2").agg(F.array_sort(F.collect_set("unit")).alias("drop"))
-
-
-def dedup(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with all columns, each text without its repeated units, and the spans taken out.
-
-    A unit is what stands between two separators, compared in lower case without
-    punctuation; of equal units of ``min_words`` words or more the earliest stays.  ``removed`` holds
-    (start, end) of every unit taken out, in characters of the original text and
-    without the separator; ``kept`` holds those that stay, so that texts can be
-    traced back.  Null texts stay null and have no spans; a text of which all
-    units repeat becomes empty; equal rows of one doc_id are one document and are
-    treated alike.  Columns ``removed`` and ``kept`` of the input are replaced.
+    # equal rows of one doc_id give every unit twice
+    return same.groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set(F.struct("ord", "unit", "n_words"))).alias("drop"))
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` with all columns, each text without its repeated passages, and the spans taken out.
+
+    A unit is a line, or a sentence of one, with what ends it; units are compared
+    in lower case without punctuation, and of equal ones the earliest stays.  Units
+    under ``min_words`` words are neither counted nor do they part others.  Repeated
+    units side by side are a passage; it goes if they hold more than ``run_words``
+    words, so common short lines and sentences alone never go.  ``removed`` holds
+    (start, end) of every passage taken out, in characters of the original text;
+    ``kept`` holds what stays between, so that texts can be traced back.  Null
+    texts stay null and have no spans; a text that repeats as a whole becomes
+    empty; equal rows of one doc_id are one document and are treated alike.
+    Columns ``removed`` and ``kept`` of the input are replaced.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "removed", "kept")]
-    found = repeated_units(docs, separator, min_words).select(
-        F.col("doc_id").alias("_pw_id"), F.col("_h1").alias("_pw_h1"), F.col("_h2").alias("_pw_h2"), F.col("drop").alias("_pw_drop")
-    )
-    text = text_or_empty()
-    keyed = docs.withColumns({f"_pw_t{k}": F.xxhash64(F.lit(k), text) for k in (1, 2)})
-    same = keyed["doc_id"].eqNullSafe(found["_pw_id"]) & (F.col("_pw_t1") == F.col("_pw_h1")) & (F.col("_pw_t2") == F.col("_pw_h2"))
-    joined = keyed.join(found, same, "left")
-    rebuilt = joined.withColumn("_pw_new", _rebuild(separator)(F.col("text").cast("string"), "_pw_drop"))
+    found = repeated_units(docs, min_words).filter(F.aggregate("drop", F.lit(0), lambda s, u: s + u["n_words"]) > run_words)
+    found = found.select(F.col("doc_id").alias("_pw_id"), F.col("_h").alias("_pw_h"), F.col("drop").alias("_pw_drop"))
+    keyed = docs.withColumn("_pw_t", F.xxhash64(text_or_empty()))
+    joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_pw_id"]) & (F.col("_pw_t") == F.col("_pw_h")), "left")
+    rebuilt = joined.withColumn("_pw_new", _rebuild(run_words)(F.col("text").cast("string"), "_pw_drop"))
     return rebuilt.select(*columns, *[F.col(f"_pw_new.{c}").alias(c) for c in ("text", "removed", "kept")])
 
 
-def _rebuild(separator: str):
+def _passages(drop: list, run_words: int) -> list[tuple[int, int]]:
+    """First and last unit of every run of repeated units that is long enough."""
+    runs: list[list] = []
+    for u in drop:
+        if runs and u["ord"] == runs[-1][-1]["ord"] + 1:
+            runs[-1].append(u)
+        else:
+            runs.append([u])
+    return [(r[0]["unit"], r[-1]["unit"]) for r in runs if sum(u["n_words"] for u in r) > run_words]
+
+
+def _rebuild(run_words: int):
     spans = "array<struct<start:int,end:int>>"
 
     @F.pandas_udf(f"text string, removed {spans}, kept {spans}")
     def run(text: pd.Series, drop: pd.Series) -> pd.DataFrame:
         rows = []
         for whole, gone in zip(text, drop):
-            if whole is None or gone is None:
-                rows.append((whole, [], [] if whole is None else [{"start": 0, "end": len(whole)}]))
-                continue
-            out, at, gone = ([], [], []), 0, set(gone)
-            for k, part in enumerate(whole.split(separator)):
-                span = {"start": at, "end": at + len(part)}
-                at += len(part) + len(separator)
-                out[1 if k in gone else 2].append(span)
-                if k not in gone:
-                    out[0].append(part)
-            rows.append((separator.join(out[0]), out[1], out[2]))
+            passages = [] if whole is None or gone is None else _passages(list(gone), run_words)
+            bounds = [m.span() for m in re.finditer(UNITS, whole)] if passages else []
+            removed = [(bounds[a][0], bounds[b][1]) for a, b in passages]
+            edges = [0, *[x for span in removed for x in span], len(whole or "")]
+            kept = [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+            rest = whole if whole is None or not removed else "".join(whole[a:b] for a, b in kept)
+            rows.append((rest, *[[{"start": a, "end": b} for a, b in s] for s in (removed, kept)]))
         return pd.DataFrame(rows, columns=["text", "removed", "kept"])
 
     return run

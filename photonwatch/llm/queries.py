@@ -133,16 +133,21 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "op7_substring_dedup",
     sql=r"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-u AS (SELECT row, doc_id, i, l[i] AS line FROM (SELECT row, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
-n AS (SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm,
-        coalesce(sum(length(line) + 1) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
-k AS (SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 3
-        AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, row, i) > 1 AS gone FROM n)
-SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
-       coalesce(string_agg(CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT), ',' ORDER BY i) FILTER (WHERE gone), '') AS removed,
-       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
-FROM k GROUP BY row, doc_id""",
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS l FROM documents),
+u AS (SELECT row, doc_id, i, l[i] AS unit FROM (SELECT row, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+n AS (SELECT *, trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm,
+        coalesce(sum(length(unit)) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM u),
+w AS (SELECT *, CASE WHEN norm = '' THEN 0 ELSE greatest(len(string_split(norm, ' ')), length(norm) // 8) END AS n_words FROM n),
+o AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY i) AS ord, row_number() OVER (PARTITION BY norm ORDER BY doc_id NULLS FIRST, row, i) > 1 AS again
+  FROM w WHERE n_words >= 3),
+r AS (SELECT *, ord - row_number() OVER (PARTITION BY row ORDER BY ord) AS run FROM o WHERE again),
+gone AS (SELECT row, min(i) AS a, max(i) AS b FROM r GROUP BY row, run HAVING sum(n_words) > 40),
+spans AS (SELECT g.row, g.a, CAST(x.start AS BIGINT) AS s, CAST(y.start + length(y.unit) AS BIGINT) AS e
+  FROM gone g JOIN w x ON x.row = g.row AND x.i = g.a JOIN w y ON y.row = g.row AND y.i = g.b),
+listed AS (SELECT row, count(*) AS n_removed, string_agg(s || '-' || e, ',' ORDER BY a) AS removed FROM spans GROUP BY row),
+left_over AS (SELECT w.row, string_agg(unit, '' ORDER BY i) AS text FROM w WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.row = w.row AND w.i BETWEEN g.a AND g.b) GROUP BY w.row)
+SELECT doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, coalesce(o.text, '') AS text
+FROM d LEFT JOIN listed USING (row) LEFT JOIN left_over o USING (row)""",
 )
 def _(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))

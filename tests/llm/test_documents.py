@@ -64,8 +64,11 @@ def test_jaccard(spark, odd_docs, width, percent):
 
 def test_jaccard_empty_and_kept(spark, odd_docs):
     assert jaccard.similar_documents(as_docs(spark, []), 3, 90).count() == 0
-    kept = jaccard.one_of_each_group(as_docs(spark, [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, None, "z"), (4, "", "z")]))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4] and kept.columns == ["doc_id", "text", "bucket"]
+    rows = [(1, "a b c d e f", "x"), (2, "A b c d e f", "y"), (3, None, "z"), (4, "", "z"), (4, "", "z"), (None, "a B c d e f", "n")]
+    rows += [(5, "g h i j k l", "v"), (5, "g h i j k l", "v"), (5, "m n o p q r", "v"), (6, "M n o p q r", "v"), (None, "s t", "n"), (None, "s t", "n")]
+    kept = jaccard.one_of_each_group(as_docs(spark, rows))
+    want = [(1, "a b c d e f"), (3, None), (4, ""), (4, ""), (5, "g h i j k l"), (5, "m n o p q r"), (None, "s t")]
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(repr, want)) and kept.columns == ["doc_id", "text", "bucket"]
 
 
 def test_bands_leave_room_for_every_difference():
@@ -94,6 +97,14 @@ def test_bpe(spark, odd_docs):
     assert bpe.encode(as_docs(spark, []), vocabulary()).count() == 0
 
 
+def test_bpe_chunks_of_equal_ids_and_places(spark):
+    """Chunks that differ in their words alone have names of their own."""
+    docs = spark.createDataFrame([(None, "hello"), (None, "world"), (None, "hello")], "doc_id long, text string").repartition(3, "text")
+    apart = docs.rdd.getNumPartitions()
+    got = bpe.encode(docs, vocabulary()).collect()
+    assert apart == 3 and sorted(r.decoded for r in got) == ["hello", "hello", "world"]
+
+
 def test_bpe_cuts_like_the_library():
     """Every assigned character between letters, digits, blanks and marks."""
     from tokenizers import Tokenizer
@@ -111,27 +122,66 @@ def test_bpe_cuts_like_the_library():
     assert not odd, (len(odd), [hex(c) for c in odd[:20]])
 
 
-def test_line_dedup(spark):
-    docs = [
-        (2, "A line of words here!\nown line of two\nshort", "x"),
-        (1, "a  LINE of words, here\nshort\n\na line of words here", "y"),
-        (3, None, "z"),
-        (4, "", "z"),
-        (5, "a line of words here", "z"),
-        (5, "a line of words here", "z"),
-        (None, "own line of two\nlast line of all", "n"),
-    ]
-    got = line_dedup.dedup(as_docs(spark, docs).withColumn("removed", F.lit(1))).collect()
-    rows = {(repr(r.doc_id), r.text, tuple((s.start, s.end) for s in r.removed), r.bucket) for r in got}
-    assert rows == {
-        ("2", "short", ((0, 21), (22, 37)), "x"),
-        ("1", "a  LINE of words, here\nshort\n", ((30, 50),), "y"),
-        ("3", None, (), "z"),
-        ("4", "", (), "z"),
-        ("5", "", ((0, 20),), "z"),
-        ("None", "own line of two\nlast line of all", (), "n"),
-    }
-    assert len(got) == 7 and line_dedup.dedup(as_docs(spark, [])).count() == 0
+def _plain_dedup(docs, run_words):
+    """Units, digests and runs by plain loops over all rows."""
+    seen, out = {}, []
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is not None, docs[k][0] or 0))
+    units = {}
+    for k in order:
+        units[k] = []
+        for n, m in enumerate(re.finditer(line_dedup.UNITS, docs[k][1] or "")):
+            norm = " ".join(w for w in regex.split(r"[^\p{L}\p{N}]+", m[0].lower()) if w)
+            size = max(len(norm.split()), len(norm) // 8)
+            if size >= 3:
+                units[k].append((norm, size, m.span()))
+                seen.setdefault(norm, (docs[k][0], docs[k][1], n))
+    for k, (doc_id, text, *_) in enumerate(docs):
+        runs, before = [], False
+        for norm, size, (start, end) in units[k]:
+            n = next(n for n, m in enumerate(re.finditer(line_dedup.UNITS, text)) if m.start() == start)
+            again = seen[norm] != (doc_id, text, n)
+            if again:
+                if before:
+                    runs[-1] = (runs[-1][0], end, runs[-1][2] + size)
+                else:
+                    runs.append((start, end, size))
+            before = again
+        gone = [(a, b) for a, b, n in runs if n > run_words]
+        for a, b in reversed(gone):
+            text = text[:a] + text[b:]
+        out.append((repr(doc_id), text, tuple(gone)))
+    return sorted(out, key=repr)
+
+
+def test_passages(spark):
+    rng = random.Random(8)
+    words = "the house of many words has Élan and four doors".split()
+    sentences = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) + rng.choice([". ", "!\n", "?! ", "\n\n"]) for _ in range(60)]
+    docs = []
+    for k in range(80):
+        own = [rng.choice(sentences) for _ in range(rng.randint(1, 4))]
+        at = rng.randrange(50)
+        docs.append((k, "".join([*own, *sentences[at : at + rng.randint(0, 9)], *own[:1]]), "x"))
+    docs += [(100, None, "z"), (101, "", "z"), (5, docs[5][1], "z"), (None, "First of all. " * 30, "n"), (102, "線" * 500, "c"), (103, "線" * 500 + "。", "c")]
+    docs += [(104, "word " * 50_000, "l"), (105, "word " * 50_000, "l"), (106, "...\n\n!", "p")]
+    for run_words in (40, 10):
+        frame = as_docs(spark, docs).withColumn("removed", F.lit(1))
+        got = line_dedup.dedup(frame, run_words=run_words).collect()
+        rows = sorted(((repr(r.doc_id), r.text, tuple((s.start, s.end) for s in r.removed)) for r in got), key=repr)
+        assert rows == _plain_dedup(docs, run_words)
+        whole = {(r[0], r[2]): r[1] for r in docs}
+        for r in got:
+            text = whole[r.doc_id, r.bucket]
+            assert r.text is None or r.text == "".join(text[s.start : s.end] for s in r.kept)
+    assert line_dedup.dedup(as_docs(spark, [])).count() == 0
+
+
+def test_common_sentences_stay(spark):
+    passage = "This passage of more than forty words stands in two documents. " * 4 + "It goes from the later one as a whole with all of its sentences, however they end! " * 2
+    docs = [(1, f"Own start. {passage}Own end.", "x"), (2, f"Other start here.\n{passage}Other end here.", "x"), (3, "Click here to read more. Own text.", "x"), (4, "Click here to read more.", "x")]
+    got = {r.doc_id: r for r in line_dedup.dedup(as_docs(spark, docs)).collect()}
+    assert got[2].text == "Other start here.\n Other end here." and len(got[2].removed) == 1
+    assert got[3].text == docs[2][1] and got[4].text == docs[3][1]
 
 
 def _brute_hits(text, items):
