@@ -173,7 +173,7 @@ def index_report(index: keyword.Index, celled: DataFrame) -> DataFrame:
     return index.totals.select(
         F.col("chunks").alias("indexed_chunks"),
         index.terms.agg(F.count(F.lit(1)).alias("n")).scalar().alias("terms"),
-        index.postings.agg(F.count(F.lit(1)).alias("n")).scalar().alias("postings"),
+        index.terms.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n")).scalar().alias("postings"),
         vectors_now.select("v").scalar().alias("indexed_vectors"),
         vectors_now.select("c").scalar().alias("cells"),
     )

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from photonwatch import scale
@@ -38,13 +36,40 @@ def tokens(text: str | Column) -> Column:
 
 
 class Index(NamedTuple):
-    """Keyword index as tables: one row per (term, chunk), per term, and overall."""
+    """Keyword index as tables."""
 
-    postings: DataFrame  # token, id, impact
-    terms: DataFrame  # token, df, idf
+    blocks: DataFrame  # token, block (from 0, the highest impacts first), ids, impacts
+    forward: DataFrame  # id, impacts (map by token)
+    terms: DataFrame  # token, df, idf, blocks, steps (first block and highest impact of each level)
     totals: DataFrame  # chunks, avg_length
 
 
+#: Postings of a block, about.
+BLOCK = 128
+#: Impacts are told apart in so many levels; blocks of a level are not ordered among themselves.
+LEVELS = 64
+
+
+def _impact_blocks(postings: DataFrame, k1: float) -> tuple[DataFrame, DataFrame]:
+    """Blocks of postings by falling impact, and per token its number of blocks and the levels' first blocks.
+
+    Postings of a token and level are dealt to blocks by a hash of their id, so no
+    window has to order the postings of a common word; what is ordered are levels.
+    """
+    level = F.floor(F.col("impact") * (LEVELS / (k1 + 1))).cast("int").alias("level")
+    leveled = postings.select("*", level)
+    sizes = leveled.groupBy("token", "level").agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("top"))
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    higher = Window.partitionBy("token").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut_lineage(sizes.select("token", "level", "top", parts.alias("parts"), F.coalesce(F.sum(parts).over(higher), F.lit(0)).cast("int").alias("first")))
+    block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    dealt = scale.beside(leveled, placed.drop("top"), ["token", "level"]).select("token", block.alias("block"), "id", "impact")
+    listed = dealt.groupBy("token", "block").agg(F.collect_list(F.struct("id", "impact")).alias("rows"))
+    blocks = listed.select("token", "block", F.col("rows.id").alias("ids"), F.col("rows.impact").alias("impacts"))
+    steps = F.array_sort(F.collect_list(F.struct("first", "top")))
+    return blocks, placed.groupBy("token").agg(F.sum("parts").cast("int").alias("blocks"), steps.alias("steps"))
+
+
 def build_index(chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Index:
     """Index tables of ``chunks`` (id, content), each written once and then read.
 
@@ -71,122 +96,114 @@ def build_index(chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float
     raw = cut_lineage(per_term.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
     floor = raw.agg(F.avg("_raw") * epsilon).scalar()
     terms = raw.select("token", "df", F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf"))
-    return Index(postings, terms, totals)
+    blocks, steps = _impact_blocks(postings, k1)
+    forward = postings.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "impact"))).alias("impacts"))
+    return Index(cut_lineage(blocks), forward, cut_lineage(terms.join(steps, "token")), totals)
 
 
-#: Postings are stored in so many folders, by a hash of the token.
+#: Blocks are stored in so many folders, by a hash of the token.
 TOKEN_FOLDERS = 64
 
 
 def write_index(index: Index, path: str) -> None:
-    """The index as three tables under ``path``; writing again replaces them.
+    """The index as tables under ``path``; writing again replaces them.
 
-    Postings lie in folders by a hash of their token, each rebalanced to files of
+    Blocks lie in folders by a hash of their token, each rebalanced to files of
     even size, so a search reads only the folders of its words.
     """
     folder = F.pmod(F.xxhash64("token"), F.lit(TOKEN_FOLDERS)).cast("int")
-    placed = index.postings.withColumn("folder", folder).hint("rebalance", "folder")
-    placed.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+    placed = index.blocks.withColumn("folder", folder).hint("rebalance", "folder")
+    placed.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
     index.terms.withColumn("folder", folder).write.mode("overwrite").parquet(f"{path}/terms")
+    index.forward.write.mode("overwrite").parquet(f"{path}/forward")
     index.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")])
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in Index._fields])
 
 
 def query_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """Known terms per query with their weight; a repeated term counts each time."""
+    """Known terms per query with their weight and, where ``terms`` has them, blocks; a repeated term counts each time."""
     asked = (
         queries.select("query_id", F.explode(tokens("query")).alias("token"))
         .groupBy("query_id", "token")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    folder = [c for c in terms.columns if c == "folder"]
-    return asked.join(terms, "token").select("query_id", "token", *folder, (F.col("times") * F.col("idf")).alias("weight"))
+    more = [c for c in terms.columns if c in ("folder", "blocks", "steps")]
+    return asked.join(terms, "token").select("query_id", "token", *more, (F.col("times") * F.col("idf")).alias("weight"))
 
 
-CHUNKS_PER_BLOCK, QUERIES_PER_BLOCK = 2_000, 500
-_CHUNK_SLICE, _QUERY_SLICE = 512, 64
-FOUND = "query_id bigint, id bigint, score double"
+#: Blocks of a term that a search reads first, and by how much that grows.
+FIRST_BLOCKS, GROWTH = 2, 4
+_MARGIN = 2 * 10.0**-SCORE_DIGITS
 
 
-def bm25_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best chunks per query with a positive score: query_id, id, score, rank.
+class Found(NamedTuple):
+    """What a search read: candidates with the weight seen so far, the bar each query's k-th has set, blocks per term."""
+
+    candidates: DataFrame  # query_id, id, seen
+    bars: DataFrame  # query_id, bar, rest (most that an unseen posting can add up to)
+    terms: DataFrame  # query_id, token, weight, blocks, upto (blocks read)
+
+
+def _next_top(upto: str) -> Column:
+    """Highest impact that the blocks from ``upto`` on may hold."""
+    known = F.filter("steps", lambda s: s["first"] <= F.col(upto))
+    return F.when(F.col(upto) < F.col("blocks"), F.element_at(known, -1)["top"]).otherwise(0.0)
 
-    A common word would pair every query with every chunk if terms were joined.
-    Instead postings and query terms meet in a grid of bounded blocks (some
-    chunks, some queries); a block multiplies its two sparse tables and hands
-    on at most ``k`` rows per query, so scores of pairs are never shuffled and
-    no word, chunk or query can crowd a task.
+
+def candidates(index: Index, queries: DataFrame, k: int) -> Found:
+    """Postings that may belong to the ``k`` best of a query, read block by block in rounds.
+
+    Every term of a query starts with its blocks of highest impact.  A query is
+    done when ``k`` chunks have more for certain than all its unread blocks could
+    give together; until then the terms that hold more than an even share of that
+    bar are read on, ``GROWTH`` times as far.  So common words of low weight are
+    hardly read, and no posting is copied but to the queries that ask for it.
+    Terms of negative weight are never read: they cannot lift a chunk.
     """
     asked = query_terms(queries, index.terms)
-    # of a stored index only the folders of the asked words are read
-    words = [c for c in ("folder", "token") if c in index.postings.columns]
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    rows = index.totals.select(F.greatest(F.ceil(F.col("chunks") / CHUNKS_PER_BLOCK).cast("bigint"), one)).scalar()
-    columns = queries.agg(F.greatest(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("bigint"), one)).scalar()
-    left = index.postings.join(asked.select(*words).distinct(), words, "left_semi").select(
-        "id",
-        "token",
-        "impact",
-        F.pmod(F.xxhash64("id"), rows).alias("_chunks"),
-        F.explode(F.sequence(zero, columns - one)).alias("_queries"),
-    )
-    right = asked.select(
-        "query_id",
-        "token",
-        "weight",
-        F.explode(F.sequence(zero, rows - one)).alias("_chunks"),
-        F.pmod(F.xxhash64("query_id"), columns).alias("_queries"),
-    )
-    keys = ["_chunks", "_queries"]
+    keys = [c for c in ("folder", "token", "block") if c in index.blocks.columns]
+    lowest = F.sum(F.when(F.col("weight") < 0, F.col("weight") * F.col("steps")[0]["top"]).otherwise(0.0)).alias("lowest")
+    reading = F.when(F.col("weight") > 0, F.least(F.lit(FIRST_BLOCKS), F.col("blocks"))).otherwise(0)
+    terms = cut_lineage(asked.withColumns({"at": F.lit(0), "upto": reading, "done": F.lit(False)}))
+    losses = cut_lineage(terms.groupBy("query_id").agg(lowest))
+    seen, finished = None, None
+    while True:
+        block = F.explode(F.sequence(F.col("at"), F.col("upto") - 1)).alias("block")
+        wanted = terms.filter("upto > at").select("query_id", *keys[:-1], "weight", block)
+        read = wanted.join(index.blocks, keys).select("query_id", "weight", F.explode(F.arrays_zip("ids", "impacts")).alias("p"))
+        new = read.select("query_id", F.col("p.ids").alias("id"), (F.col("weight") * F.col("p.impacts")).alias("seen"))
+        seen = cut_lineage((new if seen is None else seen.unionByName(new)).groupBy("query_id", "id").agg(F.sum("seen").alias("seen")))
+        best = scale.top_k(seen, ["query_id"], [F.desc("seen"), F.asc("id")], k)
+        kth = best.filter(F.col("rank") == k).select("query_id", F.col("seen").alias("kth"))
+        bound = F.greatest(F.lit(0.0), F.col("weight")) * _next_top("upto")
+        rests = terms.groupBy("query_id").agg(F.sum(bound).alias("rest"), F.count_if(bound > 0).alias("open"))
+        bars = rests.join(losses, "query_id").join(kth, "query_id", "left")
+        bars = bars.select("query_id", "rest", "open", (F.col("kth") + F.col("lowest")).alias("bar"))
+        share = F.greatest(F.coalesce("bar", F.lit(0.0)) - _MARGIN, F.lit(0.0)) / F.greatest(F.col("open"), F.lit(1))
+        going = ~F.col("done") & (F.col("rest") > 0) & (F.col("bar").isNull() | (F.col("rest") >= F.col("bar") - _MARGIN))
+        further = F.when(F.col("going") & (bound >= F.col("share")) & (bound > 0), F.least(F.col("upto") * GROWTH, F.col("blocks"))).otherwise(F.col("upto"))
+        state = terms.join(bars.select("query_id", "bar", "rest", share.alias("share")), "query_id").withColumn("going", going)
+        terms = cut_lineage(state.select(*[c for c in terms.columns if c not in ("at", "upto", "done")], F.col("upto").alias("at"), further.alias("upto"), (~F.col("going")).alias("done"), "bar", "rest"))
+        finished = terms.groupBy("query_id").agg(F.first("bar").alias("bar"), F.first("rest").alias("rest"))
+        if terms.filter("not done").isEmpty():
+            return Found(seen, cut_lineage(finished), terms.select("query_id", "token", "weight", "blocks", "upto"))
+        terms = terms.drop("bar", "rest")
 
-    def best(key: tuple, found: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
-        return _block_scores(found, terms, k)
-
-    scored = (
-        scale.workers(left, *keys)
-        .groupBy(*keys)
-        .cogroup(scale.workers(right, *keys).groupBy(*keys))
-        .applyInPandas(best, FOUND)
-    )
-    return scale.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
+def bm25_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best chunks per query with a positive score: query_id, id, score, rank.
 
-def _block_scores(postings: pd.DataFrame, terms: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Best ``k`` chunks of a block per query, by dense products over small slices."""
-    parts = []
-    chunk_code, chunk_ids = pd.factorize(postings["id"], sort=True)
-    query_code, query_ids = pd.factorize(terms["query_id"], sort=True)
-    order = np.argsort(chunk_code, kind="stable")
-    chunk_code = chunk_code[order]
-    words, impact = postings["token"].to_numpy()[order], postings["impact"].to_numpy()[order]
-    for q in range(0, len(query_ids), _QUERY_SLICE):
-        asked = terms[(query_code >= q) & (query_code < q + _QUERY_SLICE)]
-        term_code, vocabulary = pd.factorize(asked["token"])
-        weights = np.zeros((len(vocabulary), min(_QUERY_SLICE, len(query_ids) - q)))
-        weights[term_code, query_code[asked.index] - q] = asked["weight"].to_numpy()
-        place = pd.Index(vocabulary).get_indexer(words)
-        for c in range(0, len(chunk_ids), _CHUNK_SLICE):
-            begin, end = np.searchsorted(chunk_code, [c, c + _CHUNK_SLICE])
-            known = np.flatnonzero(place[begin:end] >= 0) + begin
-            ids = chunk_ids[c : c + _CHUNK_SLICE].to_numpy()
-            impacts = np.zeros((len(ids), len(vocabulary)))
-            impacts[chunk_code[known] - c, place[known]] = impact[known]
-            scores = np.round((impacts @ weights).T, SCORE_DIGITS)
-            top = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "query_id": np.repeat(query_ids[q : q + _QUERY_SLICE].to_numpy(), top.shape[1]),
-                        "id": ids[top].ravel(),
-                        "score": np.take_along_axis(scores, top, axis=1).ravel(),
-                    }
-                )
-            )
-    if not parts:
-        return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-    found = pd.concat(parts)
-    found = found[found["score"] > 0].sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-    return found.groupby("query_id").head(k)
+    Chunks that :func:`candidates` leaves are scored whole, by all their impacts.
+    Equal scores (to ``SCORE_DIGITS``) are ordered by id.
+    """
+    found = candidates(index, queries, k)
+    might = found.candidates.join(found.bars, "query_id").filter(F.col("bar").isNull() | (F.col("seen") + F.col("rest") >= F.col("bar") - _MARGIN))
+    asked = found.terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("words"))
+    whole = might.select("query_id", "id").join(asked, "query_id").join(index.forward, "id")
+    impact = lambda w: F.coalesce(F.try_element_at("impacts", w["token"]), F.lit(0.0))
+    score = F.aggregate("words", F.lit(0.0), lambda total, w: total + w["weight"] * impact(w))
+    scored = whole.select("query_id", "id", F.round(score, SCORE_DIGITS).alias("score")).filter("score > 0")
+    return scale.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)

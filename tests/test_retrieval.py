@@ -44,10 +44,9 @@ def test_tokens_follow_the_word_rule(spark):
     assert got == [plain_tokens(t) for t in TEXTS]
 
 
-@pytest.mark.parametrize("blocks", [(2000, 500), (3, 2)])
-def test_bm25_equals_the_formula(spark, monkeypatch, blocks):
-    monkeypatch.setattr(keyword, "CHUNKS_PER_BLOCK", blocks[0])
-    monkeypatch.setattr(keyword, "QUERIES_PER_BLOCK", blocks[1])
+@pytest.mark.parametrize("size", [128, 1])
+def test_bm25_equals_the_formula(spark, monkeypatch, size):
+    monkeypatch.setattr(keyword, "BLOCK", size)
     asked = ["the laser node", "key rate rate", "nothing here", "the a"]
     chunks = spark.createDataFrame(list(enumerate(TEXTS)), "id long, content string")
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
@@ -161,4 +160,25 @@ def test_a_stored_index_answers_alike(spark, tmp_path):
         return sorted((r.query_id, r["rank"], r.id, r.score) for r in keyword.bm25_search(index, queries, 3).collect())
 
     assert rows(stored) == rows(built)
-    assert "folder" in stored.postings.columns
+    assert "folder" in stored.blocks.columns
+
+
+def test_common_words_are_hardly_read(spark, monkeypatch):
+    """Blocks of a common word beyond the bar of a query's best chunks stay unread, and results do not change."""
+    monkeypatch.setattr(keyword, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{n}" for n in range(300)])
+    share = 1 / np.arange(1, 301)
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(5, 60), p=share / share.sum())) for _ in range(1500)]
+    asked = ["w0 w150 w90", "w1 w200", "w0 w1", "w2 w0 w299 w299"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = keyword.build_index(chunks)
+    got = keyword.bm25_search(index, queries, 5).collect()
+    for q, text in enumerate(asked):
+        want = sorted(((-round(s, 9), i) for i, s in enumerate(plain_bm25(texts, text)) if s > 0))[:5]
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [i for _, i in want]
+    read = {(r.query_id, r.token): (r.upto, r.blocks) for r in keyword.candidates(index, queries, 5).terms.collect()}
+    assert all(read[q, "w0"][0] < read[q, "w0"][1] / 2 for q in (0, 3)) and read[1, "w1"][0] < read[1, "w1"][1] / 2
+    sizes = index.blocks.select(F.size("ids").alias("n"), F.array_min("impacts").alias("low"), "token", "block").collect()
+    assert sum(r.n for r in sizes) == len({(i, w) for i, t in enumerate(texts) for w in t.split()})
