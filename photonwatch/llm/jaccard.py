@@ -301,9 +301,14 @@ class _Join:
         label = shared.join(found, "id", "left").join(known, "id")
         label = label.select("bucket", "id", "deleted", "n", "sketch", F.coalesce("component", "id").alias("component"))
         apart = Window.partitionBy("bucket")
-        mixed = label.withColumns({"_low": F.min("component").over(apart), "_high": F.max("component").over(apart)}).filter("_low != _high")
+        mixed = stored(label.withColumns({"_low": F.min("component").over(apart), "_high": F.max("component").over(apart)}).filter("_low != _high"))
+        # similar sets share many buckets: each pair is met in the first of them alone
+        lists = [F.array_sort(F.collect_set(F.when(c, F.col("bucket")))).alias(n) for c, n in ((~F.col("deleted"), "own"), (F.col("deleted"), "less"))]
+        listed = mixed.join(mixed.groupBy("id").agg(*lists), "id")
         both = F.expr("x.bucket = y.bucket and x.id > y.id and x.component != y.component and not (x.deleted and y.deleted)")
-        met = mixed.alias("x").join(mixed.alias("y"), both & _may_link(self.percent, FOLDED_LONGS))
+        common = [F.array_min(F.array_intersect(f"x.{a}", f"y.{b}")) for a, b in (("own", "own"), ("own", "less"), ("less", "own"))]
+        once = F.col("x.bucket") == F.least(*common)
+        met = listed.alias("x").join(listed.alias("y"), both & _may_link(self.percent, FOLDED_LONGS) & once)
         second = stored(self.verified(self.likely(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))))
         edges = first.union(second)
         if second.isEmpty():
@@ -343,12 +348,27 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with all columns, of each component the document of smallest doc_id.
+    """``docs`` with all columns, of each component one row: the least by doc_id (null last), then by a hash of the text.
 
-    Texts without words and rows without doc_id all stay; rows that repeat a doc_id are one document.
+    Texts without words all stay.  Rows are told apart by doc_id and text, so
+    other texts of a doc_id stay; of rows that repeat both, one stays.
     """
-    judged = similar_documents(docs, width, percent).filter("n_shingles > 0 and doc_id != component_id")
-    gone = stored(judged.select(F.col("doc_id").alias("_pw_id")).distinct())
-    if gone.count() <= BROADCAST_SETS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_pw_id"], "left_anti")
+    work = _Join(docs, width, percent)
+    _, found = work.links()
+    named = work.rows.filter("n_shingles > 0").select("doc_id", "text_hash", "id").join(found, "id", "left")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    named = named.select(F.coalesce("component", "id").alias("component"), place.alias("place"))
+    first = stored(named.groupBy("component").agg(F.min("place").alias("first")))
+    listed = named.join(first, "component").groupBy("place").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("copies"))
+    known = stored(listed.filter("place != first or copies > 1").select("place.doc_id", "place.text_hash", (F.col("place") == F.col("first")).alias("stays")))
+    hashed = docs.withColumn("_pw_hash", F.xxhash64(text_or_empty()))
+
+    def met(which: DataFrame, how: str) -> DataFrame:
+        own = which.select(F.col("doc_id").alias("_pw_id"), F.col("text_hash").alias("_pw_of"))
+        own = F.broadcast(own) if own.count() <= BROADCAST_SETS else own
+        return hashed.join(own, hashed["doc_id"].eqNullSafe(own["_pw_id"]) & (hashed["_pw_hash"] == own["_pw_of"]), how)
+
+    out, repeated = met(known, "left_anti"), known.filter("stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(met(repeated, "left_semi").dropDuplicates(["doc_id", "_pw_hash"]))
+    return out.drop("_pw_hash")
