@@ -56,18 +56,59 @@ def _(t: Tables):
     return monitors.run_to_folder(found, "violations").withColumn("value", F.round("value", 6))
 
 
+@query("m1_ruled_violations", sql="""
+WITH r AS (SELECT event_id, concat('N', CAST(user_id % 12 AS VARCHAR)) AS node_name, event_type AS metric, value FROM events),
+rules AS (SELECT metric, 'max' AS kind, max(value) * 0.5 AS threshold FROM r GROUP BY 1 UNION ALL SELECT metric, 'min', max(value) * 0.01 FROM r WHERE metric <> 'error' GROUP BY 1)
+SELECT event_id, node_name, metric, value, threshold, CASE kind WHEN 'max' THEN 'exceeds' ELSE 'below' END AS type FROM r JOIN rules USING (metric)
+WHERE CASE kind WHEN 'max' THEN value > threshold ELSE value < threshold END""")
+def _(t: Tables):
+    folder = sinks.scratch_folder(t.spark, "ruled")
+    top = t.raw("events").groupBy(F.col("event_type").alias("metric")).agg(F.max("value").alias("top"))
+    most = top.select("metric", F.lit("max").alias("kind"), (F.col("top") * 0.5).alias("threshold"))
+    least = top.filter("metric != 'error'").select("metric", F.lit("min").alias("kind"), (F.col("top") * 0.01).alias("threshold"))
+    monitors.write_rules(most, f"{folder}/rules")  # replaced before the stream begins
+    monitors.write_rules(most.unionByName(least), f"{folder}/rules")
+    rows = _events(t).select("event_id", _node(12).alias("node_name"), F.col("event_type").alias("metric"), "value")
+    found = monitors.ruled_violations(rows, ["event_id", "node_name"], f"{folder}/rules", folder)
+    return found.select("event_id", "node_name", "metric", "value", "threshold", "type")
+
+
 @query("m2_tumbling_means", sql="""
 WITH w AS (SELECT CAST(time_bucket(INTERVAL '15' MINUTE, ts) AS TIMESTAMP) AS start, concat('N', CAST(user_id % 12 AS VARCHAR)) AS node_name, event_type AS metric, value FROM events)
 SELECT start, start + INTERVAL '15' MINUTE AS "end", node_name, metric, round(avg(value), 6) AS mean, count(*) AS points FROM w
-WHERE start + INTERVAL '15' MINUTE <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '30' MINUTE FROM events) GROUP BY 1, 2, 3, 4""")
+GROUP BY 1, 2, 3, 4""")
 def _(t: Tables):
-    means = monitors.run_to_folder(monitors.tumbling_means(_readings(_events(t))), "means")
+    events, close = _finished_events(t, 1800 + 900)
+    means = monitors.run_to_folder(monitors.tumbling_means(_readings(events)), "means", close=close)
     return means.select(
         F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"),
         "node_name", "metric", F.round("mean", 6).alias("mean"), "points",
     )
 
 
+_PRESET_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS preset, CAST(time_bucket(INTERVAL '{step}' MINUTE, ts) AS TIMESTAMP) - to_minutes({step} * k) AS start, {length} AS minutes, node_name, metric, value "
+    f"FROM r, range({length} // {step}) x(k)"
+    for name, length, step in (("1h", 60, 15), ("24h", 1440, 60), ("7d", 10080, 1440))
+)
+
+
+@query("m2_preset_means", sql=f"""
+WITH r AS (SELECT ts, concat('N', CAST(user_id % 12 AS VARCHAR)) AS node_name, event_type AS metric, value FROM events), w AS ({_PRESET_SQL})
+SELECT preset, start, start + to_minutes(minutes) AS "end", node_name, metric, round(avg(value) + 1e-9, 6) AS mean, count(*) AS points FROM w GROUP BY ALL""")
+def _(t: Tables):
+    means = None
+    for preset in monitors.PRESETS:
+        # the delay, the longest window, and the short windows that it is made of
+        events, close = _finished_events(t, 1800 + 7 * 86400 + 900)
+        own = monitors.run_to_folder(monitors.preset_means(_readings(events), preset), "presets", close=close)
+        means = own if means is None else means.unionByName(own)
+    return means.select(
+        "preset", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"),
+        "node_name", "metric", F.round(F.col("mean") + 1e-9, 6).alias("mean"), "points",  # off the halves, where sums of sums may differ
+    )
+
+
 @query("m3_near_in_time", sql="""
 WITH n AS (SELECT event_id AS node_event, concat('N', CAST(user_id % 12 AS VARCHAR)) AS node_name, ts FROM events WHERE event_type NOT IN ('purchase', 'signup')),
 l AS (SELECT event_id AS link_event, concat('N', CAST(user_id % 9 AS VARCHAR)) AS node_name, ts FROM events WHERE event_type IN ('purchase', 'signup'))
@@ -84,12 +125,11 @@ def _(t: Tables):
 
 @query("m4_state_monitor", sql="""
 WITH s AS (SELECT event_id, user_id AS service_id, ts, CASE event_type WHEN 'purchase' THEN 'active' WHEN 'error' THEN 'failed' ELSE event_type END AS state FROM events),
-p AS (SELECT epoch_us(date_trunc('millisecond', max(ts))) - 3600000000 AS passed FROM events),
 w AS (SELECT service_id, event_id, state, epoch_us(ts) AS us, lag(state) OVER (PARTITION BY service_id ORDER BY ts, event_id) AS before,
   min(epoch_us(ts)) OVER (PARTITION BY service_id) AS begin FROM s)
-SELECT service_id, event_id, state, round((us - begin) / 1000000.0, 3) AS elapsed, 'change' AS kind FROM w, p WHERE before IS DISTINCT FROM state AND us <= passed
-UNION ALL SELECT service_id, -1, arg_max(state, struct_pack(a := us, b := event_id)) FILTER (WHERE us <= begin + 3600000000), 3600.0, 'timeout' FROM w, p
-GROUP BY service_id, begin, passed HAVING begin + 3600000000 <= passed AND count(*) FILTER (WHERE state IN ('active', 'failed') AND us - begin < 3600000000) = 0""")
+SELECT service_id, event_id, state, round((us - begin) / 1000000.0, 3) AS elapsed, 'change' AS kind FROM w WHERE before IS DISTINCT FROM state
+UNION ALL SELECT service_id, -1, arg_max(state, struct_pack(a := us, b := event_id)) FILTER (WHERE us <= begin + 3600000000), 3600.0, 'timeout' FROM w
+GROUP BY service_id, begin HAVING count(*) FILTER (WHERE state IN ('active', 'failed') AND us - begin < 3600000000) = 0""")
 def _(t: Tables):
     kind = F.col("event_type")
     state = F.when(kind == "purchase", "active").when(kind == "error", "failed").otherwise(kind)
@@ -103,7 +143,7 @@ def _(t: Tables):
 WITH runs AS (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM login_log),
 n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS attempt FROM runs WHERE NOT success)
 SELECT user_id, date_trunc('millisecond', ts) AS locked_at, CAST(5 AS BIGINT) AS failures FROM n
-WHERE attempt = 5 AND ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10' MINUTE FROM login_log)""")
+WHERE attempt = 5""")
 def _(t: Tables):
     events, close = _finished_events(t, 600)
     logins = events.filter(F.col("event_type").isin("error", "purchase")).select(
@@ -115,14 +155,13 @@ def _(t: Tables):
 
 @query("m6_sustained_breaches", sql="""
 WITH r AS (SELECT event_id, concat('N', CAST(user_id % 12 AS VARCHAR)) AS node_name, event_type AS metric, epoch_us(ts) AS us, value FROM events),
-p AS (SELECT epoch_us(date_trunc('millisecond', max(ts))) - 1800000000 AS passed FROM events),
 k AS (SELECT *, value > 30 AS breach, value < 20 AS quiet, coalesce(lead(us) OVER o, 9000000000000000000) AS next_us,
   sum(CASE WHEN value > 30 THEN 0 ELSE 1 END) OVER o AS breach_run, sum(CASE WHEN value < 20 THEN 0 ELSE 1 END) OVER o AS quiet_run
   FROM r WINDOW o AS (PARTITION BY node_name, metric ORDER BY us, event_id)),
 runs AS (SELECT node_name, metric, 'raised' AS event, breach_run AS run, min(us) + 4200000000 AS due, arg_max(next_us, struct_pack(a := us, b := event_id)) AS until
   FROM k WHERE breach GROUP BY node_name, metric, breach_run
   UNION ALL SELECT node_name, metric, 'cleared', quiet_run, min(us) + 30000000, arg_max(next_us, struct_pack(a := us, b := event_id)) FROM k WHERE quiet GROUP BY node_name, metric, quiet_run),
-reached AS (SELECT runs.* FROM runs, p WHERE due <= passed AND until > due),
+reached AS (SELECT * FROM runs WHERE until > due),
 turns AS (SELECT *, lag(event) OVER (PARTITION BY node_name, metric ORDER BY due) AS before FROM reached)
 SELECT t.node_name, t.metric, make_timestamp(t.due) AS ts, t.event, round(arg_max(k.value, struct_pack(a := k.us, b := k.event_id)), 4) AS value
 FROM turns t JOIN k ON k.node_name = t.node_name AND k.metric = t.metric AND k.us <= t.due
@@ -149,3 +188,37 @@ def _(t: Tables):
         )
         monitors.ingest_stream(incoming, folder, store)
     return t.spark.read.parquet(f"{folder}/documents").select("filename", "content_hash")
+
+
+_FILES = """
+files AS (SELECT source, lang, doc_id // 100 AS part, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY ALL),
+named AS (SELECT concat_ws('-', source, lang, CAST(part AS VARCHAR)) AS filename, part, text FROM files)"""
+
+
+@query("m7_file_versions", sql=f"""
+WITH {_FILES}, up AS (SELECT filename, 1 AS n, text || chr(10) AS body FROM named UNION ALL SELECT filename, 2, CASE WHEN part % 2 = 0 THEN text || ' revised' ELSE text END || chr(10) FROM named)
+SELECT filename, sha256(arg_max(body, n)) AS content_hash, count(DISTINCT body) AS n_versions, length(arg_max(body, n)) AS indexed_characters FROM up GROUP BY 1""")
+def _(t: Tables):
+    folder = sinks.scratch_folder(t.spark, "versions")
+    docs = t.raw("documents")
+    part = F.floor(F.col("doc_id") / 100)
+    lines = F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    files = docs.groupBy("source", "lang", part.alias("part")).agg(F.array_join(F.transform(lines, lambda r: r["text"]), "\n").alias("text"))
+    files = files.select(F.concat_ws("-", "source", "lang", F.col("part").cast("string")).alias("filename"), "part", "text")
+    revised = F.when(F.col("part") % 2 == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        # windows of 1 000 characters that do not overlap
+        n = F.ceil(F.length("text") / 1000).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring("text", k * 1000 + 1, F.lit(1000)))
+        return rows.select("filename", "content_hash", F.posexplode(pieces).alias("chunk_index", "content"))
+
+    for upload, text_now in (("upload-1", F.col("text")), ("upload-2", revised)):
+        sinks.write_files(files.select("filename", text_now.alias("text")), f"{folder}/landing/{upload}")
+        incoming = monitors.upload_stream(t.spark, f"{folder}/landing")
+        monitors.ingest_versions(incoming, f"{folder}/store", cut)
+    counts = monitors.versions(t.spark, f"{folder}/store").groupBy("filename").agg(F.count(F.lit(1)).alias("n_versions"))
+    chunks = monitors.active_version_chunks(t.spark, f"{folder}/store").groupBy("filename", "content_hash").agg(
+        F.sum(F.length("content")).alias("indexed_characters")
+    )
+    return chunks.join(counts, "filename").select("filename", "content_hash", "n_versions", "indexed_characters")

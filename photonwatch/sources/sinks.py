@@ -62,6 +62,11 @@ def store_documents(
     )
 
 
+def write_files(files: DataFrame, path: str) -> None:
+    """Each row's ``text`` as a text file ``path``/<filename>/<part>: for landing zones and exports of whole files."""
+    files.select("filename", "text").write.partitionBy("filename").text(path)
+
+
 def unchanged_skipped(incoming: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose (name, content hash) is not in the manifest yet."""
     return incoming.join(manifest.select("filename", "content_hash"), ["filename", "content_hash"], "left_anti")

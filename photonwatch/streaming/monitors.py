@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,6 +69,84 @@ def live_violations(readings: DataFrame, keys: Sequence[str], limits: Sequence[L
     return violations(readings, keys, limits)
 
 
+RULES = "metric string, kind string, threshold double, version long"
+
+
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Add the rule table (metric, kind: max or min, threshold) that holds from the next batch on.
+
+    Every table is one version, written as one file, so readers see all of it or
+    nothing; old versions stay for batches that are tried again.
+    """
+    spark = rules.sparkSession
+    rules.sparkSession.createDataFrame([], RULES).write.mode("append").parquet(path)
+    last = spark.read.schema(RULES).parquet(path).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    rules.select("metric", "kind", "threshold", F.lit(last + 1).cast("bigint").alias("version")).coalesce(1).write.mode("append").parquet(path)
+
+
+def broken_rules(readings: DataFrame, keys: Sequence[str], rules: DataFrame) -> DataFrame:
+    """One row per reading (``keys``, metric, value) and rule of its metric that it breaks."""
+    over, under = F.col("value") > F.col("threshold"), F.col("value") < F.col("threshold")
+    broken = F.when(F.col("kind") == "max", over).otherwise(under)
+    kind = F.when(F.col("kind") == "max", "exceeds").otherwise("below")
+    return readings.join(rules, "metric").filter(broken).select(*keys, "metric", "value", "threshold", kind.alias("type"))
+
+
+def ruled_violations(readings: DataFrame, keys: Sequence[str], rules_path: str, folder: str) -> DataFrame:
+    """Readings of a stream that break a rule of the table under ``rules_path``.
+
+    The table is read anew for every batch, so a rule that is changed, added or
+    dropped while the stream runs holds from the next batch on.  A batch writes
+    down which version it goes by before it begins, so one that is tried again
+    gives the same rows, which replace its first ones.
+    """
+    spark = readings.sparkSession
+
+    def judged(rows: DataFrame, batch: int) -> None:
+        noted = f"{folder}/versions/batch={batch}"
+        try:
+            version = spark.read.schema("version long").parquet(noted).first()["version"]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            version = spark.read.schema(RULES).parquet(rules_path).agg(F.max("version")).first()[0]
+            spark.createDataFrame([(version,)], "version long").write.mode("overwrite").parquet(noted)
+        rules = spark.read.schema(RULES).parquet(rules_path).filter(F.col("version") == version).drop("version")
+        broken_rules(rows, keys, rules).withColumn("version", F.lit(version).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
+
+    query = (
+        readings.writeStream.foreachBatch(judged)
+        .option("checkpointLocation", f"{folder}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
+
+
+#: Length and step of the windows that a chart of live means offers.
+PRESETS = {"1h": ("1 hour", "15 minutes"), "24h": ("24 hours", "1 hour"), "7d": ("7 days", "1 day")}
+
+
+def preset_means(readings: DataFrame, preset: str, size: str = "15 minutes") -> DataFrame:
+    """Means over long sliding windows, made from sums of short ones: preset, start, end, node_name, metric, mean, points.
+
+    Two aggregations in event time follow each other in one append query: rows
+    meet in windows of ``size``, whose sums go on to every long window they lie
+    in when the watermark closes them.  So a week's window holds sums, not rows,
+    and a row is copied to no window but its own short one.  Each preset is a
+    stream of its own: a union of such chains over one source loses rows of all but the first.
+    """
+    length, step = PRESETS[preset]
+    short = readings.groupBy(F.window("timestamp", size).alias("w"), "node_name", "metric").agg(
+        F.sum("value").alias("total"), F.count("value").alias("points")
+    )
+    long = short.groupBy(F.window(F.window_time("w"), length, step).alias("w"), "node_name", "metric").agg(
+        (F.sum("total") / F.sum("points")).alias("mean"), F.sum("points").alias("points")
+    )
+    return long.select(F.lit(preset).alias("preset"), "w.start", "w.end", "node_name", "metric", "mean", "points")
+
+
 def tumbling_means(readings: DataFrame, size: str = "15 minutes", slide: str | None = None) -> DataFrame:
     """Mean per window, node and metric; windows close when the watermark passes their end."""
     window = F.window("timestamp", size, slide) if slide else F.window("timestamp", size)
@@ -259,6 +337,67 @@ def sustained_breach_monitor(
     )
 
 
+def upload_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Files of any kind under ``path``/<upload>/filename=<name>/ as a stream: filename, uploaded_at, upload, content.
+
+    A file that changes comes again as part of a later upload.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    names = F.split("path", "/")
+    return files.load(f"{path}/*/*/*").select(
+        F.regexp_replace(F.element_at(names, -2), "^filename=", "").alias("filename"), F.col("modificationTime").alias("uploaded_at"),
+        F.element_at(names, -3).alias("upload"), "content",
+    )
+
+
+def ingest_versions(incoming: DataFrame, path: str, cut: Callable[[DataFrame], DataFrame]) -> None:
+    """Store every version of the files of a stream, and the chunks of each.
+
+    ``incoming``: filename, uploaded_at, upload, content.  A version is a (filename,
+    content_hash); ``cut`` gives chunks (filename, content_hash, chunk_index,
+    content) of a frame with ``text``.  Versions of a batch go to its own folder,
+    so one that is tried again replaces itself.  Nothing is looked up in what is
+    stored: which version is active follows from the order of uploads, in
+    :func:`versions`, so batches never wait for one another.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        read = rows.select(
+            "filename", "uploaded_at", "upload", F.sha2("content", 256).alias("content_hash"), F.decode("content", "UTF-8").alias("text")
+        )
+        read.drop("text").write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
+        cut(read.dropDuplicates(["filename", "content_hash"])).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+
+    query = (
+        incoming.writeStream.foreachBatch(batch)
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """Stored versions with the time they are valid: filename, content_hash, valid_from, valid_to (null: active).
+
+    Uploads of a file count in the order of their times, then of their names; one
+    with the content of the one before is no new version.  A content that comes
+    back later is a version of its own.
+    """
+    seen = spark.read.parquet(f"{path}/versions")
+    order = Window.partitionBy("filename").orderBy("uploaded_at", "upload")
+    changed = seen.withColumn("_before", F.lag("content_hash").over(order)).filter(~F.col("_before").eqNullSafe(F.col("content_hash")))
+    return changed.select("filename", "content_hash", F.col("uploaded_at").alias("valid_from"), F.lead("uploaded_at").over(order).alias("valid_to"))
+
+
+def active_version_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of active versions alone: those of a replaced version have left the index."""
+    active = versions(spark, path).filter("valid_to is null").select("filename", "content_hash")
+    chunks = spark.read.parquet(f"{path}/chunks").drop("batch").join(active, ["filename", "content_hash"], "left_semi")
+    return chunks.dropDuplicates(["filename", "content_hash", "chunk_index"])
+
+
 def ingest_stream(incoming: DataFrame, path: str, store: Callable[[DataFrame, str, int], None]) -> None:
     """Store new documents of a stream; known (name, content) pairs are skipped.
 

@@ -103,3 +103,51 @@ def test_band_join(spark, tmp_path):
     got = monitors.run_to_folder(monitors.near_in_time(left, right).select("a", "b"), "t").collect()
     want = [(x[0], y[0]) for x in rows for y in rows if x[3] == 0 and y[3] == 1 and x[1] == y[1] and abs((x[2] - y[2]).total_seconds()) < 60]
     assert sorted((r.a, r.b) for r in got) == sorted(want)
+
+
+def test_a_changed_rule_holds_from_the_next_batch(spark, tmp_path):
+    path, folder = str(tmp_path / "rules"), str(tmp_path / "out")
+    columns = "metric string, kind string, threshold double"
+    monitors.write_rules(spark.createDataFrame([("q", "max", 5.0), ("v", "min", 1.0)], columns), path)
+    rows = [(k, m, float(k % 10)) for k in range(40) for m in ("q", "v")]
+    schema = "event_id long, metric string, value double"
+    spark.createDataFrame(rows[:40], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    monitors.ruled_violations(stream(), ["event_id"], path, folder)
+    # between batches a rule is changed, one dropped and one added
+    monitors.write_rules(spark.createDataFrame([("q", "max", 7.0), ("q", "min", 1.0)], columns), path)
+    spark.createDataFrame(rows[40:], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = monitors.ruled_violations(stream(), ["event_id"], path, folder).collect()
+    want = [(k, m, v, 5.0, "exceeds", 1) for k, m, v in rows[:40] if m == "q" and v > 5] + [(k, m, v, 1.0, "below", 1) for k, m, v in rows[:40] if m == "v" and v < 1]
+    want += [(k, m, v, 7.0, "exceeds", 2) for k, m, v in rows[40:] if m == "q" and v > 7] + [(k, m, v, 1.0, "below", 2) for k, m, v in rows[40:] if m == "q" and v < 1]
+    assert sorted((r.event_id, r.metric, r.value, r.threshold, r.type, r.version) for r in got) == sorted(want)
+
+
+def test_a_changed_file_replaces_its_old_version(spark, tmp_path):
+    landing, store = tmp_path / "landing", str(tmp_path / "store")
+
+    def upload(number, files):
+        for name, text in files.items():
+            folder = landing / f"upload-{number}" / f"filename={name}"
+            folder.mkdir(parents=True)
+            (folder / "part-0.txt").write_text(text, encoding="utf-8")
+
+    def cut(rows):
+        return rows.select("filename", "content_hash", F.posexplode(F.split("text", "[|]")).alias("chunk_index", "content"))
+
+    steps = [
+        {"a.txt": "one|two|three", "b.txt": "x"},
+        {"a.txt": "one|2", "b.txt": "x", "c.txt": "é"},  # b is the same again
+        {"a.txt": "one|two|three"},  # an old content comes back
+    ]
+    active = []
+    for number, files in enumerate(steps):
+        upload(number, files)
+        monitors.ingest_versions(monitors.upload_stream(spark, str(landing)), store, cut)
+        chunks = monitors.active_version_chunks(spark, store)
+        active.append(sorted((r.filename, r.content) for r in chunks.collect()))
+    assert active[0] == [("a.txt", "one"), ("a.txt", "three"), ("a.txt", "two"), ("b.txt", "x")]
+    assert active[1] == [("a.txt", "2"), ("a.txt", "one"), ("b.txt", "x"), ("c.txt", "é")]
+    assert active[2] == [("a.txt", "one"), ("a.txt", "three"), ("a.txt", "two"), ("b.txt", "x"), ("c.txt", "é")]
+    found = monitors.versions(spark, store).groupBy("filename").agg(F.count("*").alias("n"), F.count_if(F.col("valid_to").isNull()).alias("open")).collect()
+    assert {r.filename: (r.n, r.open) for r in found} == {"a.txt": (3, 1), "b.txt": (1, 1), "c.txt": (1, 1)}
