@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photonwatch import scale
 from photonwatch.operators import text, transitions
 from photonwatch.plans.fixtures import Tables
 from photonwatch.plans.registry import query
@@ -60,6 +61,39 @@ def _(t: Tables):
     return text.section_of_page(pages, sections, "document")
 
 
+# documents as entries of a table of contents of their source, on six levels, three to a page
+_ENTRIES = """
+e AS (SELECT source AS document, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS no, CAST(1 + n_chars % 6 AS INTEGER) AS level, concat('Entry ', CAST(doc_id AS VARCHAR)) AS title FROM documents),
+walk AS (SELECT document, no, level, title, [title] AS path FROM e WHERE no = 0
+  UNION ALL SELECT e.document, e.no, e.level, e.title, list_append(list_slice(w.path, 1, e.level - 1), e.title) FROM walk w JOIN e ON e.document = w.document AND e.no = w.no + 1),
+paths AS (SELECT document, no, level, title, len(path) AS depth, array_to_string(path, ' > ') AS full_title FROM walk)"""
+
+
+def _entries(t: Tables) -> DataFrame:
+    rows = t.raw("documents").select(F.col("source").alias("document"), "doc_id", (F.col("n_chars") % 6 + 1).cast("int").alias("level"))
+    title = F.concat(F.lit("Entry "), F.col("doc_id").cast("string"))
+    rows = rows.withColumn("title", title).withColumn("_bucket", F.floor(F.col("doc_id") / 1024))
+    numbered = scale.split_row_number(rows, ["document"], "_bucket", [F.col("doc_id")], "no")
+    return numbered.select("document", (F.col("no") - 1).alias("no"), "level", "title")
+
+
+@query("e13_contents_paths", sql=f"WITH RECURSIVE {_ENTRIES} SELECT document, no, level, title, depth, full_title FROM paths")
+def _(t: Tables):
+    return text.contents_paths(_entries(t), "document").select("document", "no", "level", "title", "depth", "full_title")
+
+
+@query("c18_section_by_contents", sql=f"""
+WITH RECURSIVE {_ENTRIES}, asked AS (SELECT DISTINCT document, no // 2 AS page FROM e),
+found AS (SELECT a.document, a.page, p.full_title, row_number() OVER (PARTITION BY a.document, a.page ORDER BY p.no // 3 DESC, p.no DESC) AS r
+  FROM asked a LEFT JOIN paths p ON p.document = a.document AND p.no // 3 <= a.page)
+SELECT document, page, coalesce(full_title, concat('Content from Page ', CAST(page AS VARCHAR))) AS section FROM found WHERE r = 1""")
+def _(t: Tables):
+    entries = _entries(t)
+    sections = text.contents_paths(entries, "document").withColumn("page", F.floor(F.col("no") / 3)).withColumn("y_pos", F.col("no"))
+    pages = entries.select("document", F.floor(F.col("no") / 2).alias("page")).distinct()
+    return text.section_of_page(pages, sections, "document", order="y_pos")
+
+
 _TERMS_SQL = ", ".join(f"CASE WHEN contains(lower(text), '{term.lower()}') THEN '{term}' END" for term in text.DOMAIN_TERMS)
 
 

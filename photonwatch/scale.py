@@ -87,18 +87,25 @@ def split_running_sum(
     df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: str, out: str
 ) -> DataFrame:
     """Sum of ``value`` over this and all earlier rows of the key."""
+    return _split_running(df, keys, bucket, order, value, out, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def split_running_min(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: str, out: str
+) -> DataFrame:
+    """Least ``value`` of this and all earlier rows of the key; nulls count for nothing."""
+    return _split_running(df, keys, bucket, order, value, out, F.min, lambda a, b: F.least(a, b))
+
+
+def _split_running(df, keys, bucket, order, value, out, whole, both) -> DataFrame:
     keys = list(keys)
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
-    before = sums.select(
-        *keys,
-        bucket,
-        F.coalesce(F.sum("_sum").over(_bucket_window(keys, bucket, _BEFORE)), F.lit(0)).alias("_before"),
-    )
+    parts = df.groupBy(*keys, bucket).agg(whole(value).alias("_part"))
+    before = parts.select(*keys, bucket, whole("_part").over(_bucket_window(keys, bucket, _BEFORE)).alias("_before"))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        df.withColumn("_inside", whole(value).over(inside))
         .join(before, [*keys, bucket])
-        .withColumn(out, F.col("_inside") + F.col("_before"))
+        .withColumn(out, both(F.col("_inside"), F.col("_before")))
         .drop("_inside", "_before")
     )
 

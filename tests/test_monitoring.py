@@ -121,3 +121,23 @@ def test_insight_risk_order(spark):
     df = spark.createDataFrame(rows, "node_name string, metric string, predicted_avg double, min_predicted double, current_avg double, change_pct double")
     got = forecast.insights(df).first()
     assert (got.risk, got.max_risk) == ("medium", "high")  # a later rule replaces an earlier, higher one
+
+
+def test_a_single_break_is_found_and_the_rest_is_zero():
+    from photonwatch.operators import forecast as fc
+
+    rng = np.random.default_rng(4)
+    seconds = np.arange(0, 30 * 86_400.0, 1_800.0)
+    x = seconds / seconds[-1]
+    at = fc._BREAKS[11]
+    y = 0.5 + 0.2 * x - 0.9 * np.maximum(x - at, 0) + 0.05 * np.sin(2 * np.pi * seconds / 86_400) + rng.normal(0, 0.02, len(x))
+    design = fc._design(x, seconds)
+    xx, xy = design.T @ design, design.T @ y
+    found, sigma = fc._solve(xx, xy, float(y @ y), len(y))
+    changes = found[fc._SPARSE]
+    assert np.argmax(np.abs(changes)) in (10, 11, 12) and np.count_nonzero(changes) <= 8 and abs(changes.sum() + 0.9) < 0.1
+    assert abs(sigma - 0.02) < 0.002
+    # a change is as far from zero as its pull against the price, and zero where the pull is less
+    pull = (xy - xx @ found)[fc._SPARSE]
+    price = sigma**2 / fc.CHANGE_PRIOR
+    assert np.all(np.abs(pull) <= price * 1.01) and np.allclose(pull[changes != 0], price * np.sign(changes[changes != 0]), rtol=0.02)

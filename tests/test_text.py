@@ -150,3 +150,21 @@ def test_page_profile_flags(spark, body, headers, lists):
     df = spark.createDataFrame([(1, body + "\nQBER and Laser")], "doc_id long, text string")
     row = text.page_profile(df).first()
     assert (row.has_headers, row.has_lists, row.technical_terms) == (headers, lists, "QBER,laser")
+
+
+@pytest.mark.parametrize("bucket", [1024, 3])
+def test_contents_paths_follow_the_open_titles(spark, monkeypatch, bucket):
+    monkeypatch.setattr(text, "_ENTRY_BUCKET", bucket)
+    rng = __import__("random").Random(bucket)
+    rows, want = [], {}
+    for document in ("a", "b", "c"):
+        path = []
+        for no in range(1 if document == "c" else 60):
+            level = rng.randint(1, 8)
+            path = path[: level - 1] + [f"{document}{no}"]
+            rows.append((document, no, level, path[-1]))
+            want[document, no] = " > ".join(path)
+    entries = spark.createDataFrame(rows, "document string, no long, level int, title string")
+    got = {(r.document, r.no): r.full_title for r in text.contents_paths(entries, "document").collect()}
+    assert got == want
+    assert text.contents_paths(entries.filter("no < 0"), "document").count() == 0
