@@ -12,6 +12,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 UNUSUAL = re.compile("[^\x00-\u052f\u2000-\u206f]")
 
 #: Documents of about this many characters share one list of words and meet in one task.
-CHUNK_CHARACTERS = 32_000_000
+CHUNK_CHARACTERS = 8_000_000
 #: Words are dealt to so many buckets; the distinct words of one bucket meet in one task.
 WORD_BUCKETS = 256
 
@@ -117,7 +118,10 @@ def _pack(path: str):
         groups = [(k, json.dumps(list(g), ensure_ascii=False).encode()) for k, g in groupby(ordered, bucket.__getitem__)]
         squeeze = zstandard.ZstdCompressor(level=6).compress
         # the name is taken from the contents, so a task that runs twice gives the same one
-        name = hashlib.sha256(flat.tobytes() + repr(ids).encode()).digest()
+        name = hashlib.sha256(flat.tobytes() + repr(ids).encode())
+        for _, group in groups:
+            name.update(group)
+        name = name.digest()
         row = {
             "chunk": int.from_bytes(name[:8], "little", signed=True), "doc_ids": ids, "lengths": [len(p) for p in places], "places": _squeezed(flat),
             "buckets": [k for k, _ in groups], "lists": [squeeze(g) for _, g in groups],
@@ -173,29 +177,40 @@ def _encode_lists(path: str):
 def _join_back(path: str, with_text: bool):
     """Each document's words take, by place, their ids and the bytes of the ids' pieces."""
 
-    def run(chunks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    def run(chunks: pa.Table, words: pa.Table) -> pa.Table:
         piece = _piece_list(path)
         # chunks of equal contents have equal names and lists
-        words = words.drop_duplicates("bucket").sort_values("bucket")
-        counts = np.concatenate([_unsqueezed(c) for c in words["counts"]]) if len(words) else np.zeros(0, np.int32)
-        listed, decoded = [], []
-        for own_counts, own_ids in zip(words["counts"], words["ids"]):
-            for ids in np.split(_unsqueezed(own_ids), np.cumsum(_unsqueezed(own_counts))[:-1]):
-                listed.append(",".join(map(str, ids.tolist())))
-                decoded.append(b"".join([piece[k] for k in ids.tolist()]))
-        rows = []
-        for doc_ids, lengths, packed in zip(chunks["doc_ids"], chunks["lengths"], chunks["places"]):
+        lists = dict(zip(words["bucket"].to_pylist(), zip(words["counts"].to_pylist(), words["ids"].to_pylist())))
+        counts, ids, listed, decoded = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], []
+        for bucket in sorted(lists):
+            own_counts, own_ids = map(_unsqueezed, lists[bucket])
+            counts.append(own_counts)
+            ids.append(own_ids)
+            for part in np.split(own_ids, np.cumsum(own_counts)[:-1]):
+                listed.append(",".join(map(str, part.tolist())))
+                decoded.append(b"".join([piece[k] for k in part.tolist()]))
+        counts, ids = np.concatenate(counts), np.concatenate(ids)
+        begin = np.cumsum(counts) - counts
+        out: dict[str, list] = {c: [] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded")}
+        values = [np.zeros(0, np.int32)]
+        for doc_ids, lengths, packed in zip(*(chunks[c].to_pylist() for c in ("doc_ids", "lengths", "places"))):
             for doc_id, own in zip(doc_ids, np.split(_unsqueezed(packed), np.cumsum(lengths)[:-1])):
-                places = own.tolist()
-                text = ",".join([listed[k] for k in places])
+                places, sizes = own.tolist(), counts[own].astype(np.int64)
+                n = int(sizes.sum())
                 # as the library does, bytes that are no UTF-8 become U+FFFD
                 back = b"".join([decoded[k] for k in places]).decode("utf-8", "replace")
-                row = [doc_id, int(counts[own].sum()), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()]
-                if with_text:
-                    row += [[int(i) for i in text.split(",")] if text else [], back]
-                rows.append(row)
-        columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if with_text else 4]
-        return pd.DataFrame(rows, columns=columns)
+                digest = hashlib.sha256(",".join([listed[k] for k in places]).encode()).hexdigest()
+                for column, value in zip(out, (doc_id, n, digest, hashlib.sha256(back.encode()).hexdigest(), back if with_text else None)):
+                    out[column].append(value)
+                if with_text:  # each word's run of ids, end to end
+                    values.append(ids[np.repeat(begin[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(n)])
+        columns = [pa.array(out["doc_id"], pa.string()), pa.array(out["n_tokens"], pa.int64()), *[pa.array(out[c], pa.string()) for c in ("ids_sha256", "decoded_sha256")]]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_text:
+            ends = np.cumsum([0, *out["n_tokens"]]).astype(np.int32)
+            columns += [pa.ListArray.from_arrays(ends, np.concatenate(values)), pa.array(out["decoded"], pa.string())]
+            names += ["ids", "decoded"]
+        return pa.table(columns, names=names)
 
     return run
 
@@ -225,7 +240,7 @@ def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
     sorted_lists = lists.repartition(n, "bucket").sortWithinPartitions("bucket")
     coded = sorted_lists.mapInPandas(_encode_lists(path), "chunk long, bucket int, counts binary, ids binary")
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else "")
-    out = packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(_join_back(path, with_text), schema)
+    out = packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_join_back(path, with_text), schema)
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
