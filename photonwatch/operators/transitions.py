@@ -45,7 +45,7 @@ def _reasons(*checks: tuple[Column, str], state_from: int = 0) -> tuple[Column,
     return reason, rank
 
 
-def _holders(users: DataFrame, roles: DataFrame, grants: DataFrame, permissions: DataFrame, permission: str, key: str) -> DataFrame:
+def holders_of(users: DataFrame, roles: DataFrame, grants: DataFrame, permissions: DataFrame, permission: str, key: str) -> DataFrame:
     names = users_with_permission(users, roles, grants, permissions, permission)
     return names.select(F.col("uuid").alias(key), F.lit(True).alias(f"_{key}_ok"))
 
@@ -69,8 +69,8 @@ def acknowledge_faults(
     known = faults.select("fault_id", F.col("status").alias("_status"))
     rows = (
         requests.join(known, "fault_id", "left")
-        .join(_holders(users, roles, grants, permissions, "fault.acknowledge", "actor"), "actor", "left")
-        .join(_holders(users, roles, grants, permissions, "fault.resolve", "assignee"), "assignee", "left")
+        .join(holders_of(users, roles, grants, permissions, "fault.acknowledge", "actor"), "actor", "left")
+        .join(holders_of(users, roles, grants, permissions, "fault.resolve", "assignee"), "assignee", "left")
     )
     not_open = "You can only acknowledge an open fault"
     reason, rank = _reasons(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonwatch.operators import alarms, history, mining, transitions
+from photonwatch.operators import alarms, history, lifecycle, mining, transitions
 from photonwatch.operators.filters import display_time, title_case
 from photonwatch.plans.fixtures import AS_OF_TELE, Tables, at
 from photonwatch.plans.registry import query
@@ -410,6 +410,90 @@ def _(t: Tables):
     return _escalations(t)[1]
 
 
+def _mixed_requests(t: Tables) -> DataFrame:
+    """Five requests on every fault in the order of their events: two acknowledge, two resolve, one escalates the alert it came from."""
+    k, of = F.col("event_id"), F.floor(F.col("event_id") / 5)
+    number = (of * 7 % 16000).cast("string")
+    kind = F.when(k % 5 < 2, "acknowledge").when(k % 5 < 4, "resolve").otherwise("escalate")
+    rows = t.raw("events").select(
+        k.alias("request_id"), kind.alias("kind"), F.concat(F.lit("FLT_"), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)).alias("fault_id"),
+        "user_id", (of % 1500 + 1).alias("assignee"), F.concat(F.lit("note "), k.cast("string")).alias("notes"), (k % 13 != 0).alias("confirmed"),
+        F.when(k % 17 != 0, F.lit("cleared")).alias("clearing_condition"),
+        F.when(k % 19 != 0, F.repeat(F.lit("x"), F.when(k % 23 == 0, 300).otherwise(20).cast("int"))).alias("remediation"), F.col("ts").alias("requested_at"),
+    )
+    known = t.faults.select("fault_id", F.col("assigned_to").alias("_owner"), F.col("alert_id").alias("_alert"))
+    actor = F.when(k % 5 == 2, F.col("assignee")).when(k % 5 == 3, F.coalesce("_owner", "user_id")).otherwise(F.col("user_id"))
+    rows = rows.withColumn("event_id", F.col("request_id")).join(known, "fault_id", "left")
+    return rows.withColumns({"actor": actor, "alert": F.coalesce("_alert", F.col("request_id"))}).drop("event_id", "user_id", "_owner", "_alert")
+
+
+_MIXED = """
+raw AS (SELECT *, event_id // 5 AS part FROM events),
+req AS (SELECT event_id AS request_id, CASE WHEN event_id % 5 < 2 THEN 'acknowledge' WHEN event_id % 5 < 4 THEN 'resolve' ELSE 'escalate' END AS kind,
+ concat('FLT_', CASE WHEN part * 7 % 16000 < 100 THEN lpad(CAST(part * 7 % 16000 AS VARCHAR), 3, '0') ELSE CAST(part * 7 % 16000 AS VARCHAR) END) AS fault_id,
+ user_id, part % 1500 + 1 AS assignee, concat('note ', CAST(event_id AS VARCHAR)) AS notes, event_id % 13 <> 0 AS confirmed, event_id % 17 <> 0 AS has_clear,
+ CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN 300 ELSE 20 END AS rem, ts AS requested_at FROM raw),
+full_req AS (SELECT q.*, f.status AS fault_status, f.assigned_to AS fault_owner, f.alert_id AS fault_alert, coalesce(f.alert_id, q.request_id) AS alert,
+ CASE WHEN request_id % 5 = 2 THEN assignee WHEN request_id % 5 = 3 THEN coalesce(f.assigned_to, user_id) ELSE user_id END AS actor FROM req q LEFT JOIN faults f USING (fault_id)),
+holders AS (SELECT u.uuid, p.permission_name FROM users u JOIN roles r ON u.role_id = r.id AND r.role_name <> 'Super Admin' JOIN roles_permissions rp ON rp.role_id = r.id
+ JOIN permissions p ON p.id = rp.permission_id WHERE u.status IN ('Online', 'Offline', 'Locked')),
+steps AS (SELECT *, actor IN (SELECT uuid FROM holders WHERE permission_name = 'fault.acknowledge') AS may_ack, assignee IN (SELECT uuid FROM holders WHERE permission_name = 'fault.resolve') AS may_own,
+ row_number() OVER (PARTITION BY fault_id ORDER BY requested_at, request_id) AS n FROM full_req WHERE kind <> 'escalate'),
+walk AS (SELECT DISTINCT fault_id, CAST(0 AS BIGINT) AS n, fault_status AS status, fault_owner AS owner, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS reason, NULL::TIMESTAMP AS acked, NULL::TIMESTAMP AS ended FROM steps
+ UNION ALL SELECT fault_id, n, CASE WHEN why IS NULL THEN CASE kind WHEN 'acknowledge' THEN 'Ongoing' ELSE 'Resolved' END ELSE status END,
+  CASE WHEN why IS NULL AND kind = 'acknowledge' THEN assignee ELSE owner END, request_id, why,
+  CASE WHEN why IS NULL AND kind = 'acknowledge' THEN requested_at ELSE acked END, CASE WHEN why IS NULL AND kind = 'resolve' THEN requested_at ELSE ended END
+ FROM (SELECT w.fault_id, s.n, w.status, w.owner, w.acked, w.ended, s.kind, s.request_id, s.assignee, s.requested_at,
+  CASE WHEN s.kind = 'acknowledge' THEN CASE WHEN w.status IS NULL THEN 'Fault does not exist' WHEN w.status <> 'Open' THEN 'You can only acknowledge an open fault'
+    WHEN NOT may_ack THEN 'You do not have permission to acknowledge faults' WHEN NOT may_own THEN 'The assignee does not have permission to resolve faults' END
+   ELSE CASE WHEN NOT confirmed THEN 'Failed to acknowledge the fault.' WHEN NOT has_clear THEN 'Failed to provide clearing condition'
+    WHEN rem IS NULL THEN 'Failed to provide remediation' WHEN rem > 255 THEN 'Remediation must be less than 255 characters.'
+    WHEN w.status IS NULL THEN 'Attempt to resolve a non-existent fault.' WHEN w.status <> 'Ongoing' THEN 'Attempt to resolve a fault that is not ongoing.'
+    WHEN w.owner IS DISTINCT FROM s.actor THEN 'Unauthorised attempt to resolve a fault not assigned to the user.' END END AS why
+  FROM walk w JOIN steps s ON s.fault_id = w.fault_id AND s.n = w.n + 1)),
+verdicts AS (SELECT s.*, w.reason FROM steps s JOIN walk w ON w.fault_id = s.fault_id AND w.n = s.n),
+turns AS (SELECT alert, requested_at, request_id, 'escalate' AS what, actor FROM full_req WHERE kind = 'escalate'
+ UNION ALL SELECT fault_alert, requested_at, request_id, 'cascade', actor FROM verdicts WHERE kind = 'resolve' AND reason IS NULL AND fault_alert IS NOT NULL),
+numbered AS (SELECT t.*, a.status, a.severity, row_number() OVER (PARTITION BY alert ORDER BY requested_at, request_id) AS n FROM turns t LEFT JOIN alerts a ON a.id = t.alert),
+course AS (SELECT DISTINCT alert, CAST(0 AS BIGINT) AS n, status, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS VARCHAR) AS what, CAST(NULL AS VARCHAR) AS reason FROM numbered
+ UNION ALL SELECT alert, n, CASE WHEN status IS NULL THEN NULL WHEN what = 'cascade' THEN 'Resolved' WHEN why IS NULL THEN 'Escalated' ELSE status END, request_id, what, why FROM
+  (SELECT c.alert, x.n, c.status, x.request_id, x.what, CASE WHEN x.what = 'escalate' THEN CASE WHEN c.status IS NULL THEN 'Attempt to escalate a non-existent alert.'
+    WHEN c.status = 'Escalated' THEN 'Attempt to escalate an alert that has been escalated already.' WHEN c.status = 'Resolved' THEN 'Attempt to escalate a resolved alert.'
+    WHEN x.severity = 'Info' THEN 'Attempt to escalate an info alert.' END END AS why FROM course c JOIN numbered x ON x.alert = c.alert AND x.n = c.n + 1))"""
+_MIXED_VIEWS = "faults alerts users roles roles_permissions permissions"
+
+
+def _mixed(t: Tables) -> lifecycle.Course:
+    return lifecycle.take_requests(_mixed_requests(t), t.faults, t.alerts, t.users, t.roles, t.roles_permissions, t.permissions)
+
+
+@query("l1_l2_l3_mixed_log", views=_MIXED_VIEWS, sql=f"""
+WITH RECURSIVE {_MIXED}
+SELECT request_id, CASE kind WHEN 'acknowledge' THEN 'Acknowledged' ELSE 'Resolved' END AS action_type, fault_id AS item, actor AS performed_by, CASE WHEN reason IS NULL THEN 'Success' ELSE 'Failed' END AS outcome,
+ coalesce(reason, CASE kind WHEN 'acknowledge' THEN notes ELSE concat('Resolved the fault ', fault_id, ' successfully.') END) AS notes FROM verdicts
+UNION ALL SELECT c.request_id, 'Escalated', CAST(c.alert AS VARCHAR), q.actor, CASE WHEN c.reason IS NULL THEN 'Success' ELSE 'Failed' END, coalesce(c.reason, 'Alert has been escalated to a fault successfully.')
+ FROM course c JOIN full_req q USING (request_id) WHERE c.what = 'escalate'
+UNION ALL SELECT request_id, 'Resolved', CAST(fault_alert AS VARCHAR), actor, 'Success', concat('Alert resolved successfully due to resolution of fault ', fault_id, '.')
+ FROM verdicts WHERE kind = 'resolve' AND reason IS NULL AND fault_alert IS NOT NULL""")
+def _(t: Tables):
+    return _mixed(t).log.drop("timestamp")
+
+
+@query("l1_l2_mixed_faults", views=_MIXED_VIEWS, sql=f"""
+WITH RECURSIVE {_MIXED}, last AS (SELECT fault_id, arg_max(status, n) AS status, arg_max(owner, n) AS owner, max(acked) AS acked, max(ended) AS ended FROM walk GROUP BY 1)
+SELECT f.id, coalesce(l.status, f.status) AS status, CASE WHEN l.fault_id IS NULL THEN f.assigned_to ELSE l.owner END AS assigned_to, coalesce(acked, f.acknowledged_at) AS acknowledged_at,
+ coalesce(ended, f.resolved_at) AS resolved_at FROM faults f LEFT JOIN last l USING (fault_id)""")
+def _(t: Tables):
+    return _mixed(t).faults.select("id", "status", "assigned_to", "acknowledged_at", "resolved_at")
+
+
+@query("l2_l3_mixed_alerts", views=_MIXED_VIEWS, sql=f"""
+WITH RECURSIVE {_MIXED}, last AS (SELECT alert, arg_max(status, n) AS status FROM course GROUP BY 1)
+SELECT a.id, coalesce(l.status, a.status) AS status FROM alerts a LEFT JOIN last l ON l.alert = a.id""")
+def _(t: Tables):
+    return _mixed(t).alerts.select("id", "status")
+
+
 def _policy_requests(t: Tables) -> DataFrame:
     k = F.col("event_id")
     action = F.when(k % 7 == 0, "Deleted").when(k % 2 == 0, "Activated").otherwise("Deactivated")

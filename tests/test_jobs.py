@@ -119,3 +119,67 @@ def test_ingest_goes_on_after_a_restart(spark, tmp_path):
     stored = spark.read.parquet(f"{target}/documents")
     assert sorted(r.filename for r in stored.collect()) == ["f0", "f1", "f2", "same"]
     assert stored.select("batch").distinct().count() == 3
+
+
+def test_mixed_requests_on_one_hot_fault(spark):
+    """A third of all requests on one fault, all kinds in a random order, against a plain loop."""
+    import random
+
+    from photonwatch.operators import lifecycle
+
+    rng = random.Random(6)
+    users = spark.createDataFrame([(1, "ann", 1, "Online"), (2, "bob", 1, "Offline"), (3, "eve", 2, "Online")], "uuid long, name string, role_id long, status string")
+    roles = spark.createDataFrame([(1, "Operator"), (2, "Guest")], "id long, role_name string")
+    permissions = spark.createDataFrame([(1, "fault.acknowledge"), (2, "fault.resolve")], "id long, permission_name string")
+    grants = spark.createDataFrame([(1, 1), (1, 2)], "role_id long, permission_id long")
+    states = {f"F{k}": ["Open", rng.choice(["Open", "Ongoing", "Resolved"]), None][0 if k == 0 else 1] for k in range(40)}
+    owners = {f: 2 if s == "Ongoing" else None for f, s in states.items()}
+    of = {f: 100 + k for k, f in enumerate(states)}
+    alert_states = {100 + k: rng.choice(["Active", "Active", "Resolved", "Escalated"]) for k in range(40)} | {100: "Active"}
+    severe = {a: rng.choice(["Critical", "Info"]) for a in alert_states} | {100: "Critical"}
+    t = "timestamp_ntz"
+    faults = spark.createDataFrame(
+        [(k, f, s, owners[f], of[f], None, None, None, None) for k, (f, s) in enumerate(states.items())],
+        f"id long, fault_id string, status string, assigned_to long, alert_id long, acknowledged_at {t}, acknowledged_by long, resolved_at {t}, resolved_by long",
+    )
+    alerts = spark.createDataFrame([(a, s, severe[a]) for a, s in alert_states.items()], "id long, status string, severity string")
+    rows = []
+    for k in range(600):
+        fault = "F0" if rng.random() < 0.33 else rng.choice([*states, "F99"])
+        at = dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(300))
+        rows.append((k, rng.choice(["acknowledge", "resolve", "escalate"]), fault, of.get(fault, 999), rng.choice([1, 2, 3]), rng.choice([1, 2, 3]), f"n{k}", rng.random() < 0.8, "c", rng.choice(["r", "r", None]), at))
+    columns = f"request_id long, kind string, fault_id string, alert long, actor long, assignee long, notes string, confirmed boolean, clearing_condition string, remediation string, requested_at {t}"
+    got = lifecycle.take_requests(spark.createDataFrame(rows, columns), faults, alerts, users, roles, grants, permissions)
+    want = []
+    for k, kind, fault, alert, actor, assignee, notes, confirmed, _, remediation, _ in sorted(rows, key=lambda r: (r[10], r[0])):
+        why = None
+        if kind == "acknowledge":
+            why = (
+                lifecycle.NO_FAULT if fault not in states else lifecycle.NOT_OPEN if states[fault] != "Open"
+                else lifecycle.MAY_NOT_ACKNOWLEDGE if actor == 3 else lifecycle.MAY_NOT_RESOLVE if assignee == 3 else None
+            )
+            if why is None:
+                states[fault], owners[fault] = "Ongoing", assignee
+            want.append((k, "Acknowledged", fault, why or notes))
+        elif kind == "resolve":
+            why = (
+                lifecycle.UNCONFIRMED if not confirmed else lifecycle.NO_REMEDIATION if remediation is None
+                else lifecycle.NO_SUCH_FAULT if fault not in states else lifecycle.NOT_ONGOING if states[fault] != "Ongoing"
+                else lifecycle.NOT_OWNER if owners[fault] != actor else None
+            )
+            want.append((k, "Resolved", fault, why or f"Resolved the fault {fault} successfully."))
+            if why is None:
+                states[fault] = alert_states[alert] = "Resolved"
+                want.append((k, "Resolved", str(alert), f"Alert resolved successfully due to resolution of fault {fault}."))
+        else:
+            state = alert_states.get(alert)
+            why = (
+                lifecycle.NO_ALERT if state is None else lifecycle.ESCALATED_BEFORE if state == "Escalated"
+                else lifecycle.RESOLVED_BEFORE if state == "Resolved" else lifecycle.INFO_ALERT if severe[alert] == "Info" else None
+            )
+            if why is None:
+                alert_states[alert] = "Escalated"
+            want.append((k, "Escalated", str(alert), why or lifecycle.ESCALATED))
+    assert sorted((r.request_id, r.action_type, r.item, r.notes) for r in got.log.collect()) == sorted(want)
+    assert {r.fault_id: (r.status, r.assigned_to) for r in got.faults.collect()} == {f: (s, owners[f]) for f, s in states.items()}
+    assert {r.id: r.status for r in got.alerts.collect()} == alert_states
