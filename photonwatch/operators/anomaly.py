@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -161,18 +162,16 @@ def train_split(matrix: DataFrame, minimum: int = 100) -> DataFrame:
     """Mark about 80 % of the rows of each node for training, all if there are few."""
     sizes = matrix.groupBy("node_name").agg(F.count(F.lit(1)).alias("_n"))
     # the first digits of a digest, so that any engine can draw the same rows
-    moment = F.unix_micros(F.col("timestamp").cast("timestamp")).cast("string")
-    digits = F.substring(F.md5(F.concat_ws("|", "node_name", moment)), 1, 8)
-    chosen = F.conv(digits, 16, 10).cast("bigint") % 10 < 8
+    chosen = _bits(F.md5(F.concat_ws("|", "node_name", _moment())), 1) % 10 < 8
     return scale.beside(matrix, sizes, ["node_name"]).withColumn("is_train", (F.col("_n") < minimum) | chosen).drop("_n")
 
 
 def scaling(matrix: DataFrame, features: Sequence[str] = tuple(FEATURES)) -> DataFrame:
-    """Mean and population deviation per node and feature (deviation 0 counts as 1)."""
+    """Mean and population deviation per node and feature (deviation 0, also by rounding alone, counts as 1)."""
     aggregates = []
     for f in features:
-        spread = F.stddev_pop(f)
-        aggregates += [F.avg(f).alias(f"mean_{f}"), F.when(spread > 0, spread).otherwise(1.0).alias(f"std_{f}")]
+        spread, noise = F.stddev_pop(f), 1e-9 * F.greatest(F.lit(1.0), F.abs(F.avg(f)))
+        aggregates += [F.avg(f).alias(f"mean_{f}"), F.when(spread > noise, spread).otherwise(1.0).alias(f"std_{f}")]
     return matrix.groupBy("node_name").agg(*aggregates)
 
 
@@ -213,17 +212,24 @@ MODEL_SCHEMA = (
 )
 
 
-def _grow(points: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
+def _draw(*names) -> int:
+    """32 bits from the names alone, so that any engine draws the same."""
+    return int(hashlib.md5("|".join(map(str, names)).encode()).hexdigest()[:8], 16)
+
+
+def _grow(points: np.ndarray, features: list[str], node: str, tree: int) -> dict[str, np.ndarray]:
     """One isolation tree in flat form, grown a level at a time.
 
-    A leaf has feature -1 and its path length in ``depth``.
+    A node is named by its path (1 for the root, 2p and 2p + 1 below p), and draws
+    by that name: of the features that vary, the one of highest draw, cut at a
+    drawn share of its range; values up to the cut go low.  A leaf has feature -1
+    and its path length in ``depth``.
     """
     n = len(points)
     limit = int(np.ceil(np.log2(max(n, 2))))
     feature, low, high = (np.full(2 * n + 1, -1, dtype="int32") for _ in range(3))
     split, depth = np.zeros(2 * n + 1), np.zeros(2 * n + 1)
-    used = 1
-    nodes = np.array([0])  # the nodes of this level
+    used, nodes, paths = 1, np.array([0]), [1]  # the nodes of this level and their names
     rows, place = np.arange(n), np.zeros(n, dtype=int)  # points still moving, and their node's position in ``nodes``
     for level in range(limit + 1):
         sizes = np.bincount(place, minlength=len(nodes))
@@ -240,47 +246,60 @@ def _grow(points: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]
         depth[nodes[~splits]] = level + average_path(sizes[~splits])
         if not splits.any():
             break
-        chosen = np.where(usable, rng.random(usable.shape), -1.0).argmax(axis=1)
-        each = np.arange(len(nodes))
-        a, b = least[each, chosen], most[each, chosen]
-        cut = np.maximum(a + rng.random(len(nodes)) * (b - a), np.nextafter(a, np.inf))
+        chosen, cut = np.zeros(len(nodes), dtype=int), np.zeros(len(nodes))
+        for k in np.flatnonzero(splits):
+            chosen[k] = max(np.flatnonzero(usable[k]), key=lambda j: (_draw(node, tree, paths[k], features[j]), -j))
+            a, b = least[k, chosen[k]], most[k, chosen[k]]
+            cut[k] = a + _draw(node, tree, paths[k], "cut") / 2**32 * (b - a)
+            cut[k] = cut[k] if cut[k] < b else a
         child = used + 2 * (np.cumsum(splits) - 1)
         inner = nodes[splits]
         feature[inner], split[inner] = chosen[splits], cut[splits]
         low[inner], high[inner] = child[splits], child[splits] + 1
         moving = splits[place]
         rows, place = rows[moving], place[moving]
-        below = points[rows, chosen[place]] < cut[place]
+        below = points[rows, chosen[place]] <= cut[place]
         first = 2 * (np.cumsum(splits) - 1)
-        nodes = used + np.arange(2 * len(inner))
+        nodes, paths = used + np.arange(2 * len(inner)), [2 * paths[k] + side for k in np.flatnonzero(splits) for side in (0, 1)]
         used += 2 * len(inner)
         place = first[place] + np.where(below, 0, 1)
     flat = {"feature": feature, "split": split, "low": low, "high": high, "depth": depth}
     return {name: values[:used] for name, values in flat.items()}
 
 
-def fit_forests(
-    rows: DataFrame, features: Sequence[str] = tuple(FEATURES), trees: int = TREES, sample: int = SAMPLE, seed: int = 42
-) -> DataFrame:
+#: Digits that features and scores are rounded to, so that sums in another order give the same trees and labels.
+DIGITS = 9
+
+
+def _moment() -> Column:
+    return F.unix_micros(F.col("timestamp").cast("timestamp")).cast("string")
+
+
+def _bits(digest: Column, place: int) -> Column:
+    return F.conv(F.substring(digest, place, 8), 16, 10).cast("bigint")
+
+
+def fit_forests(rows: DataFrame, features: Sequence[str] = tuple(FEATURES), trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """One isolation forest per node: a row per (node, tree).
 
     Each row offers itself to only as many trees as are needed for about four
     times the sample size per tree, so that even a node holding a third of all
-    rows sends a bounded number of rows to a tree.
+    rows sends a bounded number of rows to a tree.  Whatever is drawn comes from
+    digests of names, so the same rows give the same forest in any engine.
     """
     features = list(features)
     sizes = rows.groupBy("node_name").agg(F.count(F.lit(1)).alias("_n"))
-    draw = F.xxhash64("node_name", "timestamp", F.lit(seed))
     wanted = F.lit(4.0 * sample * trees)
     copies = F.least(F.lit(trees), F.ceil(wanted / F.col("_n"))).cast("int")
-    keep = wanted / (F.col("_n") * copies)
+    keep = wanted / (F.col("_n") * F.col("_copies"))
+    slim = rows.select("node_name", "timestamp", *[F.round(f, DIGITS).alias(f) for f in features])
     offered = (
-        scale.beside(rows.select("node_name", "timestamp", *features), sizes, ["node_name"])
-        .withColumn("_copies", copies)
-        .filter((keep >= 1) | (F.pmod(F.xxhash64(draw, F.lit("keep")), F.lit(1_000_000)) < keep * 1_000_000))
+        scale.beside(slim, sizes, ["node_name"])
+        .withColumns({"_copies": copies, "_digest": F.md5(F.concat_ws("|", "node_name", _moment(), F.lit("offer")))})
+        .filter((keep >= 1) | (_bits(F.col("_digest"), 1) < keep * 2.0**32))
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-        .withColumn("tree", F.pmod(draw + F.col("_j"), F.lit(trees)).cast("int"))
-        .withColumn("_order", F.xxhash64(draw, "tree"))
+        .withColumn("tree", ((_bits(F.col("_digest"), 9) + F.col("_j")) % trees).cast("int"))
+        .withColumn("_order", F.md5(F.concat_ws("|", "node_name", F.col("tree").cast("string"), _moment())))
     )
     offered = scale.workers(offered, "node_name", "tree")
     chosen = scale.top_k(offered, ["node_name", "tree"], [F.col("_order"), F.col("timestamp")], sample, "_rank")
@@ -288,8 +307,7 @@ def fit_forests(
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         node, tree = key
         points = pdf.sort_values("_rank")[features].to_numpy(dtype=float)
-        grown = _grow(points, np.random.default_rng([seed, int(tree), *node.encode()]))
-        return pd.DataFrame([{"node_name": node, "tree": tree, "sample": len(points), **grown}])
+        return pd.DataFrame([{"node_name": node, "tree": tree, "sample": len(points), **_grow(points, features, node, int(tree))}])
 
     columns = chosen.select("node_name", "tree", "_rank", *features)
     return columns.groupBy("node_name", "tree").applyInPandas(build, MODEL_SCHEMA)
@@ -308,7 +326,7 @@ def _paths(points: np.ndarray, model: pd.DataFrame) -> np.ndarray:
             inner = f >= 0
             if not inner.any():
                 break
-            goes_low = points[each, np.maximum(f, 0)] < split[at]
+            goes_low = points[each, np.maximum(f, 0)] <= split[at]
             at = np.where(inner, np.where(goes_low, low[at], high[at]), at)
         total += depth[at]
     return total / max(len(model), 1)
@@ -329,7 +347,7 @@ def forest_scores(rows: DataFrame, model: DataFrame, features: Sequence[str] = t
         F.ceil(F.count(F.lit(1)) / ROWS_PER_GROUP).cast("bigint").alias("_groups")
     )
     left = (
-        scale.beside(rows.select("node_name", "timestamp", *features), sizes, ["node_name"])
+        scale.beside(rows.select("node_name", "timestamp", *[F.round(f, DIGITS).alias(f) for f in features]), sizes, ["node_name"])
         .withColumn("_group", F.pmod(F.xxhash64("timestamp", *features), F.col("_groups")))
         .drop("_groups")
     )
@@ -340,7 +358,7 @@ def forest_scores(rows: DataFrame, model: DataFrame, features: Sequence[str] = t
             return pd.DataFrame({"node_name": [], "timestamp": [], "raw_score": []})
         points = part[features].to_numpy(dtype=float)
         norm = float(average_path(forest["sample"].max())) or 1.0
-        raw = -np.power(2.0, -_paths(points, forest.sort_values("tree")) / norm)
+        raw = np.round(-np.power(2.0, -_paths(points, forest.sort_values("tree")) / norm), DIGITS)
         return pd.DataFrame({"node_name": part["node_name"], "timestamp": part["timestamp"], "raw_score": raw})
 
     stamp = dict(rows.dtypes)["timestamp"]
@@ -371,7 +389,7 @@ def score_offsets(train_scores: DataFrame, contamination: float = 0.05) -> DataF
 
     weight = F.when(holds(low + 1), 1 - part).otherwise(0.0) + F.when(holds(low + 2), part).otherwise(0.0)
     return (
-        running.join(sizes, "node_name")
+        scale.beside(running, sizes, ["node_name"])
         .withColumn("_w", weight)
         .filter(F.col("_w") > 0)
         .groupBy("node_name")
@@ -381,8 +399,8 @@ def score_offsets(train_scores: DataFrame, contamination: float = 0.05) -> DataF
 
 def decisions(raw: DataFrame, offsets: DataFrame) -> DataFrame:
     """Anomaly score (negative is an outlier), label and confidence."""
-    score = F.col("raw_score") - F.col("offset")
-    return raw.join(offsets, "node_name").select(
+    score = F.round(F.col("raw_score") - F.col("offset"), DIGITS)
+    return scale.beside(raw, offsets, ["node_name"]).select(
         "node_name",
         "timestamp",
         score.alias("anomaly_score"),

@@ -260,7 +260,7 @@ def _(t: Tables):
 
 
 _STANDARD = ", ".join(
-    f'round((x."{f}" - s."m_{f}") / CASE WHEN s."d_{f}" > 0 THEN s."d_{f}" ELSE 1 END, 9) AS "{f}"' for f in FEATURES if f != "detectorEfficiency"
+    f'round((x."{f}" - "m_{f}") / CASE WHEN "d_{f}" > 1e-9 * greatest(1.0, abs("m_{f}")) THEN "d_{f}" ELSE 1 END, 9) AS "{f}"' for f in FEATURES
 )
 
 
@@ -268,9 +268,8 @@ _STANDARD = ", ".join(
 WITH {_MATRIX}, s AS (SELECT node_name, {", ".join(f'avg("{f}") AS "m_{f}", stddev_pop("{f}") AS "d_{f}"' for f in FEATURES)} FROM matrix GROUP BY 1)
 SELECT x.node_name, x.timestamp, {_STANDARD} FROM matrix x JOIN s ON s.node_name = x.node_name""")
 def _(t: Tables):
-    # the detector efficiency is constant in this data: its deviation is rounding noise only
     matrix = _matrix(t)
-    return rounded(anomaly.standardised(matrix, anomaly.scaling(matrix)).drop("detectorEfficiency"))
+    return rounded(anomaly.standardised(matrix, anomaly.scaling(matrix)))
 
 
 @query("d27_feature_ranges", views=_TELE, sql=f"""
@@ -418,29 +417,6 @@ def _(t: Tables):
     return rounded(anomaly.generated_alerts(t.node_metrics, t.link_metrics))
 
 
-_TOY_SCORED = """toy AS (SELECT node_name, timestamp, 0.15 - error_count / 10.0 AS anomaly_score FROM node_metrics)"""
-
-
-def _toy_scored(t: Tables) -> DataFrame:
-    return t.node_metrics.select("node_name", "timestamp", (F.lit(0.15) - F.col("error_count") / 10.0).alias("anomaly_score"))
-
-
-@query("d25_h13_anomaly_history", views="node_metrics", sql=f"""
-WITH {_TOY_SCORED}, a AS (SELECT node_name, count(*) AS total_points, count(*) FILTER (WHERE anomaly_score < 0) AS anomalies_detected,
- round(avg(anomaly_score), 9) AS score_mean, round(stddev_pop(anomaly_score), 9) AS score_std, round(min(anomaly_score), 9) AS score_min,
- round(max(anomaly_score), 9) AS score_max, round(count(*) FILTER (WHERE anomaly_score < 0) / count(*) * 100, 2) AS anomaly_rate FROM toy GROUP BY 1)
-SELECT *, CASE WHEN anomaly_rate > 10 THEN 'high' WHEN anomaly_rate < 5 THEN 'low' ELSE 'moderate' END AS verdict FROM a""")
-def _(t: Tables):
-    return rounded(anomaly.anomaly_history(_toy_scored(t)))
-
-
-@query("e9_first_anomalies", views="node_metrics", sql=f"""
-WITH {_TOY_SCORED} SELECT node_name, timestamp, round(anomaly_score, 9) AS anomaly_score, CAST(rank AS INTEGER) AS rank FROM
- (SELECT *, row_number() OVER (PARTITION BY node_name ORDER BY timestamp DESC) AS rank FROM toy WHERE anomaly_score < 0) WHERE rank <= 10""")
-def _(t: Tables):
-    return rounded(anomaly.first_anomalies(_toy_scored(t)))
-
-
 # -- models ------------------------------------------------------------------------
 
 
@@ -471,10 +447,52 @@ def _(t: Tables):
     return split.groupBy("node_name").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_train").alias("train_rows"))
 
 
-@query("i4_isolation_forests")
+def _bits_sql(text: str, place: int = 1) -> str:
+    return f"CAST(concat('0x', substr(md5({text}), {place}, 8)) AS BIGINT)"
+
+
+_EDGES = ", ".join(f"min(f[{k}]) OVER w AS a{k}, max(f[{k}]) OVER w AS b{k}" for k in range(1, len(FEATURES) + 1))
+_OPTIONS = ", ".join(
+    f"CASE WHEN b{k} > a{k} THEN struct_pack(d := {_bits_sql(f"concat(node_name, '|', tree, '|', path, '|{f}')")}, i := -{k}, a := a{k}, b := b{k}) END"
+    for k, f in enumerate(FEATURES, 1)
+)
+_LEAF = "(CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n END)"
+#: The same forests: every level is one pass over (node, tree, path), a walk one join per level.
+_FOREST = f"""{_MATRIX},
+parted AS (SELECT *, count(*) OVER (PARTITION BY node_name) < 100 OR {_bits_sql("concat(node_name, '|', CAST(epoch_us(timestamp) AS VARCHAR))")} % 10 < 8 AS is_train FROM matrix),
+span AS (SELECT node_name, count(*) AS n_train, {", ".join(f'avg("{f}") AS "m_{f}", stddev_pop("{f}") AS "d_{f}"' for f in FEATURES)} FROM parted WHERE is_train GROUP BY 1),
+std AS (SELECT p.node_name, p.timestamp, epoch_us(p.timestamp) AS us, is_train, n_train,
+ [{", ".join(f'round((p."{f}" - "m_{f}") / CASE WHEN "d_{f}" > 1e-9 * greatest(1.0, abs("m_{f}")) THEN "d_{f}" ELSE 1.0 END, 9)' for f in FEATURES)}] AS f FROM parted p JOIN span USING (node_name)),
+offer AS (SELECT *, least(100, CAST(ceil(102400.0 / n_train) AS BIGINT)) AS copies FROM std WHERE is_train),
+kept AS (SELECT *, unnest(range(copies)) AS j FROM offer WHERE 102400.0 / (n_train * copies) >= 1 OR {_bits_sql("concat(node_name, '|', us, '|offer')")} < 102400.0 / (n_train * copies) * 4294967296.0),
+dealt AS (SELECT node_name, us, f, ({_bits_sql("concat(node_name, '|', us, '|offer')", 9)} + j) % 100 AS tree FROM kept),
+chosen AS (SELECT *, count(*) OVER (PARTITION BY node_name, tree) AS sample FROM (SELECT * FROM dealt
+  QUALIFY row_number() OVER (PARTITION BY node_name, tree ORDER BY md5(concat(node_name, '|', tree, '|', us)), us) <= 256)),
+grow AS (SELECT node_name, tree, sample, CAST(ceil(log2(greatest(sample, 2))) AS BIGINT) AS top, CAST(0 AS BIGINT) AS level, CAST(1 AS BIGINT) AS path, f,
+  CAST(NULL AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS cut, CAST(NULL AS BIGINT) AS above FROM chosen
+ UNION ALL SELECT node_name, tree, sample, top, level + 1, CASE WHEN f[kk] <= c THEN 2 * path ELSE 2 * path + 1 END, f, kk, c, path FROM
+  (SELECT *, -best.i AS kk, CASE WHEN best.a + u * (best.b - best.a) < best.b THEN best.a + u * (best.b - best.a) ELSE best.a END AS c FROM
+   (SELECT *, list_aggregate(list_filter([{_OPTIONS}], lambda x: x IS NOT NULL), 'max') AS best, {_bits_sql("concat(node_name, '|', tree, '|', path, '|cut')")} / 4294967296.0 AS u FROM
+    (SELECT *, {_EDGES} FROM grow WHERE level < top WINDOW w AS (PARTITION BY node_name, tree, path))) WHERE best IS NOT NULL)),
+inner_node AS (SELECT DISTINCT node_name, tree, above AS path, k, cut FROM grow WHERE above IS NOT NULL),
+leaf AS (SELECT node_name, tree, sample, path, level + {_LEAF} AS depth FROM (SELECT node_name, tree, sample, path, level, count(*) AS n FROM grow GROUP BY ALL) g
+  WHERE NOT EXISTS (SELECT 1 FROM inner_node i WHERE i.node_name = g.node_name AND i.tree = g.tree AND i.path = g.path)),
+walk AS (SELECT node_name, timestamp, f, tree, CAST(1 AS BIGINT) AS path FROM {{rows}}, range(100) x(tree)
+ UNION ALL SELECT w.node_name, w.timestamp, w.f, w.tree, CASE WHEN w.f[i.k] <= i.cut THEN 2 * w.path ELSE 2 * w.path + 1 END
+  FROM walk w JOIN inner_node i ON i.node_name = w.node_name AND i.tree = w.tree AND i.path = w.path),
+raw_score AS (SELECT w.node_name, w.timestamp, round(-pow(2.0, -avg(l.depth) / max(norm)), 9) AS raw FROM walk w JOIN leaf l ON l.node_name = w.node_name AND l.tree = w.tree AND l.path = w.path
+  JOIN (SELECT node_name, CASE WHEN {_LEAF} > 0 THEN {_LEAF} ELSE 1.0 END AS norm FROM (SELECT node_name, max(sample) AS n FROM leaf GROUP BY 1)) nn ON nn.node_name = w.node_name GROUP BY w.node_name, w.timestamp)"""
+_DECIDED = _FOREST.replace("{rows}", "std") + """,
+bar AS (SELECT node_name, quantile_cont(raw, 0.05) AS bar FROM raw_score JOIN std USING (node_name, timestamp) WHERE is_train GROUP BY 1),
+decided AS (SELECT node_name, timestamp, is_train, round(raw - bar, 9) AS score FROM raw_score JOIN bar USING (node_name) JOIN std USING (node_name, timestamp))"""
+
+
+@query("i4_isolation_forests", views=_TELE, sql=f"""
+WITH RECURSIVE {_FOREST.replace("{rows}", "std")} SELECT node_name, CAST(tree AS INTEGER) AS tree, CAST(max(sample) AS INTEGER) AS sample,
+ CAST(2 * count(*) - 1 AS INTEGER) AS tree_nodes, round(max(depth), 6) AS longest FROM leaf GROUP BY 1, 2""")
 def _(t: Tables):
     _, _, model = _trained(t)
-    return model.select("node_name", "tree", "sample", F.size("feature").alias("tree_nodes"), F.array_max("depth").alias("longest"))
+    return model.select("node_name", "tree", "sample", F.size("feature").alias("tree_nodes"), F.round(F.array_max("depth"), 6).alias("longest"))
 
 
 @query("i4_forest_shape", views=_TELE, sql=f"""
@@ -491,12 +509,15 @@ def _(t: Tables):
     )
 
 
-@query("i5_i6_h10_holdout_report")
+@query("i5_i6_h10_holdout_report", views=_TELE, sql=f"""
+WITH RECURSIVE {_DECIDED} SELECT node_name, count(*) AS test_samples, count(*) FILTER (WHERE score < 0) AS outliers_detected, round(count(*) FILTER (WHERE score < 0) / count(*), 6) AS outlier_ratio,
+ round(avg(score), 6) AS avg_anomaly_score, round(min(score), 6) AS min_anomaly_score, round(max(score), 6) AS max_anomaly_score, round(stddev_pop(score), 6) AS std_anomaly_score
+FROM decided WHERE NOT is_train GROUP BY 1""")
 def _(t: Tables):
     scaled, _, model = _trained(t)
     offsets = _offsets(scaled, model)
     raw = anomaly.forest_scores(scaled.filter(~F.col("is_train")), model)
-    return anomaly.holdout_report(anomaly.decisions(raw, offsets))
+    return rounded(anomaly.holdout_report(anomaly.decisions(raw, offsets)), 6)
 
 
 @query("i7_fault_diagnosis")
@@ -509,3 +530,26 @@ def _(t: Tables):
     readings = now.join(judged.select("node_name", "anomaly_score"), "node_name")
     trends = telemetry.overall_trend(_trend(t))
     return anomaly.diagnose(readings, RULE_SETS["fault_default"], trends=trends)
+
+
+def _scored_history(t: Tables) -> DataFrame:
+    """Every row of the history with the score that its node's forest gives it."""
+    scaled, _, model = _trained(t)
+    raw = cut_lineage(anomaly.forest_scores(scaled, model).join(scaled.select("node_name", "timestamp", "is_train"), ["node_name", "timestamp"]))
+    return anomaly.decisions(raw.drop("is_train"), anomaly.score_offsets(raw.filter("is_train").drop("is_train")))
+
+
+@query("d25_h13_anomaly_history", views=_TELE, sql=f"""
+WITH RECURSIVE {_DECIDED}, a AS (SELECT node_name, count(*) AS total_points, count(*) FILTER (WHERE score < 0) AS anomalies_detected,
+ round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std, round(min(score), 6) AS score_min,
+ round(max(score), 6) AS score_max, round(count(*) FILTER (WHERE score < 0) / count(*) * 100, 2) AS anomaly_rate FROM decided GROUP BY 1)
+SELECT *, CASE WHEN anomaly_rate > 10 THEN 'high' WHEN anomaly_rate < 5 THEN 'low' ELSE 'moderate' END AS verdict FROM a""")
+def _(t: Tables):
+    return rounded(anomaly.anomaly_history(_scored_history(t)), 6)
+
+
+@query("e9_first_anomalies", views=_TELE, sql=f"""
+WITH RECURSIVE {_DECIDED} SELECT node_name, timestamp, round(score, 6) AS anomaly_score, CAST(rank AS INTEGER) AS rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY node_name ORDER BY timestamp DESC) AS rank FROM decided WHERE score < 0) WHERE rank <= 10""")
+def _(t: Tables):
+    return rounded(anomaly.first_anomalies(_scored_history(t)), 6).select("node_name", "timestamp", "anomaly_score", "rank")
