@@ -74,12 +74,11 @@ def find_alarms(
     sort: str | None = None,
     page_size: int = 20,
 ) -> DataFrame:
-    """All given filters together, sorted by last raise time (``-`` = newest first), first page."""
+    """All given filters together, sorted by last raise time (``-`` = newest first) or else by id, first page."""
     kept = filtered(rows, alarm_id, state, severity, device_name, device_type, ip_address, service_affecting, hours_ago, as_of)
-    if sort is not None:
-        last = F.col("last_raise_time")
-        kept = kept.orderBy(last.desc() if sort.startswith("-") else last.asc(), F.col("alarm_id"))
-    return kept.limit(page_size)
+    last = F.col("last_raise_time")
+    order = [] if sort is None else [last.desc() if sort.startswith("-") else last.asc()]
+    return kept.orderBy(*order, F.col("alarm_id")).limit(page_size)
 
 
 def filtered(

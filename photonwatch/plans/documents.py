@@ -201,7 +201,27 @@ def _(t: Tables):
     return pieces.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
-@query("k8_best_heading")
+def _heading_option(n: int, pattern: str, weight: float) -> str:
+    p = "(?i)" + pattern
+    words = ", ".join(f"regexp_extract(line, '{p}', {g})" for g in ((1, 2) if n < 2 else (1,)))
+    return (
+        f"CASE WHEN length(line) >= 3 AND regexp_matches(line, '{p}') THEN struct_pack(score := {weight}::DOUBLE * (1.0::DOUBLE - i * 0.1::DOUBLE), "
+        f"early := -i, first := -{n}, heading := trim(concat_ws(' ', {words}))) END"
+    )
+
+
+_HEADING_OPTIONS = ", ".join(_heading_option(n, p, w) for n, (p, w) in enumerate(text.HEADING_WEIGHTS))
+
+
+@query("k8_best_heading", views="chunks", sql=f"""
+WITH {_PAGES}, l AS (SELECT document, page, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\\r\\t]', ' ', 'g'))) AS ls FROM pages),
+top AS (SELECT document, page, k - 1 AS i, ls[k] AS line FROM (SELECT *, unnest(range(1, least({text.HEADING_LINES}, len(ls)) + 1)) AS k FROM l)),
+options AS (SELECT document, page, unnest([{_HEADING_OPTIONS}]) AS c FROM top),
+best AS (SELECT document, page, list_sort(list(c))[-1] AS c FROM options WHERE c IS NOT NULL GROUP BY 1, 2),
+titles AS (SELECT document, page, arg_min(line, i) AS title FROM top WHERE i < {text.TITLE_LINES} AND length(line) BETWEEN 10 AND 80 AND NOT ends_with(line, '.')
+  AND NOT starts_with(line, '•') AND NOT regexp_matches(line, '^\\d+\\s') AND regexp_matches(line, '\\p{{Lu}}') GROUP BY 1, 2)
+SELECT p.document, p.page, CASE WHEN b.c.score >= {text.WEAK_HEADING} THEN b.c.heading ELSE coalesce(t.title, b.c.heading, concat('Content from Page ', CAST(p.page AS VARCHAR))) END AS heading
+FROM pages p LEFT JOIN best b USING (document, page) LEFT JOIN titles t USING (document, page)""")
 def _(t: Tables):
     return text.best_heading(_manual_pages(t), key="document")
 

@@ -153,6 +153,22 @@ def _(t: Tables):
     return near.select("query_id", "id", F.round(vectors.similarity(), 6).alias("similarity"), "rank")
 
 
+@query("j5_recall_of_few_cells", views="questions", sql="""
+SELECT count(*) AS queries, true AS fewer_probes_than_cells, true AS recall_reached FROM questions q JOIN embeddings e ON e.vec_id = q.query_id""")
+def _(t: Tables):
+    # three of four cells, against all vectors: what of the ten nearest is found
+    celled, centres = _cells(t, _vectors(t))
+    asked = _asked(t).filter(F.col("embedding").isNotNull())
+    probe = max(1, len(centres) * 3 // 4)
+    found = vectors.nearest_in_cells(celled, centres, asked, 10, probe).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = vectors.nearest(_vectors(t), asked, 10).select("query_id", "id")
+    share = exact.join(found, ["query_id", "id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    reached = share.select((F.col("recall") >= 0.9).alias("recall_reached")).scalar()
+    return asked.agg(F.count(F.lit(1)).alias("queries")).select(
+        "queries", F.lit(probe < len(centres)).alias("fewer_probes_than_cells"), reached.alias("recall_reached")
+    )
+
+
 _COS = """list_sum(list_transform(list_zip(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), lambda z: z[1] * z[2]))
  / sqrt(list_sum(list_transform(CAST(v.embedding AS DOUBLE[]), lambda z: z * z)) * list_sum(list_transform(CAST(q.embedding AS DOUBLE[]), lambda z: z * z)))"""
 

@@ -73,10 +73,14 @@ def unchanged_skipped(incoming: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def save_models(models: DataFrame, path: str, trained_at, keys: Sequence[str] = ("node_name", "metric")) -> None:
-    """Model table with its training time, one folder per key: models of the given keys are replaced, others stay."""
-    dated = models.withColumn("trained_at", trained_at)
-    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """Model table with its training time, one folder per key: models of the given keys are replaced, others stay.
+
+    Folders are named by copies of the keys, so the keys themselves keep their types (a node ``0012`` stays text).
+    """
+    dated = models.withColumns({"trained_at": trained_at} | {f"_of_{k}": F.col(k) for k in keys})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*[f"_of_{k}" for k in keys]).parquet(path)
 
 
 def load_models(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    models = spark.read.parquet(path)
+    return models.drop(*[c for c in models.columns if c.startswith("_of_")])
