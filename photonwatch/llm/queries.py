@@ -216,12 +216,6 @@ def _(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op11_conversation_repair")
-def _(spark: SparkSession, folder: str) -> DataFrame:
-    conversations = table(spark, folder, "conversations")
-    return repair.repair(repair.damaged(conversations), conversations)[0]
-
-
 # CRC-32 of the digits of a number: the table of its 256 remainders, then one step per character
 _CRC = """
 tab AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(list_prepend(CAST(k AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]),
@@ -235,6 +229,46 @@ def _crc_sql(text: str) -> str:
     )
 
 
+# what insertions and edits do to the state: 0 nothing yet, 1 system, 2 user, 3 assistant
+_INSERTIONS = """(VALUES (0, 0, 0, '', []), (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 1, 0, '', []), (1, 2, 5, 'I', ['user:']),
+  (1, 3, 10, 'II', ['user:', 'assistant:']), (2, 2, 0, '', []), (2, 3, 5, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 5, 'I', ['user:']))"""
+
+
+@query(
+    "op11_conversation_repair",
+    sql=rf"""
+WITH RECURSIVE {_CRC},
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+crc AS (SELECT *, {_crc_sql("k")} % 20 AS kind FROM keyed, tab),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE kind <> 0),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+judged AS (SELECT *, substr(role, 1, 1) AS c, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+  bare <> '' AND right(bare, 1) NOT IN ('.', '!', '?') AS cut, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS c_before FROM ordered),
+ins AS (SELECT * FROM {_INSERTIONS} x(i, k, cost, audit, lines)),
+edits AS (SELECT * FROM (VALUES ('D', '', 0, 0, 2), ('D', '', 1, 1, 2), ('D', '', 2, 2, 2), ('D', '', 3, 3, 2), ('K', 's', 0, 1, 0), ('K', 'u', 0, 2, 0), ('K', 'u', 1, 2, 0), ('K', 'u', 3, 2, 0), ('K', 'a', 2, 3, 0),
+  ('R', 'user', 0, 2, 1), ('R', 'user', 1, 2, 1), ('R', 'user', 3, 2, 1), ('R', 'assistant', 2, 3, 1)) x(edit, c, k, st, cost)),
+walk AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, 0 AS st, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines FROM judged
+  UNION ALL SELECT conv_id, n, st, cost, audit, lines FROM (
+    SELECT r.conv_id, r.n, e.st, CAST(w.cost + ins.cost + e.cost + CASE WHEN r.cut AND e.edit <> 'D' THEN 5 ELSE 0 END AS BIGINT) AS cost, w.audit || ins.audit || e.edit AS audit,
+      list_concat(w.lines, ins.lines, CASE e.edit WHEN 'D' THEN [] WHEN 'K' THEN [r.role || ':' || r.text] ELSE [e.c || ':' || r.text] END) AS lines
+    FROM walk w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.n = w.n + 1 JOIN ins ON ins.i = w.st
+    JOIN edits e ON e.k = ins.k AND (e.edit = 'D' OR NOT (r.blank OR r.again) AND (e.edit = 'R' OR e.c = r.c)))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, st ORDER BY cost, audit) = 1),
+ends AS (SELECT w.conv_id, w.cost + ins.cost AS cost, w.audit || ins.audit AS audit, list_concat(w.lines, ins.lines) AS lines
+  FROM walk w JOIN (SELECT conv_id, max(n) AS n FROM judged GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n JOIN ins ON ins.i = w.st AND ins.k IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + ins.cost, w.audit || ins.audit) = 1),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+  count(*) FILTER (WHERE cut AND NOT again) AS truncated, count(*) FILTER (WHERE c_before IS NOT NULL AND c_before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY 1)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM i.conv_id""",
+)
+def _(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return repair.repair(repair.damaged(conversations), conversations)[0]
+
+
 @query(
     "op12_prefix_trie",
     sql=rf"""
