@@ -79,16 +79,10 @@ def search(
 
 def rerank(results: DataFrame, score: str, top: int = RERANKED) -> DataFrame:
     """Blend a given score into the best ``top`` results; the others keep their fused score."""
-    placed = results.filter(F.col("rank") <= top).select(
-        *[c for c in results.columns if c != "rank"],
-        F.round(0.8 * F.col(score) + 0.2 * F.col("rrf_score"), DIGITS).alias("final_score"),
-    )
-    others = results.filter(F.col("rank") > top).select(
-        *[c for c in results.columns if c != "rank"], F.col("rrf_score").alias("final_score")
-    )
-    return scale.top_k(
-        placed.unionByName(others), ["query_id"], [F.col("final_score").desc(), F.col("id")], 2**31 - 1
-    )
+    blended = F.round(0.8 * F.col(score) + 0.2 * F.col("rrf_score"), DIGITS)
+    final = F.when(F.col("rank") <= top, blended).otherwise(F.col("rrf_score"))
+    judged = results.withColumn("final_score", final).drop("rank")
+    return scale.top_k(judged, ["query_id"], [F.col("final_score").desc(), F.col("id")], 2**31 - 1)
 
 
 def is_procedure_question(query: str | Column) -> Column:
