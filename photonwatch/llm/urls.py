@@ -14,9 +14,6 @@ from photonwatch.llm.common import ascii_lower, stored
 # fixed values: words that mark a host or path as unwanted; pages with one are the examples that naive Bayes learns from
 SEED_WORDS = ("adult", "ads", "bet", "bets", "casino", "gambling", "loans", "lottery", "pills", "poker", "porn", "spam", "viagra", "xxx")
 
-#: Longest word that a host name is split into.
-LONGEST_WORD = 20
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,13 +48,13 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 
 
 def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """word and n over the visible text of ``column``: tags, scripts and styles are left out."""
+    """word and n over the visible text of ``column``: runs of letters of any script and length; tags, scripts and styles are left out."""
     visible = F.regexp_replace(F.coalesce(F.col(column).cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
-    words = texts.select(F.explode(F.split(F.lower(visible), "[^a-z]+")).alias("word")).filter("word != ''")
-    return words.filter(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = texts.select(F.explode(F.split(F.lower(visible), r"[^\p{L}]+")).alias("word")).filter("word != ''")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _viterbi(total: float):
+def _viterbi(total: float, longest: int):
     """The likeliest split of each label into known words; an unknown one costs ten times more per letter."""
 
     @F.pandas_udf("array<string>")
@@ -68,7 +65,7 @@ def _viterbi(total: float):
             best: list[tuple[float, int]] = [(0.0, 0)]
             for end in range(1, len(name) + 1):
                 options = []
-                for start in range(max(0, end - LONGEST_WORD), end):
+                for start in range(max(0, end - longest), end):
                     n = count.get(name[start:end])
                     score = math.log(n / total) if n else math.log(10 / total) - (end - start) * math.log(10)
                     options.append((best[start][0] + score, start))
@@ -88,21 +85,22 @@ def split_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """host and ``words`` of every distinct host: each part between dots is split by unigram probabilities.
 
     Only the counts of substrings that occur in hosts are brought to them, so the
-    word list may be of any size.
+    word list may be of any size; no substring is longer than its longest word.
     """
     distinct = hosts.select("host").distinct()
     labels = distinct.select("host", F.posexplode(F.split("host", r"[^\p{L}\p{N}]+")).alias("at", "label")).filter("label != ''")
     names = labels.select("label").distinct()
-    total = float(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] or 1)
+    known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max(F.length("word")), F.lit(1)).alias("longest")).first()
+    total, longest = float(known["n"] or 1), known["longest"]
     starts = F.sequence(F.lit(1), F.length("label"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("label") - F.col("start") + 1))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("label") - F.col("start") + 1))
     cut = (
         names.select("label", F.explode(starts).alias("start"))
         .select("label", F.explode(F.transform(lengths, lambda k: F.substring("label", F.col("start"), k))).alias("word"))
         .distinct()
     )
     known = cut.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    split = names.join(known, "label", "left").select("label", _viterbi(total)("label", "known").alias("words"))
+    split = names.join(known, "label", "left").select("label", _viterbi(total, longest)("label", "known").alias("words"))
     joined = labels.join(split, "label").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("w"))
     return joined.select("host", F.flatten("w.words").alias("words"))
 

@@ -109,6 +109,52 @@ def test_urls(spark):
     assert urls.classify(pages.limit(0), counts.limit(0), RULES).count() == 0
 
 
+def test_url_words_and_score_against_plain_counts(spark):
+    """Every split of a label tried, and naive Bayes from plain counters."""
+    rng = random.Random(12)
+    texts = ["der überraschungsgast und die donaudampfschifffahrtsgesellschaft", "the cat sat", "été à la plage", "cats and casino"] * 3
+    counts = urls.word_counts(spark.createDataFrame([(f"<p>{t}</p><script>no words</script>",) for t in texts], "html string"), "html")
+    plain = Counter(w for t in texts for w in t.split())
+    assert {r.word: r.n for r in counts.collect()} == plain
+    known = Counter(plain)
+    total = sum(plain.values())
+    for w in urls.SEED_WORDS:
+        known[w] = max(known[w], 1, total // 10_000)
+    total = sum(known.values())
+
+    def split(label):
+        best = None
+        for cuts in range(2 ** (len(label) - 1)):
+            words, at = [], 0
+            for k in range(1, len(label) + 1):
+                if k == len(label) or cuts >> (k - 1) & 1:
+                    words.append(label[at:k])
+                    at = k
+            score = sum(math.log(known[w] / total) if known[w] else math.log(10 / total) - len(w) * math.log(10) for w in words)
+            if best is None or score > best[0] + 1e-12:
+                best = (score, words)
+        return best[1]
+
+    labels = ["thecat", "catsat", "pokercats", "überraschungsgast"[:9], "zzcat", "plageété", "undcasino"]
+    rows = [(k, f"http://{rng.choice(labels)}.{rng.choice(['de', 'la'])}/{rng.choice(['sat', 'x1', 'été/9', ''])}") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r.page_id: r.score for r in urls.classify(pages, counts, []).collect()}
+    listed = {}
+    for k, u in rows:
+        host, path = u[7:].split("/", 1)
+        tokens = [f"host {w}" for part in host.split(".") for w in split(part)]
+        tokens += [f"path {w}" for w in re.split(r"[^\w]+", re.sub("[0-9]+", " 0 ", path.lower())) if w]
+        listed[k] = tokens, any(t.split(" ")[1] in urls.SEED_WORDS for t in tokens)
+    block, allow = Counter(), Counter()
+    for tokens, bad in listed.values():
+        (block if bad else allow).update(tokens)
+    size, n_bad = len(set(block) | set(allow)), sum(bad for _, bad in listed.values())
+    prior = math.log((n_bad + 1) / (len(rows) - n_bad + 2))
+    for k, (tokens, _) in listed.items():
+        odds = sum(math.log((block[t] + 1) / (sum(block.values()) + size + 1)) - math.log((allow[t] + 1) / (sum(allow.values()) + size + 1)) for t in tokens)
+        assert got[k] == pytest.approx(prior + odds, abs=1e-8), rows[k]
+
+
 def test_licences(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/c/file", "plain text\n\nmore of it"), ("a/b/LICENSE", "Licensed under CC BY-NC 4.0.\nsome more words"),
