@@ -49,7 +49,7 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
 
     Rows of equal (doc_id, text) are one document, ``copies`` of them.  Words count
     from 1.  One pass: every document's words are exploded and met with the
-    anchors; the empty string before its first word meets an empty anchor and
+    anchors, each with no more of its text than a window can reach; the empty string before its first word meets an empty anchor and
     brings along documents without hits.
     """
     windows = item_windows(items, width)
@@ -58,14 +58,21 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
         F.lit(None).cast("array<string>").alias("items"),
     )
     anchors = windows.select("anchor", "at", "window", "items").unionByName(sentinel)
-    if windows.count() <= BROADCAST_WINDOWS:
-        anchors = F.broadcast(anchors)
+    few = windows.count() <= BROADCAST_WINDOWS
     text = text_or_empty()
     words = docs.select("doc_id", *[F.xxhash64(F.lit(k), text).alias(f"_h{k}") for k in (1, 2)], padded_words(text).alias("words"))
-    placed = words.select("doc_id", "_h1", "_h2", "words", F.posexplode("words").alias("pos", "word"))
-    met = placed.join(anchors, placed["word"] == anchors["anchor"])
+    keys = ["doc_id", "_h1", "_h2", "n_words", "pos", "word"]
+    placed = words.select("doc_id", "_h1", "_h2", _word_count(F.col("words")).alias("n_words"), "words", F.posexplode("words").alias("pos", "word"))
+    # what a window around a word can reach: bounded, where the whole text would make a shuffled row grow with it
+    begin = F.greatest(F.col("pos") + 2 - width, F.lit(1))
+    near = F.slice("words", begin, 2 * width - 1)
+    if few:
+        met = placed.join(F.broadcast(anchors), placed["word"] == anchors["anchor"]).withColumn("near", near)
+    else:
+        placed = placed.select(*keys, near.alias("near"))
+        met = placed.join(anchors, placed["word"] == anchors["anchor"])
     first = F.col("pos") - F.col("at") + 1
-    here = F.slice("words", F.greatest(first, F.lit(0)) + 1, F.size("window")) == F.col("window")
+    here = F.slice("near", F.greatest(first + 2 - begin, F.lit(1)), F.size("window")) == F.col("window")
     opening = (F.col("word") == "") & (F.col("pos") == 0)
     met = met.filter(opening | ((F.col("word") != "") & (first > 0) & here))
     hit = F.when(
@@ -73,7 +80,7 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
         F.struct(first.alias("first"), (first + F.size("window") - 1).alias("last"), F.col("items")),
     )
     return (
-        met.select("doc_id", "_h1", "_h2", opening.alias("opening"), F.when(opening, _word_count(F.col("words"))).alias("n_words"), hit.alias("hit"))
+        met.select("doc_id", "_h1", "_h2", opening.alias("opening"), F.when(opening, F.col("n_words")).alias("n_words"), hit.alias("hit"))
         .groupBy("doc_id", "_h1", "_h2")
         .agg(
             F.count_if("opening").alias("copies"),

@@ -200,7 +200,9 @@ def _brute_hits(text, items):
     return len(own), len(hit), sorted(names)
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_decontamination(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     rng = random.Random(3)
     words = [a + b for a in "tha on re la ou vi".split() for b in "a e i o u ne st".split()]
     items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([30, 13, 5, 1, 20, 14])]
