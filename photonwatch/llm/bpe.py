@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.llm.common import spread_count, text_or_empty
+from photonwatch.llm.common import modest_batches, spread_count, text_or_empty
 
 # fixed values: how the vocabulary's published tokenizer cuts texts into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -230,6 +230,7 @@ def encode(docs: DataFrame, path: str, with_text: bool = True) -> DataFrame:
     they are; only doc_id and text are looked at.  A single text is handled
     whole, however long.
     """
+    modest_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     # ids travel as text, so that pandas keeps null and large ones as they are
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("text"))

@@ -37,6 +37,12 @@ def spread_count(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of a few MB, so that a worker never holds ten thousand long texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from photonwatch.llm.common import stored, text_or_empty
+from photonwatch.llm.common import modest_batches, stored, text_or_empty
 
 #: A unit ends after line ends and sentence ends; units side by side make up the whole text.
 UNITS = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
@@ -70,6 +70,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORD
     empty; equal rows of one doc_id are one document and are treated alike.
     Columns ``removed`` and ``kept`` of the input are replaced.
     """
+    modest_batches(docs.sparkSession)
     columns = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "removed", "kept")]
     found = repeated_units(docs, min_words).filter(F.aggregate("drop", F.lit(0), lambda s, u: s + u["n_words"]) > run_words)
     found = found.select(F.col("doc_id").alias("_pw_id"), F.col("_h").alias("_pw_h"), F.col("drop").alias("_pw_drop"))

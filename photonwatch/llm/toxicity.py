@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photonwatch.llm.common import id_crc32, mix64, text_or_empty, unit_interval, word_hashes
+from photonwatch.llm.common import id_crc32, mix64, modest_batches, text_or_empty, unit_interval, word_hashes
 
 #: Log2 of the number of coordinates: bounds the model whatever the corpus.
 BITS = 20
@@ -120,6 +120,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     Null and empty texts have no features and get the model's prior; very long
     ones are scored whole; equal texts score alike.
     """
+    modest_batches(docs.sparkSession)
     scored = docs.withColumn("score", scorer(model)(text_or_empty()))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
