@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photonwatch.llm.common import mix64, released, shingle_hashes, stored, text_or_empty, word_hashes
+from photonwatch.llm.common import mix64, modest_batches, released, shingle_hashes, stored, text_or_empty, word_hashes
 from photonwatch.llm.components import components
 
 #: A segment that more sets than this share is worth skipping.
@@ -21,7 +21,9 @@ CROWDED = 30
 #: Bits of the sketch by which far pairs are told apart before their sets are fetched.
 SKETCH_LONGS = 64
 #: The same where many rows carry it.
-FOLDED_LONGS = 4
+FOLDED_LONGS = 8
+#: Buckets of a set, about, that go along to tell in which of several common buckets a pair counts.
+MARKS = 16
 #: Sizes grow by this factor from band to band.
 BAND = 1.5
 #: Low bits of a bucket: the band, and whether its segment has one-deletion neighbours.
@@ -220,6 +222,27 @@ def _folded(longs: int) -> Column:
     return F.struct(*parts)
 
 
+def _marked(bucket: Column, level: Column) -> Column:
+    """One bucket in 2 ** level is marked, by bits that are the same in all sets; a higher level marks some of those of a lower one."""
+    return F.shiftright(bucket, _BAND_BITS + 1).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1) == 0
+
+
+def _marks(buckets: DataFrame) -> DataFrame:
+    """Of every id a level, and its own buckets marked at that level: about ``MARKS`` of them, all if it has fewer."""
+    own = F.collect_set(F.when(~F.col("deleted"), F.col("bucket")))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size("own"), F.lit(1)) / MARKS)).cast("int"))
+    levels = buckets.groupBy("id").agg(own.alias("own")).withColumn("level", level)
+    return levels.select("id", "level", F.filter("own", lambda b: _marked(b, F.col("level"))).alias("marks"))
+
+
+def _met_once() -> Column:
+    """Similar sets share many buckets: a pair counts in the least of its common marked ones, and in every bucket only if it has none."""
+    level = F.greatest("x.level", "y.level")
+    common = F.array_intersect(*[F.filter(f"{s}.marks", lambda b: _marked(b, level)) for s in "xy"])
+    whole = ~F.col("x.deleted") & ~F.col("y.deleted") & _marked(F.col("x.bucket"), level)
+    return F.when(whole, F.col("x.bucket") == F.array_min(common)).otherwise(F.size(common) == 0)
+
+
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) whose components differ."""
     a, b = (found.select(F.col("id").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
@@ -233,6 +256,7 @@ BROADCAST_SETS = 200_000
 
 class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
+        modest_batches(docs.sparkSession)
         self.docs, self.width, self.percent = docs.select("doc_id", text_or_empty().alias("text")), width, percent
         hashed = self.docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
         kind = docs.schema["doc_id"].dataType.simpleString()
@@ -302,13 +326,9 @@ class _Join:
         label = label.select("bucket", "id", "deleted", "n", "sketch", F.coalesce("component", "id").alias("component"))
         apart = Window.partitionBy("bucket")
         mixed = stored(label.withColumns({"_low": F.min("component").over(apart), "_high": F.max("component").over(apart)}).filter("_low != _high"))
-        # similar sets share many buckets: each pair is met in the first of them alone
-        lists = [F.array_sort(F.collect_set(F.when(c, F.col("bucket")))).alias(n) for c, n in ((~F.col("deleted"), "own"), (F.col("deleted"), "less"))]
-        listed = mixed.join(mixed.groupBy("id").agg(*lists), "id")
         both = F.expr("x.bucket = y.bucket and x.id > y.id and x.component != y.component and not (x.deleted and y.deleted)")
-        common = [F.array_min(F.array_intersect(f"x.{a}", f"y.{b}")) for a, b in (("own", "own"), ("own", "less"), ("less", "own"))]
-        once = F.col("x.bucket") == F.least(*common)
-        met = listed.alias("x").join(listed.alias("y"), both & _may_link(self.percent, FOLDED_LONGS) & once)
+        listed = mixed.join(_marks(mixed), "id")
+        met = listed.alias("x").join(listed.alias("y"), both & _may_link(self.percent, FOLDED_LONGS) & _met_once())
         second = stored(self.verified(self.likely(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))))
         edges = first.union(second)
         if second.isEmpty():
