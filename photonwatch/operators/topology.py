@@ -117,7 +117,8 @@ def path_hops(steps: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """
     key, order = ["session_id"], ["step_order"]
     if starts is not None:  # before the paths are spread, so that this is their only other shuffle
-        steps = scale.beside(steps, starts.withColumnRenamed("start_node", "_start"), key)
+        # one row per session is no short table: it must not be broadcast by way of the driver
+        steps = scale.beside(steps, starts.withColumnRenamed("start_node", "_start").hint("merge"), key)
     rows = scale.spread(steps.withColumn("_bucket", F.floor(F.col("step_order") / _STEP_BUCKET)), key, "_bucket")
     rows = scale.split_lag(rows, key, "_bucket", order, {"source_node": "_ps", "destination_node": "_pd"})
     s, d = F.col("source_node"), F.col("destination_node")
@@ -156,7 +157,8 @@ def path_hops(steps: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     )
     ends = ends.withColumn("_out", F.col("_known.far") != ((F.col("_sum") - F.col("_known.at")) % 2 == 1))
     ends = ends.select("session_id", "_bucket", F.lag("_out").over(chain).alias("_in"))
-    rows = rows.join(ends, ["session_id", "_bucket"])
+    # most sessions have one bucket: only buckets that others come before are joined
+    rows = rows.join(ends.filter(F.col("_in").isNotNull()), ["session_id", "_bucket"], "left")
 
     since = F.col("_flips") - F.coalesce(F.col("_fix.at"), F.lit(0))
     at_far = F.coalesce(F.col("_fix.far"), F.col("_in")) != (since % 2 == 1)

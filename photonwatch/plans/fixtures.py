@@ -120,7 +120,8 @@ class Tables:
             [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")],
             "step",
         )
-        orders = self.raw("orders").select("o_orderkey", (F.col("o_custkey") % n).alias("base"))
+        # one row per order grows with the data: judged by its packed file it would be broadcast by way of the driver
+        orders = self.raw("orders").select("o_orderkey", (F.col("o_custkey") % n).alias("base")).hint("merge")
         step, base = F.col("step"), F.col("base")
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
             F.col("l_orderkey").alias("session_id"),

@@ -61,26 +61,30 @@ def _bucket_window(keys: Sequence[str], bucket: str, frame: tuple[int, int]):
     return Window.partitionBy(*keys).orderBy(bucket).rowsBetween(*frame)
 
 
+def _with_carried(df: DataFrame, summary: DataFrame, keys: Sequence[str], bucket: str, carried: str) -> DataFrame:
+    """Rows with what earlier buckets hand on, null if there is nothing.
+
+    Most keys have one bucket, so only buckets that get something are joined: a
+    summary of every key would be broadcast by way of the driver, or shuffle the rows.
+    """
+    return df.dropna(subset=[*keys, bucket]).join(summary.filter(F.col(carried).isNotNull()), [*keys, bucket], "left")
+
+
 def split_row_number(
     df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], out: str, total: str | None = None
 ) -> DataFrame:
     """``row_number`` per key, and with ``total`` also the size of the key."""
     keys = list(keys)
     sizes = df.groupBy(*keys, bucket).agg(F.count(F.lit(1)).alias("_size"))
-    columns = [
-        *keys,
-        bucket,
-        F.coalesce(F.sum("_size").over(_bucket_window(keys, bucket, _BEFORE)), F.lit(0)).alias("_before"),
-    ]
-    if total:
-        columns.append(F.sum("_size").over(Window.partitionBy(*keys)).alias(total))
+    before = F.sum("_size").over(_bucket_window(keys, bucket, _BEFORE)).alias("_before")
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    return (
-        df.withColumn("_inside", F.row_number().over(inside))
-        .join(sizes.select(*columns), [*keys, bucket])
-        .withColumn(out, F.col("_inside") + F.col("_before"))
-        .drop("_inside", "_before")
-    )
+    rows = df.withColumn("_inside", F.row_number().over(inside))
+    if total:
+        size = F.sum("_size").over(Window.partitionBy(*keys)).alias(total)
+        rows = rows.join(sizes.select(*keys, bucket, before, size), [*keys, bucket])
+    else:
+        rows = _with_carried(rows, sizes.select(*keys, bucket, before), keys, bucket, "_before")
+    return rows.withColumn(out, F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_inside", "_before")
 
 
 def split_running_sum(
@@ -123,7 +127,7 @@ def split_lag(
         *keys, bucket, F.lag("_last").over(Window.partitionBy(*keys).orderBy(bucket)).alias("_carried")
     )
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    out = df.withColumn("_prev", F.lag(F.struct(*sources)).over(inside)).join(carried, [*keys, bucket])
+    out = _with_carried(df.withColumn("_prev", F.lag(F.struct(*sources)).over(inside)), carried, keys, bucket, "_carried")
     prev = F.coalesce(F.col("_prev"), F.col("_carried"))
     return out.withColumns({new: prev[old] for old, new in values.items()}).drop("_prev", "_carried")
 

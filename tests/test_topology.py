@@ -1,9 +1,14 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from photonwatch import scale
 from photonwatch.functions import scores
 from photonwatch.operators import topology
+from photonwatch.plans.fixtures import Tables
+from photonwatch.session import prepare
 
 
 def walked(start, links):
@@ -54,3 +59,30 @@ def test_new_links_guard(spark):
     asked = [(1, "a", "a"), (2, "b", "a"), (3, "a", "x"), (4, "c", "a"), (5, "b", "c")]
     got = topology.new_links(spark.createDataFrame(asked, "request_id long, source string, destination string"), nodes, links)
     assert sorted((r.request_id, r.link_type) for r in got.collect()) == [(4, "Classical"), (5, "Classical")]
+
+
+def test_paths_broadcast_no_row_per_session(spark, tmp_path):
+    """Small in their packed file, the tables of one row per session would be sent to every task by way of the driver."""
+    orders = spark.range(3000).selectExpr("id AS o_orderkey", "id % 50 AS o_custkey", "'O' AS o_orderstatus", "current_date() AS o_orderdate")
+    lines = spark.range(6000).selectExpr("id % 3000 AS l_orderkey", "id div 3000 AS l_linenumber", "id AS l_partkey", "id % 40 AS l_suppkey")
+    suppliers = spark.range(40).selectExpr("id AS s_suppkey")
+    for name, df in (("orders", orders), ("lineitem", lines), ("supplier", suppliers)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    t = Tables(prepare(spark), str(tmp_path))
+    starts = t.sessions.selectExpr("id AS session_id", "source_node AS start_node")
+    hops = topology.path_hops(topology.session_steps(t.session_path, t.links), starts)
+    hops.collect()
+    plan = hops._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    broadcast = re.findall(r"BroadcastExchange[^\n]*\n[^\n]*", plan)
+    assert not [b for b in broadcast if "o_orderkey" in b or "session_id" in b], broadcast
+
+
+def test_only_buckets_that_get_something_are_joined(spark):
+    rows = [(k, n // 4, n) for k, size in ((1, 10), (2, 3), (None, 2)) for n in range(size)]
+    df = spark.createDataFrame(rows, "k long, b long, n long")
+    numbered = scale.split_row_number(df, ["k"], "b", [F.col("n")], "r").collect()
+    assert sorted((r.k, r.n, r.r) for r in numbered) == sorted((k, n, n + 1) for k, _, n in rows if k is not None)
+    lagged = scale.split_lag(df, ["k"], "b", ["n"], {"n": "before"}).collect()
+    assert sorted((r.k, r.n, r.before or 0) for r in lagged) == sorted((k, n, max(0, n - 1)) for k, _, n in rows if k is not None)
+    carried = scale._with_carried(df, df.groupBy("k", "b").agg(F.lit(None).cast("long").alias("c")), ["k"], "b", "c")
+    assert carried.filter("c IS NOT NULL").count() == 0 and carried.count() == 13
