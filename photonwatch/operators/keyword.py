@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photonwatch import scale
 from photonwatch.session import cut_lineage
+from photonwatch.sources.sinks import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values: Okapi defaults
 SCORE_DIGITS = 9
@@ -38,67 +43,125 @@ def tokens(text: str | Column) -> Column:
 class Index(NamedTuple):
     """Keyword index as tables."""
 
-    blocks: DataFrame  # token, block (from 0, the highest impacts first), ids, impacts
+    blocks: DataFrame  # token, block (from 0, the highest impacts first; numbers may be left out), ids, impacts
     forward: DataFrame  # id, impacts (map by token)
-    terms: DataFrame  # token, df, idf, blocks, steps (first block and highest impact of each level)
+    terms: DataFrame  # token, df, idf, blocks, steps (first block and highest impact from there on)
     totals: DataFrame  # chunks, avg_length
 
 
-#: Postings of a block, about.
-BLOCK = 128
-#: Impacts are told apart in so many levels; blocks of a level are not ordered among themselves.
-LEVELS = 64
-
+#: Postings of a block, and of a part of a word that one task orders, about.
+BLOCK, PART = 128, 16_384
+#: Postings that a task sorts by word before they are shuffled, about.
+LISTED = 1_000_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's distinct words and how often it has them."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        words = lists.flatten().dictionary_encode()
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        rows, size = np.repeat(np.arange(len(lists)), lengths), max(1, len(words.dictionary))
+        found, counts = np.unique(rows * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        offsets = pa.array(np.searchsorted(found, np.arange(len(lists) + 1) * size), pa.int32())
+        tokens = pa.ListArray.from_arrays(offsets, words.dictionary.take(pa.array(found % size)))
+        tfs = pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), lists.value_lengths(), tokens, tfs], ["id", "length", "tokens", "tfs"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of many chunks as one list per word."""
+
+    def lists(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        tokens, impacts = (table.column(c).combine_chunks() for c in ("tokens", "impacts"))
+        words = tokens.flatten().dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        order = pa.array(np.argsort(codes, kind="stable"))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(words.dictionary)))]), pa.int32())
+        ids = table.column("id").combine_chunks().take(pc.list_parent_indices(tokens)).take(order)
+        columns = [words.dictionary, pa.ListArray.from_arrays(offsets, ids), pa.ListArray.from_arrays(offsets, impacts.flatten().take(order))]
+        return pa.RecordBatch.from_arrays(columns, ["token", "ids", "impacts"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("tokens").flatten())
+        if size >= LISTED:
+            yield lists(held)
+            held, size = [], 0
+    if size:
+        yield lists(held)
+
+
+def _impact_blocks(chunks: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of postings by falling impact, and per token its number of blocks and what later blocks may hold.
+
+    ``chunks``: id, tokens, impacts.  Tasks send one list per word.  A common word
+    is dealt to parts of about ``PART`` postings, so no task orders it whole; the
+    n-th blocks of all parts stand side by side.
+    """
+    kind = chunks.schema["id"].dataType.simpleString()
+    lists = chunks.mapInArrow(_listed, f"token string, ids array<{kind}>, impacts array<double>")
+    common = stored(terms.filter(F.col("df") > PART).select("token", F.ceil(F.col("df") / PART).cast("int").alias("parts")), "common-words")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = lists.join(common, "token", "left").select("token", parts.alias("parts"), F.pmod(F.xxhash64("ids"), parts).cast("int").alias("part"), "ids", "impacts")
+    whole = dealt.groupBy("token", "parts", "part").agg(F.flatten(F.collect_list("impacts")).alias("impacts"), F.flatten(F.collect_list("ids")).alias("ids"))
+    # the generator keeps the optimiser from sorting once per use of the rows
+    rows = whole.select("token", "parts", "part", F.explode(F.array(F.sort_array(F.arrays_zip("impacts", "ids"), False))).alias("rows"))
+    places = F.sequence(F.lit(0), F.ceil(F.size("rows") / BLOCK).cast("int") - 1)
+    cut = rows.select("token", "parts", "part", F.posexplode(F.transform(places, lambda n: F.slice("rows", n * BLOCK + 1, BLOCK))).alias("n", "rows"))
+    blocks = stored(
+        cut.select("token", (F.col("n") * F.col("parts") + F.col("part")).alias("block"), F.col("rows.ids").alias("ids"), F.col("rows.impacts").alias("impacts")),
+        "blocks",
+    )
+    first = F.when(F.col("block") > 0, F.expr("shiftleft(1, CAST(floor(log2(block)) AS INT))")).otherwise(0).alias("first")
+    tops = blocks.groupBy("token", first).agg(F.max("block").alias("last"), F.max(F.col("impacts")[0]).alias("top"))
+    steps = F.array_sort(F.collect_list(F.struct("first", "top"))).alias("steps")
+    seen = tops.groupBy("token").agg((F.max("last") + 1).alias("blocks"), steps)
 
-def _impact_blocks(postings: DataFrame, k1: float) -> tuple[DataFrame, DataFrame]:
-    """Blocks of postings by falling impact, and per token its number of blocks and the levels' first blocks.
+    def onward(s: Column) -> Column:
+        later = F.filter("steps", lambda x: x["first"] >= s["first"])
+        return F.struct(s["first"].alias("first"), F.array_max(F.transform(later, lambda x: x["top"])).alias("top"))
 
-    Postings of a token and level are dealt to blocks by a hash of their id, so no
-    window has to order the postings of a common word; what is ordered are levels.
-    """
-    level = F.floor(F.col("impact") * (LEVELS / (k1 + 1))).cast("int").alias("level")
-    leveled = postings.select("*", level)
-    sizes = leveled.groupBy("token", "level").agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("top"))
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    higher = Window.partitionBy("token").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut_lineage(sizes.select("token", "level", "top", parts.alias("parts"), F.coalesce(F.sum(parts).over(higher), F.lit(0)).cast("int").alias("first")))
-    block = F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = scale.beside(leveled, placed.drop("top"), ["token", "level"]).select("token", block.alias("block"), "id", "impact")
-    listed = dealt.groupBy("token", "block").agg(F.collect_list(F.struct("id", "impact")).alias("rows"))
-    blocks = listed.select("token", "block", F.col("rows.id").alias("ids"), F.col("rows.impact").alias("impacts"))
-    steps = F.array_sort(F.collect_list(F.struct("first", "top")))
-    return blocks, placed.groupBy("token").agg(F.sum("parts").cast("int").alias("blocks"), steps.alias("steps"))
+    return blocks, seen.select("token", "blocks", F.transform("steps", onward).alias("steps"))
 
 
 def build_index(chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Index:
     """Index tables of ``chunks`` (id, content), each written once and then read.
 
-    The impact of a posting is its BM25 term weight without the idf, so that a
-    score is a plain weighted sum.
+    Words are counted where their chunk is read; rows of one id and length count
+    as one chunk.  The impact of a posting is its BM25 term weight without the
+    idf, so that a score is a plain weighted sum.
     """
-    # the generator keeps the optimiser from splitting the text once per use of the list
-    words = chunks.select("id", F.explode(F.array(tokens("content"))).alias("tokens"))
-    counted = (
-        words.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-        .groupBy("token", "id", "length")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    kind = chunks.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, length int, tokens array<string>, tfs array<bigint>"
+    read = stored(chunks.select("id", tokens("content").alias("tokens")).mapInArrow(_counted, schema), "chunk-words")
+    totals = cut_lineage(read.agg(F.count(F.lit(1)).alias("chunks"), (F.coalesce(F.sum("length"), F.lit(0)) / F.count(F.lit(1))).alias("avg_length")))
+    worded = read.filter("length > 0")
+    again = stored(worded.groupBy("id", "length").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n").toDF("_id", "_length"), "repeated-chunks")
+    repeats = F.col("id").eqNullSafe(F.col("_id")) & (F.col("length") == F.col("_length"))
+    merged = (
+        worded.join(again, repeats, "left_semi")
+        .select("id", "length", F.explode(F.arrays_zip("tokens", "tfs")).alias("w"))
+        .groupBy("id", "length", F.col("w.tokens").alias("token"))
+        .agg(F.sum("w.tfs").alias("tf"))
+        .groupBy("id", "length")
+        .agg(F.array_sort(F.collect_list(F.struct("token", "tf"))).alias("rows"))
+        .select("id", "length", F.col("rows.token").alias("tokens"), F.col("rows.tf").alias("tfs"))
     )
-    counted = cut_lineage(counted)
-    # every word is counted in some posting, so the texts need not be read again for the mean length
-    n = chunks.agg(F.count(F.lit(1))).scalar()
-    totals = counted.agg(n.alias("chunks"), (F.coalesce(F.sum("tf"), F.lit(0)) / n).alias("avg_length"))
-    totals = cut_lineage(totals)
+    counted = worded.join(again, repeats, "left_anti").unionByName(merged)
     n, average = totals.select("chunks").scalar(), totals.select("avg_length").scalar()
-    tf, length = F.col("tf"), F.col("length")
-    impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
-    postings = counted.select("token", "id", impact.alias("impact"))
-    per_term = counted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    raw = cut_lineage(per_term.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)))
+    rows = counted.withColumn("_norm", k1 * (1 - b + b * F.col("length") / average))
+    impacts = F.transform("tfs", lambda tf: tf * (k1 + 1) / (tf + F.col("_norm")))
+    weighed = rows.select("id", "tokens", impacts.alias("impacts"))
+    per_term = counted.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    raw = stored(per_term.withColumn("_raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
     floor = raw.agg(F.avg("_raw") * epsilon).scalar()
     terms = raw.select("token", "df", F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf"))
-    blocks, steps = _impact_blocks(postings, k1)
-    forward = postings.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "impact"))).alias("impacts"))
-    return Index(cut_lineage(blocks), forward, cut_lineage(terms.join(steps, "token")), totals)
+    blocks, steps = _impact_blocks(weighed, terms)
+    forward = weighed.select("id", F.map_from_arrays("tokens", "impacts").alias("impacts"))
+    return Index(blocks, forward, cut_lineage(terms.join(steps, "token")), totals)
 
 
 #: Blocks are stored in so many folders, by a hash of the token.
@@ -193,17 +256,105 @@ def candidates(index: Index, queries: DataFrame, k: int) -> Found:
         terms = terms.drop("bar", "rest")
 
 
-def bm25_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best chunks per query with a positive score: query_id, id, score, rank.
+#: Queries of more known terms are met with all chunks; what a task meets at once, and cells of a table of impacts.
+FEW_TERMS, CHUNKS_PER_GROUP, QUERIES_PER_GROUP, CELLS = 8, 8_192, 250, 4_000_000
 
-    Chunks that :func:`candidates` leaves are scored whole, by all their impacts.
-    Equal scores (to ``SCORE_DIGITS``) are ordered by id.
+
+def _best_of_all(forward: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """The chunks that may be among the ``k`` best of each query, scored whole: query_id, id, score.
+
+    ``terms``: query_id, token, weight.  Long queries share words with most
+    chunks, so there is no posting to leave unread.  Chunks and queries are dealt
+    to a grid of bounded groups; a group multiplies its tables of impacts and
+    weights and keeps about k rows per query, so pairs are not shuffled.
     """
+
+    def search(chunks: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if chunks.num_rows and asked.num_rows:
+            words = pa.array(sorted(set(asked.column("token").to_pylist())), pa.string())
+            codes = pc.index_in(asked.column("token"), value_set=words).to_numpy()
+            query_ids, query = np.unique(asked.column("query_id").to_numpy(), return_inverse=True)
+            weights = np.zeros((len(words), len(query_ids)))
+            weights[codes, query] = asked.column("weight").to_numpy()
+            lists = chunks.column("tokens").combine_chunks()
+            word = pc.index_in(lists.flatten(), value_set=words)
+            known = pc.is_valid(word).to_numpy(zero_copy_only=False)
+            code = pc.fill_null(word, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+            impact = chunks.column("impacts").combine_chunks().flatten().to_numpy(zero_copy_only=False)[known]
+            order = np.argsort(row * len(words) + code)
+            row, code, impact = row[order], code[order], impact[order]
+            ids, keys = chunks.column("id").to_numpy(), np.append(row * len(words) + code, -1)
+            near, step = np.empty((len(query_ids), len(ids))), max(1, CELLS // len(words))
+            for at in range(0, len(ids), step):
+                lo, hi = np.searchsorted(row, [at, at + step])
+                table = np.zeros((min(step, len(ids) - at), len(words)))
+                table[row[lo:hi] - at, code[lo:hi]] = impact[lo:hi]
+                near[:, at : at + step] = (table @ weights).T
+            for q, query_id in enumerate(query_ids):
+                bar = np.partition(near[q], -k)[-k] if len(ids) > k else 0.0
+                some = np.flatnonzero(near[q] >= max(bar - 10 * _MARGIN, _MARGIN / 10))
+                score = np.zeros(len(some))
+                for c in np.sort(codes[query == q]):  # added word by word, so equal chunks score alike in any group
+                    wanted = some * len(words) + c
+                    place = np.searchsorted(keys[:-1], wanted)
+                    score += weights[c, q] * np.where(keys[place] == wanted, np.append(impact, 0.0)[place], 0.0)
+                order = np.lexsort((ids[some], -score))
+                some, score = some[order], score[order]
+                # of equal scores no more than k can be asked for; scores within the margin may round alike
+                alike = np.arange(len(score)) - np.searchsorted(-score, -score)
+                kept = alike < k
+                if len(score) > k:
+                    kept &= score >= score[k - 1] - _MARGIN
+                out.append((np.full(kept.sum(), query_id), ids[some[kept]], score[kept]))
+        found = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
+        kinds = (asked.schema.field("query_id").type, chunks.schema.field("id").type, pa.float64())
+        return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("query_id", "id", "score"), found, kinds)})
+
+    def groups(df: DataFrame, key: str, size: int) -> Column:
+        return df.agg(F.greatest(F.ceil(F.count_distinct(key) / size), F.lit(1)).cast("bigint")).scalar()
+
+    rows, columns = groups(forward, "id", CHUNKS_PER_GROUP), groups(terms, "query_id", QUERIES_PER_GROUP)
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    chunks = forward.select(
+        "id", F.map_keys("impacts").alias("tokens"), F.map_values("impacts").alias("impacts"),
+        F.pmod(F.xxhash64("id"), rows).alias("_c"), F.explode(F.sequence(zero, columns - one)).alias("_q"),
+    )
+    asked = terms.select("query_id", "token", "weight", F.pmod(F.xxhash64("query_id"), columns).alias("_q"), F.explode(F.sequence(zero, rows - one)).alias("_c"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((terms, "query_id"), (forward, "id"))]
+    keys = ["_c", "_q"]
+    return (
+        scale.workers(chunks, *keys)
+        .groupBy(*keys)
+        .cogroup(scale.workers(asked, *keys).groupBy(*keys))
+        .applyInArrow(search, f"query_id {kinds[0]}, id {kinds[1]}, score double")
+    )
+
+
+def _best_of_read(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """As :func:`_best_of_all` for short queries: what :func:`candidates` leaves is scored whole."""
     found = candidates(index, queries, k)
     might = found.candidates.join(found.bars, "query_id").filter(F.col("bar").isNull() | (F.col("seen") + F.col("rest") >= F.col("bar") - _MARGIN))
     asked = found.terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("words"))
     whole = might.select("query_id", "id").join(asked, "query_id").join(index.forward, "id")
     impact = lambda w: F.coalesce(F.try_element_at("impacts", w["token"]), F.lit(0.0))
     score = F.aggregate("words", F.lit(0.0), lambda total, w: total + w["weight"] * impact(w))
-    scored = whole.select("query_id", "id", F.round(score, SCORE_DIGITS).alias("score")).filter("score > 0")
+    return whole.select("query_id", "id", score.alias("score"))
+
+
+def bm25_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best chunks per query with a positive score: query_id, id, score, rank.
+
+    Queries of up to ``FEW_TERMS`` known terms read postings block by block;
+    longer ones are met with all chunks.  Both score a chunk by all its impacts.
+    Equal scores (to ``SCORE_DIGITS``) are ordered by id.
+    """
+    terms = cut_lineage(query_terms(queries, index.terms.select("token", "idf")).filter(F.col("query_id").isNotNull()))
+    sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    long, short = (sizes.filter(c).select("query_id") for c in (F.col("n") > FEW_TERMS, F.col("n") <= FEW_TERMS))
+    found = _best_of_all(index.forward.filter(F.col("id").isNotNull()), terms.join(long, "query_id", "left_semi"), k)
+    if not short.isEmpty():
+        found = found.unionByName(_best_of_read(index, queries.join(short, "query_id", "left_semi"), k))
+    scored = found.select("query_id", "id", F.round("score", SCORE_DIGITS).alias("score")).filter("score > 0")
     return scale.top_k(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)

@@ -16,6 +16,13 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder: smaller than a checkpoint, read by column, and of known size."""
+    folder = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_telemetry(df: DataFrame, path: str, ts: str = "timestamp", mode: str = "append") -> None:
     """Telemetry partitioned by date, so that look-back windows prune folders.
 
