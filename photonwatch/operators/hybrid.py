@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from photonwatch import scale
 from photonwatch.operators import keyword, vectors
+from photonwatch.sources.sinks import stored
 
 RRF = 60  # fixed value: reciprocal rank constant
 KEYWORD_CANDIDATES, VECTOR_CANDIDATES, RERANKED = 150, 50, 30
@@ -72,7 +73,8 @@ def search(
     wanted = keyword.active_chunks(chunks, library, filename)
     pool = wanted if prefilter else keyword.active_chunks(chunks, library)
     chunk_vectors = pool.filter(F.col("embedding").isNotNull()).select("id", "embedding")
-    fused = candidates(index, chunk_vectors, queries)
+    # a table of known size, so that few candidates travel to the texts and not all texts to them
+    fused = stored(candidates(index, chunk_vectors, queries), "candidates")
     loaded = fused.join(wanted.select("id", "filename", "chunk_index", "content"), "id")
     return scale.top_k(loaded, ["query_id"], [F.col("rrf_score").desc(), F.col("id")], k)
 

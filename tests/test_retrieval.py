@@ -182,3 +182,54 @@ def test_common_words_are_hardly_read(spark, monkeypatch):
     assert all(read[q, "w0"][0] < read[q, "w0"][1] / 2 for q in (0, 3)) and read[1, "w1"][0] < read[1, "w1"][1] / 2
     sizes = index.blocks.select(F.size("ids").alias("n"), F.array_min("impacts").alias("low"), "token", "block").collect()
     assert sum(r.n for r in sizes) == len({(i, w) for i, t in enumerate(texts) for w in t.split()})
+
+
+@pytest.mark.parametrize("group", [10_000, 7])
+def test_long_queries_are_met_with_all_chunks(spark, monkeypatch, group):
+    """Queries of many words share some with most chunks: scored in bounded groups, with no rounds over postings."""
+    for name, value in (("CHUNKS_PER_GROUP", group * 5), ("QUERIES_PER_GROUP", group), ("CELLS", group * 90), ("PART", group * 3), ("LISTED", group * 9), ("BLOCK", 16)):
+        monkeypatch.setattr(keyword, name, value)
+    monkeypatch.setattr(keyword, "candidates", None)
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([f"w{n}" for n in range(80)])
+    share = 1 / np.arange(1, 81)
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(1, 50), p=share / share.sum())) for _ in range(300)]
+    texts += [texts[5]] * 20 + ["", "café"]  # equal scores go by id
+    asked = [" ".join(rng.choice(vocabulary, 40)) for _ in range(8)] + [texts[5] + " w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "id long, content string").repartition(4)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = keyword.build_index(chunks)
+    got = keyword.bm25_search(index, queries, 10).collect()
+    for q, text in enumerate(asked):
+        want = sorted(((-round(s, 9), i) for i, s in enumerate(plain_bm25(texts, text)) if s > 0))[:10]
+        found = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [(r.id, round(r.score, 6)) for r in found] == [(i, round(-s, 6)) for s, i in want]
+
+
+def test_index_counts_rows_of_one_id_as_one_chunk(spark):
+    chunks = spark.createDataFrame([(1, "fiber node fiber"), (1, "fiber node fiber"), (2, "fiber"), (3, None)], "id long, content string")
+    index = keyword.build_index(chunks)
+    assert {(r.token, r.df) for r in index.terms.collect()} == {("fiber", 2), ("node", 1)}
+    assert index.totals.head().chunks == 4
+    impact = {(i, r.token): v for r in index.blocks.collect() for i, v in zip(r.ids, r.impacts)}
+    mean = 7 / 4
+    assert impact[1, "fiber"] == pytest.approx(4 * 2.5 / (4 + 1.5 * (0.25 + 0.75 * 3 / mean))) and len(impact) == 3
+
+
+def test_index_sends_one_list_per_word_and_task(spark):
+    """Postings used to be shuffled one row each, several times."""
+    chunks = spark.createDataFrame([(i, f"fiber node w{i % 3}") for i in range(60)], "id long, content string").coalesce(1)
+    words = chunks.select("id", F.array(F.lit("fiber"), F.lit("node")).alias("tokens"), F.array(F.lit(1.0), F.lit(2.0)).alias("impacts"))
+    lists = words.mapInArrow(keyword._listed, "token string, ids array<bigint>, impacts array<double>").collect()
+    assert sorted((r.token, len(r.ids), set(r.impacts)) for r in lists) == [("fiber", 60, {1.0}), ("node", 60, {2.0})]
+
+
+def test_few_candidates_travel_to_the_texts(spark):
+    """The texts are not shuffled to meet the candidates of a search."""
+    chunks = spark.createDataFrame([(i, "f", i, f"fiber node w{i}", [float(i), 1.0]) for i in range(40)], "id long, filename string, chunk_index long, content string, embedding array<float>")
+    library = spark.createDataFrame([("f", "active")], "filename string, status string")
+    queries = spark.createDataFrame([(1, "node w3", [3.0, 1.0])], "query_id long, query string, embedding array<float>")
+    found = hybrid.search(keyword.build_index(chunks), chunks, library, queries, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan  # candidates are a stored table of known size, not a shuffle still to come
+    assert found.orderBy("rank").first().id == 3
