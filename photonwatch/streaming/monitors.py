@@ -340,12 +340,13 @@ def sustained_breach_monitor(
 def upload_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """Files of any kind under ``path``/<upload>/filename=<name>/ as a stream: filename, uploaded_at, upload, content.
 
-    A file that changes comes again as part of a later upload.
+    A file that changes comes again as part of a later upload.  Only uploads are
+    matched by name; their folders, one per file, are listed by tasks.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     names = F.split("path", "/")
-    return files.load(f"{path}/*/*/*").select(
+    return files.option("recursiveFileLookup", True).load(f"{path}/*").select(
         F.regexp_replace(F.element_at(names, -2), "^filename=", "").alias("filename"), F.col("modificationTime").alias("uploaded_at"),
         F.element_at(names, -3).alias("upload"), "content",
     )

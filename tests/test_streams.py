@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from photonwatch.session import prepare
 from photonwatch.streaming import monitors
 
 START = dt.datetime(2024, 1, 1)
@@ -151,3 +152,22 @@ def test_a_changed_file_replaces_its_old_version(spark, tmp_path):
     assert active[2] == [("a.txt", "one"), ("a.txt", "three"), ("a.txt", "two"), ("b.txt", "x"), ("c.txt", "é")]
     found = monitors.versions(spark, store).groupBy("filename").agg(F.count("*").alias("n"), F.count_if(F.col("valid_to").isNull()).alias("open")).collect()
     assert {r.filename: (r.n, r.open) for r in found} == {"a.txt": (3, 1), "b.txt": (1, 1), "c.txt": (1, 1)}
+
+
+def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
+    """One task for each file of every upload took longer than the files themselves."""
+    prepare(spark)
+    for n in range(150):
+        folder = tmp_path / "landing" / "upload-1" / f"filename=f{n}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text(f"text {n}")
+    (tmp_path / "landing" / "upload-1" / "_SUCCESS").write_text("")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    cut = lambda rows: rows.select("filename", "content_hash", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    monitors.ingest_versions(monitors.upload_stream(spark, str(tmp_path / "landing")), str(tmp_path / "store"), cut)
+    chunks = monitors.active_version_chunks(spark, str(tmp_path / "store")).collect()
+    assert sorted((r.filename, r.content) for r in chunks) == sorted((f"f{n}", f"text {n}") for n in range(150))
+    infos = [tracker.getJobInfo(j) for j in set(tracker.getJobIdsForGroup(None)) - before]
+    tasks = [tracker.getStageInfo(s).numTasks for i in infos if i for s in i.stageIds if tracker.getStageInfo(s)]
+    assert max(tasks, default=0) < 150
