@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -25,6 +28,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 
 # characters that both pattern engines put in the same classes; other texts are cut by the library itself
 UNUSUAL = re.compile("[^\x00-\u052f\u2000-\u206f]")
+USUAL = [chr(c) for c in range(0x2070) if not UNUSUAL.match(chr(c))]
 
 #: Documents of about this many characters share one list of words and meet in one task.
 CHUNK_CHARACTERS = 8_000_000
@@ -48,10 +52,31 @@ def _special_tokens(path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
 
 
+def _listed(pattern: str) -> str:
+    """The usual characters of a class, as ranges of their codes."""
+    ranges: list[list[int]] = []
+    for code in map(ord, regex.findall(pattern, "".join(USUAL))):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in ranges)
+
+
+@lru_cache(maxsize=1)
+def _usual_words() -> re.Pattern[str]:
+    """``WORDS`` with its classes written out: on usual characters ``re`` finds the same words in half the time."""
+    letters, numbers, spaces = map(_listed, (r"\p{L}", r"\p{N}", r"\s"))
+    pattern = WORDS.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
+    for name, listed in ((r"\p{L}", f"[{letters}]"), (r"\p{N}", f"[{numbers}]"), (r"\S", f"[^{spaces}]"), (r"\s", f"[{spaces}]")):
+        pattern = pattern.replace(name, listed)
+    return re.compile(pattern)
+
+
 @lru_cache(maxsize=2)
 def _cutter(path: str):
     """The text's words in order; a special token is a word, and words end where one begins."""
-    words, library = regex.compile(WORDS), _tokenizer(path).pre_tokenizer
+    words, library = _usual_words(), _tokenizer(path).pre_tokenizer
     special = sorted(_special_tokens(path), key=len, reverse=True)
     split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
@@ -90,19 +115,30 @@ def _piece_list(path: str) -> list[bytes]:
     return [found.get(i, b"") for i in range(max(found) + 1)]
 
 
+@lru_cache(maxsize=2)
+def _id_texts(path: str) -> list[bytes]:
+    """Every token id in decimal."""
+    return [b"%d" % k for k in range(len(_piece_list(path)))]
+
+
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """id and piece (bytes) of every token: as many rows as the vocabulary has, whatever the corpus."""
     return spark.createDataFrame(pd.DataFrame(list(enumerate(_piece_list(path))), columns=["id", "piece"]), "id int, piece binary")
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+
+
 def _squeezed(values: np.ndarray) -> bytes:
     """Compressed 32-bit numbers, all first bytes first, as the high ones are mostly equal."""
     planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=6).compress(planes.tobytes())
+    return _zstd()[0].compress(planes.tobytes())
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
@@ -110,13 +146,16 @@ def _pack(path: str):
     """One row per chunk of documents: each document's words as places in the chunk's list of distinct words, and that list by buckets."""
 
     def packed(ids: list, places: list[np.ndarray], words: dict[str, int]) -> pd.DataFrame:
-        bucket = {w: zlib.crc32(w.encode()) % WORD_BUCKETS for w in words}
-        ordered = sorted(words, key=lambda w: (bucket[w], w))
+        ordered = sorted(words)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % WORD_BUCKETS for w in ordered), np.int32, len(ordered))
+        by_bucket = np.argsort(bucket, kind="stable")
+        ordered, bucket = [ordered[k] for k in by_bucket.tolist()], bucket[by_bucket]
         place = np.empty(len(words), np.int32)
-        place[[words[w] for w in ordered]] = np.arange(len(words), dtype=np.int32)
+        place[np.fromiter(map(words.__getitem__, ordered), np.int64, len(ordered))] = np.arange(len(words), dtype=np.int32)
         flat = place[np.concatenate(places)]
-        groups = [(k, json.dumps(list(g), ensure_ascii=False).encode()) for k, g in groupby(ordered, bucket.__getitem__)]
-        squeeze = zstandard.ZstdCompressor(level=6).compress
+        edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(ordered)]
+        groups = [(int(bucket[a]), json.dumps(ordered[a:b], ensure_ascii=False).encode()) for a, b in zip(edges, edges[1:])]
+        squeeze = _zstd()[0].compress
         # the name is taken from the contents, so a task that runs twice gives the same one
         name = hashlib.sha256(flat.tobytes() + repr(ids).encode())
         for _, group in groups:
@@ -130,15 +169,16 @@ def _pack(path: str):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = _cutter(path)
-        ids, places, words, size = [], [], {}, 0
+        ids, places, words, size = [], [], defaultdict(count().__next__), 0
         for frame in batches:
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                places.append(np.array([words.setdefault(w, len(words)) for w in cut(text)], np.int32))
+                found = cut(text)
+                places.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 ids.append(doc_id)
                 size += len(text)
                 if size >= CHUNK_CHARACTERS:
                     yield packed(ids, places, words)
-                    ids, places, words, size = [], [], {}, 0
+                    ids, places, words, size = [], [], defaultdict(count().__next__), 0
         if ids:
             yield packed(ids, places, words)
 
@@ -156,20 +196,24 @@ def _encode_lists(path: str):
     """Ids of the words of each list, for lists sorted by bucket: the library sees every word of a bucket once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a task has one core: threads of the library's own would only wait for it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer, special = _tokenizer(path), _special_tokens(path)
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
         current = None
         for frame in batches:
+            rows = []
             for chunk, bucket, packed in zip(frame["chunk"], frame["bucket"], frame["list"]):
                 if bucket != current:
                     known, current = {}, bucket
-                words = json.loads(zstandard.ZstdDecompressor().decompress(packed))
+                words = json.loads(_zstd()[1].decompress(packed))
                 new = [w for w in words if w not in known]
-                for w, coded in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[w] = np.array([special[w]] if w in special else coded.ids, np.int32)
+                for w, coded in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                    known[w] = array("i", [special[w]] if w in special else coded.ids).tobytes()
                 found = [known[w] for w in words]
-                row = {"chunk": chunk, "bucket": bucket, "counts": _squeezed(np.array([len(i) for i in found], np.int32)), "ids": _squeezed(np.concatenate(found))}
-                yield pd.DataFrame([row])
+                sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+                rows.append((chunk, bucket, _squeezed(sizes), _squeezed(np.frombuffer(b"".join(found), np.int32))))
+            yield pd.DataFrame(rows, columns=["chunk", "bucket", "counts", "ids"])
 
     return run
 
@@ -178,29 +222,37 @@ def _join_back(path: str, with_text: bool):
     """Each document's words take, by place, their ids and the bytes of the ids' pieces."""
 
     def run(chunks: pa.Table, words: pa.Table) -> pa.Table:
-        piece = _piece_list(path)
+        piece, name = _piece_list(path), _id_texts(path)
         # chunks of equal contents have equal names and lists
         lists = dict(zip(words["bucket"].to_pylist(), zip(words["counts"].to_pylist(), words["ids"].to_pylist())))
-        counts, ids, listed, decoded = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], []
+        counts, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for bucket in sorted(lists):
             own_counts, own_ids = map(_unsqueezed, lists[bucket])
             counts.append(own_counts)
             ids.append(own_ids)
-            for part in np.split(own_ids, np.cumsum(own_counts)[:-1]):
-                listed.append(",".join(map(str, part.tolist())))
-                decoded.append(b"".join([piece[k] for k in part.tolist()]))
         counts, ids = np.concatenate(counts), np.concatenate(ids)
-        begin = np.cumsum(counts) - counts
+        end = np.cumsum(counts, dtype=np.int64)
+        begin = end - counts
+
+        def of_words(values: list[bytes], between: bytes) -> list[bytes]:
+            own = list(map(values.__getitem__, ids.tolist()))
+            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + len(between))])
+            joined, starts, ends = between.join(own), at[begin], np.maximum(at[end] - len(between), at[begin])
+            return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+        listed, decoded = of_words(name, b","), of_words(piece, b"")
         out: dict[str, list] = {c: [] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded")}
         values = [np.zeros(0, np.int32)]
         for doc_ids, lengths, packed in zip(*(chunks[c].to_pylist() for c in ("doc_ids", "lengths", "places"))):
             for doc_id, own in zip(doc_ids, np.split(_unsqueezed(packed), np.cumsum(lengths)[:-1])):
                 places, sizes = own.tolist(), counts[own].astype(np.int64)
                 n = int(sizes.sum())
+                raw = b"".join(map(decoded.__getitem__, places))
                 # as the library does, bytes that are no UTF-8 become U+FFFD
-                back = b"".join([decoded[k] for k in places]).decode("utf-8", "replace")
-                digest = hashlib.sha256(",".join([listed[k] for k in places]).encode()).hexdigest()
-                for column, value in zip(out, (doc_id, n, digest, hashlib.sha256(back.encode()).hexdigest(), back if with_text else None)):
+                back = raw.decode("utf-8", "replace") if with_text or not raw.isascii() else None
+                digest = hashlib.sha256(b",".join(map(listed.__getitem__, places))).hexdigest()
+                decoded_digest = hashlib.sha256(raw if raw.isascii() else back.encode()).hexdigest()
+                for column, value in zip(out, (doc_id, n, digest, decoded_digest, back if with_text else None)):
                     out[column].append(value)
                 if with_text:  # each word's run of ids, end to end
                     values.append(ids[np.repeat(begin[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(n)])

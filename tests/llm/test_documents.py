@@ -1,11 +1,15 @@
 """Operators on texts against brute force, on small tables with nulls, repeats, ties and long texts."""
 
 import hashlib
+import json
 import random
 import re
+import time
 
+import pandas as pd
 import pytest
 import regex
+import zstandard
 from pyspark.sql import functions as F
 
 from photonwatch.llm import bpe, decontaminate, jaccard, line_dedup, sharding
@@ -122,6 +126,29 @@ def test_bpe_cuts_like_the_library():
     assert not odd, (len(odd), [hex(c) for c in odd[:20]])
 
 
+def test_bpe_words_written_out():
+    rng = random.Random(11)
+    plain, written = regex.compile(bpe.WORDS), bpe._usual_words()
+    for alphabet in (bpe.USUAL, list("ab1 '\n\t.s\xa0é\u2003²")):
+        for _ in range(200):
+            text = "".join(rng.choices(alphabet, k=300))
+            assert written.findall(text) == plain.findall(text)
+
+
+def test_bpe_tasks_keep_to_one_core(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyzéñü", k=12)) for _ in range(60_000)})
+    lists = [json.dumps(words[k : k + 500]).encode() for k in range(0, len(words), 500)]
+    frame = pd.DataFrame({"chunk": range(len(lists)), "bucket": 3, "list": [zstandard.ZstdCompressor().compress(x) for x in lists]})
+    list(bpe._encode_lists(vocabulary())(iter([frame[:1]])))
+    wall, cpu = time.perf_counter(), time.process_time()
+    coded = pd.concat(bpe._encode_lists(vocabulary())(iter([frame])))
+    wall, cpu = time.perf_counter() - wall, time.process_time() - cpu
+    assert sum(len(bpe._unsqueezed(c)) for c in coded["counts"]) == len(words)
+    assert cpu < 1.3 * wall, (cpu, wall)
+
+
 def _plain_dedup(docs, run_words):
     """Units, digests and runs by plain loops over all rows."""
     seen, out = {}, []
