@@ -12,7 +12,7 @@ import regex
 import zstandard
 from pyspark.sql import functions as F
 
-from photonwatch.llm import bpe, decontaminate, jaccard, line_dedup, sharding
+from photonwatch.llm import bpe, decontaminate, jaccard, line_dedup, sharding, shared_passages
 from photonwatch.llm.queries import vocabulary
 
 
@@ -211,6 +211,54 @@ def test_common_sentences_stay(spark):
     assert got[3].text == docs[2][1] and got[4].text == docs[3][1]
 
 
+def _plain_shared(docs, more_than):
+    """Words of passages that an earlier document holds, by plain loops over all words in a row."""
+    seen, out = {}, {}
+    for doc_id, text in sorted({d[:2] for d in docs}, key=lambda d: (d[0] is not None, d[0] or 0)):
+        words = [w.lower() for w in re.findall(r"[^\W_]+", text or "")]
+        rows = [tuple(words[k : k + more_than + 1]) for k in range(len(words) - more_than)]
+        hit = {k + j for k, row in enumerate(rows) if row in seen for j in range(more_than + 1)}
+        seen.update(dict.fromkeys(rows))
+        if hit:
+            out[doc_id] = hit
+    return out
+
+
+def test_passages_begin_and_end_anywhere(spark):
+    rng = random.Random(5)
+    words = [w + str(k) for k in range(300) for w in ("Élan_", "house", "Σοφός", "the", "of")]
+    long = [" ".join(rng.choices(words, k=90)) + rng.choice([". ", ", ", "\n"]) for _ in range(6)]
+
+    def cut(passage, n):
+        parts = passage.split(" ")
+        at = rng.randrange(len(parts) - n)
+        return rng.choice([" ", "; "]).join(parts[at : at + n]).swapcase()
+
+    docs = []
+    for k in range(60):
+        own = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(3)]
+        docs.append((k, " ".join([own[0], cut(rng.choice(long), rng.choice([7, 25, 26, 30, 49, 60])), own[1] + ".", cut(rng.choice(long), 40), own[2]]), "x"))
+    docs += [(70, docs[3][1], "c"), (70, docs[3][1], "c"), (None, docs[4][1], "n"), (71, None, "z"), (72, "", "z"), (73, "la " * 400, "l"), (74, "la " * 300 + "lo", "l")]
+    # one sentence each, of which 52 words are the same
+    passage = " ".join(f"word{k}" for k in range(52))
+    docs += [(80, f"Own begin {passage} own end.", "p"), (81, f"Another start, {passage.upper()} and another end.", "p")]
+    for more_than in (12, 25, 50):
+        got = shared_passages.shared_words(as_docs(spark, docs), more_than).collect()
+        assert len({r.doc_id for r in got}) == len(got)
+        assert {r.doc_id: {k for s in r.shared for k in range(s["first"], s["last"] + 1)} for r in got} == _plain_shared(docs, more_than)
+    frame = as_docs(spark, docs)
+    rows = line_dedup.dedup(frame, shared_words=50).collect()
+    after = {r.doc_id: r for r in rows}
+    assert len(rows) == len(docs) and not _plain_shared([(r.doc_id, r.text) for r in rows], 50)
+    assert after[80].text == docs[-2][1] and after[81].text == "Another start,  and another end."
+    whole = {d[0]: d[1] for d in docs}
+    for r in rows:
+        assert r.text is None or r.text == "".join(whole[r.doc_id][s.start : s.end] for s in r.kept)
+    # without the option a passage that holds no whole sentence stays
+    assert {r.doc_id: r.text for r in line_dedup.dedup(frame).collect()}[81] == whole[81]
+    assert shared_passages.shared_words(as_docs(spark, [])).count() == 0
+
+
 def _brute_hits(text, items):
     def words(t):
         return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
