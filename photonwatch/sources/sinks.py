@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photonwatch.session import shared_folder
+from photonwatch.session import settings, shared_folder
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
@@ -69,9 +73,54 @@ def store_documents(
     )
 
 
+#: What Spark writes as %XX in the name of a partition's folder, and the folder of names that are null or empty.
+_ESCAPED = {c: f"%{c:02X}" for c in [*range(1, 32), 127, *map(ord, "\"#%'*/:=?\\{[]^")]}
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_files(files: DataFrame, path: str) -> None:
-    """Each row's ``text`` as a text file ``path``/<filename>/<part>: for landing zones and exports of whole files."""
-    files.select("filename", "text").write.partitionBy("filename").text(path)
+    """Each row's ``text`` as a text file ``path``/<filename>/<part>: for landing zones and exports of whole files.
+
+    Spark's writer takes some milliseconds a file on a file system of folders: for each it starts
+    programs that set its rights, writes a file of checksums and moves it from the driver.  There tasks
+    write the same files themselves; other stores are left to Spark.
+    """
+    files, spark = files.select("filename", "text"), files.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() != "file":
+        files.write.partitionBy("filename").text(path)
+        return
+    folder = place.toUri().getPath()
+    if os.path.exists(folder):
+        raise FileExistsError(f"{path} already exists")
+    hidden = f"{folder}/_temporary"  # readers of ``path`` skip it
+    os.makedirs(hidden)
+    # rows of a task that share a name make one file
+    name = F.coalesce(F.nullif("filename", F.lit("")), F.lit(_NO_NAME)).alias("filename")
+    rows = files.select(name, F.col("text").cast("binary").alias("text")).sortWithinPartitions("filename")
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}):
+        rows.mapInArrow(_write_into(hidden), "filename string").write.format("noop").mode("overwrite").save()
+    for name in os.listdir(hidden):
+        os.rename(f"{hidden}/{name}", f"{folder}/{name}")
+    os.rmdir(hidden)
+    open(f"{folder}/_SUCCESS", "wb").close()
+
+
+def _write_into(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = f"part-{TaskContext.get().partitionId():05d}", ((n.as_py(), t.as_py()) for b in batches for n, t in zip(*b.columns))
+        for name, same in groupby(rows, key=lambda row: row[0]):
+            own = f"{folder}/filename={name.translate(_ESCAPED)}"
+            os.makedirs(own, exist_ok=True)
+            # written aside, so that a task that runs twice never leaves half a file
+            aside = f"{own}/.{part}-{uuid.uuid4().hex}"
+            with open(aside, "wb") as out:
+                out.writelines((text or b"") + b"\n" for _, text in same)
+            os.replace(aside, f"{own}/{part}.txt")
+        yield from ()
+
+    return run
 
 
 def unchanged_skipped(incoming: DataFrame, manifest: DataFrame) -> DataFrame:

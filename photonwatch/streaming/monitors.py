@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from photonwatch.functions.rules import Limit
 from photonwatch.operators.anomaly import violations
+from photonwatch.session import settings
 from photonwatch.sources.sinks import scratch_folder, unchanged_skipped
 
 
@@ -337,14 +338,15 @@ def sustained_breach_monitor(
     )
 
 
-def upload_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+def upload_stream(spark: SparkSession, path: str, bytes_per_trigger: int = 256 * 2**20) -> DataFrame:
     """Files of any kind under ``path``/<upload>/filename=<name>/ as a stream: filename, uploaded_at, upload, content.
 
     A file that changes comes again as part of a later upload.  Only uploads are
-    matched by name; their folders, one per file, are listed by tasks.
+    matched by name; their folders, one per file, are listed by tasks.  A batch is
+    bounded by what it holds: by their number, small files make very many batches.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxBytesPerTrigger", bytes_per_trigger)
     names = F.split("path", "/")
     return files.option("recursiveFileLookup", True).load(f"{path}/*").select(
         F.regexp_replace(F.element_at(names, -2), "^filename=", "").alias("filename"), F.col("modificationTime").alias("uploaded_at"),
@@ -370,13 +372,15 @@ def ingest_versions(incoming: DataFrame, path: str, cut: Callable[[DataFrame], D
         read.drop("text").write.mode("overwrite").parquet(f"{path}/versions/batch={number}")
         cut(read.dropDuplicates(["filename", "content_hash"])).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
 
-    query = (
-        incoming.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    # counted as 4 MB each, small files would be read by thousands of tasks
+    with settings(incoming.sparkSession, {"spark.sql.files.openCostInBytes": "64k"}):
+        query = (
+            incoming.writeStream.foreachBatch(batch)
+            .option("checkpointLocation", f"{path}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame:

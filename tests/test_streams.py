@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photonwatch.session import prepare
+from photonwatch.sources import sinks
 from photonwatch.streaming import monitors
 
 START = dt.datetime(2024, 1, 1)
@@ -171,3 +172,32 @@ def test_many_files_are_listed_by_few_tasks(spark, tmp_path):
     infos = [tracker.getJobInfo(j) for j in set(tracker.getJobIdsForGroup(None)) - before]
     tasks = [tracker.getStageInfo(s).numTasks for i in infos if i for s in i.stageIds if tracker.getStageInfo(s)]
     assert max(tasks, default=0) < 150
+
+
+def test_many_small_files_are_few_batches_and_tasks(spark, tmp_path):
+    """By number and as 4 MB each, small files made a batch per thousand and a task per few; each was written by way of three programs."""
+    prepare(spark)
+    rows = [(f"f{n}", f"text {n}") for n in range(1300)]
+    sinks.write_files(spark.createDataFrame(rows, "filename string, text string").repartition(3), f"{tmp_path}/landing/upload-1")
+    assert not list((tmp_path / "landing").rglob("*.crc")) and len(list((tmp_path / "landing").rglob("part-*.txt"))) == 1300
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    cut = lambda rows: rows.select("filename", "content_hash", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    monitors.ingest_versions(monitors.upload_stream(spark, str(tmp_path / "landing")), str(tmp_path / "store"), cut)
+    chunks = monitors.active_version_chunks(spark, str(tmp_path / "store")).collect()
+    assert sorted((r.filename, r.content) for r in chunks) == sorted((name, text + "\n") for name, text in rows)
+    assert len(list((tmp_path / "store" / "versions").glob("batch=*"))) == 1
+    infos = [tracker.getJobInfo(j) for j in set(tracker.getJobIdsForGroup(None)) - before]
+    assert max((tracker.getStageInfo(s).numTasks for i in infos if i for s in i.stageIds if tracker.getStageInfo(s)), default=0) <= 64
+    assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304", "4194304b", "4MB")
+
+
+def test_files_are_written_as_spark_writes_them(spark, tmp_path):
+    names = ["a", "a b", "é%41", "x=y:z/[1]{2}*?'\"#^\\", "tab\t", None, "", "a", "\x7f"]
+    df = spark.createDataFrame([(n, None if k == 1 else f"line {k}\nü") for k, n in enumerate(names)], "filename string, text string").coalesce(1)
+    df.write.partitionBy("filename").text(f"{tmp_path}/spark")
+    sinks.write_files(df, f"file://{tmp_path}/own")
+    read = [sorted((p.parent.name, p.read_bytes()) for p in (tmp_path / d).rglob("part-*.txt")) for d in ("spark", "own")]
+    assert read[0] == read[1] and len(read[0]) == 7
+    with pytest.raises(FileExistsError):
+        sinks.write_files(df, f"file://{tmp_path}/own")
