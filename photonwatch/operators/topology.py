@@ -116,11 +116,13 @@ def path_hops(steps: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     running sum, which need no per-session loop and no array.
     """
     key, order = ["session_id"], ["step_order"]
-    if starts is not None:  # before the paths are spread, so that this is their only other shuffle
-        # one row per session is no short table: it must not be broadcast by way of the driver
-        steps = scale.beside(steps, starts.withColumnRenamed("start_node", "_start").hint("merge"), key)
-    rows = scale.spread(steps.withColumn("_bucket", F.floor(F.col("step_order") / _STEP_BUCKET)), key, "_bucket")
-    rows = scale.split_lag(rows, key, "_bucket", order, {"source_node": "_ps", "destination_node": "_pd"})
+    before = {"source_node": "_ps", "destination_node": "_pd"}
+    # without nulls in what is joined, the branches below differ in no filter and share this shuffle; steps without an order come first
+    bucket = F.coalesce(F.floor(F.col("step_order") / _STEP_BUCKET), F.lit(-(2**62)))
+    rows = scale.spread(steps.dropna(subset=key).withColumn("_bucket", bucket), key, "_bucket")
+    # a start goes once to each bucket of its session, so that this shuffle is the only one of the paths
+    rows = scale.split_lag(rows, key, "_bucket", order, before, None if starts is None else starts.withColumnRenamed("start_node", "_start"))
+    rows = rows.filter(F.col("step_order").isNotNull())
     s, d = F.col("source_node"), F.col("destination_node")
     if starts is None:
         rows = rows.withColumn("_start", s)

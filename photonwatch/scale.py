@@ -115,9 +115,14 @@ def _split_running(df, keys, bucket, order, value, out, whole, both) -> DataFram
 
 
 def split_lag(
-    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], values: dict[str, str]
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], values: dict[str, str], summary: DataFrame | None = None
 ) -> DataFrame:
-    """Previous row's columns; ``values`` maps source column to new column."""
+    """Previous row's columns; ``values`` maps source column to new column.
+
+    Rows also get the columns of their key's row of ``summary``, if there is one; rows of other keys are left out.
+    It travels with what buckets hand on, once to each bucket of its key: copied to a fixed number of parts
+    (:func:`beside`), a row per short key would take up more than the rows.
+    """
     keys = list(keys)
     sources = list(values)
     last = df.groupBy(*keys, bucket).agg(
@@ -126,8 +131,12 @@ def split_lag(
     carried = last.select(
         *keys, bucket, F.lag("_last").over(Window.partitionBy(*keys).orderBy(bucket)).alias("_carried")
     )
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    out = _with_carried(df.withColumn("_prev", F.lag(F.struct(*sources)).over(inside)), carried, keys, bucket, "_carried")
+    prev = F.lag(F.struct(*sources)).over(Window.partitionBy(*keys, bucket).orderBy(*order))
+    if summary is None:
+        out = _with_carried(df.withColumn("_prev", prev), carried, keys, bucket, "_carried")
+    else:
+        # one row per key is no short table: it must not be broadcast by way of the driver
+        out = df.join(carried.join(summary.hint("merge"), keys).hint("merge"), [*keys, bucket]).withColumn("_prev", prev)
     prev = F.coalesce(F.col("_prev"), F.col("_carried"))
     return out.withColumns({new: prev[old] for old, new in values.items()}).drop("_prev", "_carried")
 

@@ -86,3 +86,24 @@ def test_only_buckets_that_get_something_are_joined(spark):
     assert sorted((r.k, r.n, r.before or 0) for r in lagged) == sorted((k, n, max(0, n - 1)) for k, _, n in rows if k is not None)
     carried = scale._with_carried(df, df.groupBy("k", "b").agg(F.lit(None).cast("long").alias("c")), ["k"], "b", "c")
     assert carried.filter("c IS NOT NULL").count() == 0 and carried.count() == 13
+
+
+def test_starts_are_not_copied_and_paths_are_read_once(spark, tmp_path):
+    """Each start went to a quarter of the shuffle partitions, and the paths were shuffled once with and once without it."""
+    prepare(spark)
+    spark.range(4000).selectExpr("id div 4 AS session_id", "id % 4 AS step_order", "id % 7 AS source_node", "id % 5 AS destination_node").write.parquet(f"{tmp_path}/steps")
+    spark.range(1000).selectExpr("id AS session_id", "id % 7 AS start_node").write.parquet(f"{tmp_path}/starts")
+    hops = topology.path_hops(spark.read.parquet(f"{tmp_path}/steps"), spark.read.parquet(f"{tmp_path}/starts"))
+    assert len(hops.collect()) == 4000
+    plan = hops._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Generate" not in plan and len(re.findall(r"FileScan parquet.*destination_node", plan)) == 1, plan
+
+
+def test_paths_with_repeated_and_missing_keys(spark):
+    """A session with two starts gives its steps for both, one without a start gives none; nulls give none."""
+    steps = [(1, 1, 5, 6), (1, 2, 6, 7), (2, 1, 1, 2), (None, 1, 1, 2), (3, 3000, 8, 9), (3, 1, 9, 4), (4, 1, 2, 3)]
+    df = spark.createDataFrame(steps, "session_id long, step_order long, source_node long, destination_node long")
+    starts = spark.createDataFrame([(1, 5), (2, 2), (2, 2), (3, 4), (None, 1), (4, None)], "session_id long, start_node long")
+    got = topology.path_hops(df, starts).collect()
+    want = [(1, 1, 5, 6), (1, 2, 6, 7), (2, 1, 2, 1), (2, 1, 1, 1), (3, 1, 4, 9), (3, 3000, 9, 8), (4, 1, None, 2)]
+    assert sorted(repr(tuple(r)[:4]) for r in got) == sorted(map(repr, want))
