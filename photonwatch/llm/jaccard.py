@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from photonwatch.llm.common import mix64, modest_batches, released, shingle_hashes, stored, text_or_empty, word_hashes
+from photonwatch.llm.common import mix64, modest_batches, released, shingle_hashes, spread_count, stored, text_or_empty, word_hashes
 from photonwatch.llm.components import components
 
 #: A segment that more sets than this share is worth skipping.
@@ -24,6 +24,8 @@ SKETCH_LONGS = 64
 FOLDED_LONGS = 8
 #: Buckets of a set, about, that go along to tell in which of several common buckets a pair counts.
 MARKS = 16
+#: Buckets that a task holds, about, before it deals them out.
+PACKED = 2**19
 #: Sizes grow by this factor from band to band.
 BAND = 1.5
 #: Low bits of a bucket: the band, and whether its segment has one-deletion neighbours.
@@ -156,25 +158,92 @@ def _describe(width: int):
     return run
 
 
-def _signatures(width: int, percent: int):
-    """One row per text and bucket of its set."""
+def _signatures(width: int, percent: int, parts: int):
+    """Buckets and sets that have them, dealt to ``parts`` by bucket: one row a part for some texts, not one for each of millions of buckets.
+
+    A row holds its buckets and ids as packed arrays, those for which no shingle was deleted (``whole`` of them) first.
+    """
+
+    def packed(found: list, deleted: list, ids: list) -> pa.RecordBatch:
+        sets = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
+        bucket, less = np.concatenate(found), np.concatenate(deleted)
+        place = (_part(bucket, parts) * 2 + less).astype(np.uint32)
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], np.arange(2 * parts + 1))
+        used = np.flatnonzero(edges[2::2] > edges[:-2:2])
+        ends = np.append(edges[2 * used], len(order)) * 8
+        if len(used) and edges[-1] * 8 > 2**31 - 1:
+            raise ValueError("a text has too many shingles")
+        offsets = pa.py_buffer(ends.astype(np.int32))
+        columns = [pa.Array.from_buffers(pa.binary(), len(used), [None, offsets, pa.py_buffer(v[order])]) for v in (bucket, sets)]
+        whole = edges[2 * used + 1] - edges[2 * used]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(whole, pa.int64()), *columns], names=["part", "whole", "buckets", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, deleted, ids, known, held = [], [], [], set(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):  # bounds what a task holds
-                ids, found, deleted = [], [], []
-                for text in batch.column(0).slice(at, 200):
-                    s = shingle_hashes(word_hashes(text.as_py()), width)
-                    own, less = buckets(s, percent)
-                    ids.append(np.full(len(own), _fingerprint(s), np.int64))
-                    found.append(own.view(np.int64))
-                    deleted.append(less)
-                columns = [pa.array(np.concatenate(c)) for c in (found, ids, deleted)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "id", "deleted"])
+            for text in batch.column(0):
+                s = shingle_hashes(word_hashes(text.as_py()), width)
+                own = _fingerprint(s)
+                if own in known or not len(s):  # equal sets give equal rows
+                    continue
+                known.add(own)
+                bucket, less = buckets(s, percent)
+                found.append(bucket)
+                deleted.append(less)
+                ids.append(own)
+                held += len(bucket)
+                if held >= PACKED:  # bounds what a task holds
+                    yield packed(found, deleted, ids)
+                    found, deleted, ids, held = [], [], [], 0
+                    if len(known) > 100_000:
+                        known = set()
+        if held:
+            yield packed(found, deleted, ids)
 
     return run
 
 
+def _part(bucket: np.ndarray, parts: int) -> np.ndarray:
+    """Number of the part of each bucket, by bits that do not name its band."""
+    return (bucket >> np.uint64(_BAND_BITS + 1)) % np.uint64(parts)
+
+
+_SHARED = "bucket long, id long, deleted boolean, centre long, crowd long"
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """Of the packed rows of a part, the buckets of two sets or more that one has whole, as :meth:`_Join.shared` gives them."""
+    chunks = [[np.frombuffer(v.as_buffer(), kind) for v in rows.column(c)] for c, kind in (("buckets", np.uint64), ("ids", np.int64))]
+    bucket, sets = (np.concatenate(c) for c in chunks)
+    deleted = np.concatenate([np.arange(len(b)) >= n for b, n in zip(chunks[0], rows.column("whole").to_pylist())])
+    order = np.argsort(bucket)
+    bucket = bucket[order]
+    same = bucket[1:] == bucket[:-1]
+    alone = ~(np.append(same, False) | np.append(False, same))
+    bucket, order = bucket[~alone], order[~alone]
+    sets, deleted = sets[order], deleted[order]
+    # a set that comes twice counts once
+    order = np.lexsort((sets, deleted, bucket))
+    bucket, sets, deleted = bucket[order], sets[order], deleted[order]
+    new = np.ones(len(bucket), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (deleted[1:] != deleted[:-1]) | (sets[1:] != sets[:-1])
+    bucket, sets, deleted = bucket[new], sets[new], deleted[new]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(bucket)))
+    if len(first):
+        low, high = np.minimum.reduceat(sets, first), np.maximum.reduceat(sets, first)
+        crowd = np.add.reduceat((~deleted).astype(np.int64), first)
+        # in order, so that the first row of a bucket that some set has whole is the smallest such id
+        keep = (low != high) & (crowd > 0)
+    else:
+        crowd, keep = np.zeros(0, np.int64), np.zeros(0, bool)
+    every = np.repeat(keep, size)
+    centre, crowd = np.repeat(sets[first], size)[every], np.repeat(crowd, size)[every]
+    columns = [bucket[every].view(np.int64), sets[every], deleted[every], centre, crowd]
+    return pa.table(columns, names=["bucket", "id", "deleted", "centre", "crowd"])
+
+
 def _shingle_bytes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +307,8 @@ def _marks(buckets: DataFrame) -> DataFrame:
 def _met_once() -> Column:
     """Similar sets share many buckets: a pair counts in the least of its common marked ones, and in every bucket only if it has none."""
     level = F.greatest("x.level", "y.level")
-    common = F.array_intersect(*[F.filter(f"{s}.marks", lambda b: _marked(b, level)) for s in "xy"])
+    # marks of the higher level are among those of the lower one, if both sets have the bucket
+    common = F.array_intersect("x.marks", "y.marks")
     whole = ~F.col("x.deleted") & ~F.col("y.deleted") & _marked(F.col("x.bucket"), level)
     return F.when(whole, F.col("x.bucket") == F.array_min(common)).otherwise(F.size(common) == 0)
 
@@ -272,15 +342,9 @@ class _Join:
 
         Sets that can afford it skip their crowded segments.
         """
-        emitted = self.docs.select("text").mapInArrow(_signatures(self.width, self.percent), "bucket long, id long, deleted boolean")
-        together = Window.partitionBy("bucket")
-        whole = F.when(~F.col("deleted"), F.col("id"))
-        met = emitted.select(
-            "bucket", "id", "deleted", F.min(whole).over(together).alias("centre"), F.count(whole).over(together).alias("crowd"),
-            F.min("id").over(together).alias("_low"), F.max("id").over(together).alias("_high"),
-        ).filter("crowd > 0 and _low != _high").drop("_low", "_high")
-        # rows with equal sets give equal rows here
-        met = stored(met.distinct())
+        parts = 8 * spread_count(self.docs.sparkSession, 8)
+        emitted = self.docs.select("text").mapInArrow(_signatures(self.width, self.percent, parts), "part int, whole long, buckets binary, ids binary")
+        met = stored(emitted.groupBy("part").applyInArrow(_met, _SHARED))
         band = F.col("bucket").bitwiseAND(F.lit(2 ** (_BAND_BITS + 1) - 1))
         skippable = (F.col("crowd") > CROWDED) & (band % 2 == 0)
         slack = F.element_at(F.array(*[F.lit(b.slack) for b in bands(self.percent)]), (F.floor(band / 2) + 1).cast("int"))

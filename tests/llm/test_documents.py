@@ -7,6 +7,8 @@ import re
 import time
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import regex
 import zstandard
@@ -83,6 +85,29 @@ def test_bands_leave_room_for_every_difference():
             assert band.deletions <= band.segments and band.slack <= band.segments - band.deletions
 
 
+def test_jaccard_buckets_travel_packed(odd_docs, monkeypatch):
+    """A shuffled row for each of hundreds of buckets a text made most of the time; a part's rows give what plain loops give."""
+    texts = [r[1] for r in odd_docs]
+    sets = {jaccard._fingerprint(s): s for s in (jaccard.shingle_hashes(jaccard.word_hashes(t), 5) for t in texts) if len(s)}
+    have = {}
+    for own, s in sets.items():
+        for bucket, less in zip(*jaccard.buckets(s, 80)):
+            have.setdefault(int(bucket.view("int64")), set()).add((own, bool(less)))
+    want = set()
+    for bucket, rows in have.items():
+        whole = sorted(own for own, less in rows if not less)
+        if whole and len({own for own, _ in rows}) > 1:
+            want.update((bucket, own, less, whole[0], len(whole)) for own, less in rows)
+    for held in (2**19, 300):
+        monkeypatch.setattr(jaccard, "PACKED", held)
+        batches = [pa.record_batch([pa.array(texts[at : at + 50], pa.string())], names=["text"]) for at in range(0, len(texts), 50)]
+        rows = pa.Table.from_batches(list(jaccard._signatures(5, 80, 16)(batches)))
+        assert held == 300 or rows.num_rows <= 16
+        parts = [jaccard._met(rows.filter(pa.compute.equal(rows.column("part"), part))) for part in set(rows.column("part").to_pylist())]
+        got = [tuple(r.values()) for t in parts for r in t.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_bpe(spark, odd_docs):
     from tokenizers import Tokenizer
 
