@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,7 +26,7 @@ FOLDED_LONGS = 8
 #: Buckets of a set, about, that go along to tell in which of several common buckets a pair counts.
 MARKS = 16
 #: Buckets that a task holds, about, before it deals them out.
-PACKED = 2**19
+PACKED = 2**18
 #: Sizes grow by this factor from band to band.
 BAND = 1.5
 #: Low bits of a bucket: the band, and whether its segment has one-deletion neighbours.
@@ -93,30 +94,47 @@ def bands(percent: int) -> tuple[Band, ...]:
     return tuple(out)
 
 
+def _bands_of(size: int, percent: int) -> list[Band]:
+    """The bands in which a set of ``size`` shingles takes part."""
+    every = bands(percent)
+    last = bisect_right(every, size, key=lambda b: b.low)
+    first = last
+    while first and every[first - 1].largest >= size:
+        first -= 1
+    return list(every[first:last])
+
+
+@lru_cache(maxsize=32)
+def _names(band: Band) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each segment's number, and the low bits of its buckets."""
+    tag = np.full(band.segments, band.number * 2, np.uint64)
+    tag[: band.deletions] += np.uint64(1)
+    return mix64(np.arange(band.segments, dtype=np.uint64) + np.uint64(band.number + 1) * np.uint64(2**32)), tag
+
+
 def buckets(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a set in every band it takes part in, and whether a shingle was deleted for it.
 
     A bucket is a hash of band, segment and the segment's shingles.
     """
     found, deleted = [], []
-    for band in bands(percent):
-        if not band.low <= len(shingles) <= band.largest:
-            continue
-        place = ((shingles >> np.uint64(20)) % np.uint64(band.segments)).astype(np.int64)
+    mixed = mix64(shingles + np.uint64(1))
+    for band in _bands_of(len(shingles), percent):
+        names, tag = _names(band)
+        place = (shingles >> np.uint64(20)) % np.uint64(band.segments)
+        place = place.astype(np.uint16 if band.segments < 2**16 else np.int64)  # short numbers are sorted in fewer steps
         order = np.argsort(place, kind="stable")
+        dealt = place[order]
+        starts = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1]))
         sums = np.zeros(band.segments, np.uint64)
-        filled, starts = np.unique(place[order], return_index=True)
-        sums[filled] = np.add.reduceat(mix64(shingles[order] + np.uint64(1)), starts)
-        names = mix64(np.arange(band.segments, dtype=np.uint64) + np.uint64(band.number + 1) * np.uint64(2**32))
-        tag = np.full(band.segments, band.number * 2, np.uint64)
-        tag[: band.deletions] += np.uint64(1)
+        sums[dealt[starts]] = np.add.reduceat(mixed[order], starts)
         mask = np.uint64(2 ** (_BAND_BITS + 1) - 1)
         found.append((mix64(sums + names) & ~mask) | tag)
         deleted.append(np.zeros(band.segments, bool))
         near = np.flatnonzero(place < band.deletions)
         if len(near):
             at = place[near]
-            less = sums[at] - mix64(shingles[near] + np.uint64(1))
+            less = sums[at] - mixed[near]
             found.append((mix64(less + names[at]) & ~mask) | tag[at])
             deleted.append(np.ones(len(near), bool))
     if not found:
@@ -137,8 +155,9 @@ def _fingerprint(shingles: np.ndarray) -> int:
     """64 bits that depend on all shingles of the set; 0 for the empty one."""
     if not len(shingles):
         return 0
-    first, second = np.bitwise_xor.reduce(mix64(shingles + np.uint64(11))), np.add.reduce(mix64(shingles + np.uint64(29)))
-    return int(mix64(np.array([first * np.uint64(3) + second + np.uint64(len(shingles))]))[0].view(np.int64))
+    first = np.bitwise_xor.reduce(mix64(shingles + np.uint64(11)), keepdims=True)
+    second = np.add.reduce(mix64(shingles + np.uint64(29)), keepdims=True)
+    return int(mix64(first * np.uint64(3) + second + np.uint64(len(shingles))).view(np.int64)[0])
 
 
 def _describe(width: int):

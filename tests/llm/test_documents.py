@@ -98,7 +98,7 @@ def test_jaccard_buckets_travel_packed(odd_docs, monkeypatch):
         whole = sorted(own for own, less in rows if not less)
         if whole and len({own for own, _ in rows}) > 1:
             want.update((bucket, own, less, whole[0], len(whole)) for own, less in rows)
-    for held in (2**19, 300):
+    for held in (2**18, 300):
         monkeypatch.setattr(jaccard, "PACKED", held)
         batches = [pa.record_batch([pa.array(texts[at : at + 50], pa.string())], names=["text"]) for at in range(0, len(texts), 50)]
         rows = pa.Table.from_batches(list(jaccard._signatures(5, 80, 16)(batches)))
